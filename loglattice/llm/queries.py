@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from loglattice.llm import packing, quality
+from loglattice.llm import binary, linededup, mixing, ngram_join, packing, quality
 from loglattice.llm.oracles import ORACLES
 
 
@@ -12,10 +12,26 @@ def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def op1_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.near_duplicates(_read(spark, sf_dir, "documents"))
+
+
+def op4_token_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return binary.round_trip(spark, _read(spark, sf_dir, "documents"))
+
+
+def op6_site_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return linededup.drop_boilerplate(_read(spark, sf_dir, "documents"), host="source", counts=True)
+
+
 def op7_sum_of_squares_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_read(spark, sf_dir, "documents"))
 
 
+def op8_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(_read(spark, sf_dir, "documents"))
+
+
 def op9_quality_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(_read(spark, sf_dir, "documents"))
 
