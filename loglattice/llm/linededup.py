@@ -55,8 +55,12 @@ def boilerplate(df: DataFrame, host: str, text: str = "text", ratio: float = RAT
     return over.groupBy("host_key").agg(F.collect_list("line").alias("flagged"))
 
 
-def drop_boilerplate(df: DataFrame, host: str, text: str = "text", ratio: float = RATIO, min_pages: int = MIN_PAGES, counts: bool = False) -> DataFrame:
-    """``df`` with boilerplate lines removed from ``text``; with ``counts``, also ``n_lines`` and ``n_dropped``."""
+def drop_boilerplate(df: DataFrame, host: str, text: str = "text", ratio: float = RATIO, min_pages: int = MIN_PAGES, counts: bool = False, length: str | None = None) -> DataFrame:
+    """``df`` with boilerplate lines removed from ``text``.
+
+    With ``counts``, ``n_lines`` and ``n_dropped`` are added; ``length`` names a
+    column that is to hold the new text's length.
+    """
     flagged = storage.settle(boilerplate(df, host, text, ratio, min_pages), "boilerplate")
     names = df.columns
     rows = df.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("row"), F.struct(F.col(host).alias("h")).alias("host_key"))
@@ -64,7 +68,10 @@ def drop_boilerplate(df: DataFrame, host: str, text: str = "text", ratio: float
     lines = _lines(F.col(f"row.`{text}`"))
     kept = F.filter(lines, lambda x: _blank(x) | ~F.array_contains("flagged", _key(x)))
     joined = joined.withColumn("kept", F.when(F.col("flagged").isNull(), lines).otherwise(kept))
-    out = [F.array_join("kept", "\n").alias(c) if c == text else F.col(f"row.`{c}`").alias(c) for c in names]
+    new = {text: F.array_join("kept", "\n")}
+    if length:
+        new[length] = F.length(new[text]).cast(df.schema[length].dataType)
+    out = [new.get(c, F.col(f"row.`{c}`")).alias(c) for c in names]
     if counts:
         out += [F.size(lines).cast("long").alias("n_lines"), (F.size(lines) - F.size("kept")).cast("long").alias("n_dropped")]
     return joined.select(*out)

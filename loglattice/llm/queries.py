@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from loglattice.llm import binary, linededup, mixing, ngram_join, packing, quality
+from loglattice.llm import ann, binary, linededup, lm, mixing, ngram_join, packing, pii, quality, toxicity
 from loglattice.llm.oracles import ORACLES
 
 
@@ -16,10 +17,22 @@ def op1_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.near_duplicates(_read(spark, sf_dir, "documents"))
 
 
+def op2_multi_index_hashing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.search(_read(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
+def op3_kneser_ney_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.score(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"))
+
+
 def op4_token_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
     return binary.round_trip(spark, _read(spark, sf_dir, "documents"))
 
 
+def op5_backoff_automaton(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.score(_read(spark, sf_dir, "documents"), ~lm.held_out(F.col("doc_id")))
+
+
 def op6_site_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return linededup.drop_boilerplate(_read(spark, sf_dir, "documents"), host="source", counts=True)
 
@@ -36,6 +49,10 @@ def op9_quality_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(_read(spark, sf_dir, "documents"))
 
 
+def op10_information_sanitisation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.digest(_read(spark, sf_dir, "documents"))
+
+
 def queries() -> dict:
     return {name: fn for name, fn in globals().items() if name.startswith("op")}
 

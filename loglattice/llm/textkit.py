@@ -12,11 +12,14 @@ import numpy as np
 import pyarrow as pa
 
 #: Bytes hashed at once; a longer text is cut at white space.
-PIECE = 1 << 20
+PIECE = 1 << 18
 _RADIX = np.uint64(0x9E3779B97F4A7C55)
 
 _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
+#: Everything in ASCII but letters and digits.
+_OUTSIDE = np.zeros(256, dtype=bool)
+_OUTSIDE[:128] = [not chr(b).isalnum() for b in range(128)]
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 
@@ -51,9 +54,9 @@ class _Powers:
 _POWERS = _Powers()
 
 
-def _hash_piece(raw: np.ndarray, lower: bool, cuts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _hash_piece(raw: np.ndarray, lower: bool, cuts: np.ndarray, space: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Hash, start and end of every word of ``raw``; no word crosses an offset in ``cuts``."""
-    word = ~_SPACE[raw]
+    word = ~space[raw]
     before = np.empty_like(word)
     before[0], before[1:] = False, word[:-1]
     after = np.empty_like(word)
@@ -72,19 +75,19 @@ def _hash_piece(raw: np.ndarray, lower: bool, cuts: np.ndarray) -> tuple[np.ndar
     return mix64((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(np.uint64)), starts, ends
 
 
-def hash_words(raw: np.ndarray, lower: bool, cuts: np.ndarray = np.zeros(0, dtype=np.int64)) -> tuple[np.ndarray, np.ndarray]:
+def hash_words(raw: np.ndarray, lower: bool, cuts: np.ndarray = np.zeros(0, dtype=np.int64), space: np.ndarray = _SPACE) -> tuple[np.ndarray, np.ndarray]:
     """64-bit hashes of the words in a byte buffer, and where each starts."""
     hashes, places, at = [], [], 0
     while at < len(raw):
         end = min(len(raw), at + PIECE)
         if end < len(raw):
-            gaps = np.flatnonzero(_SPACE[raw[at:end]])
+            gaps = np.flatnonzero(space[raw[at:end]])
             while not len(gaps) and end < len(raw):
                 at_end, end = end, min(len(raw), end + PIECE)
-                gaps = np.flatnonzero(_SPACE[raw[at_end:end]]) + (at_end - at)
+                gaps = np.flatnonzero(space[raw[at_end:end]]) + (at_end - at)
             if end < len(raw):
                 end = at + int(gaps[-1]) + 1
-        got, starts, _ = _hash_piece(raw[at:end], lower, cuts - at)
+        got, starts, _ = _hash_piece(raw[at:end], lower, cuts - at, space)
         hashes.append(got)
         places.append(starts + at)
         at = end
@@ -105,14 +108,14 @@ def string_buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
-def hashed_rows(column: pa.Array, lower: bool) -> tuple[np.ndarray, np.ndarray]:
-    """Word hashes of all rows, joined together, and the row bounds within them."""
+def hashed_rows(column: pa.Array, lower: bool, bare: bool = False) -> tuple[np.ndarray, np.ndarray]:
+    """Word hashes of all rows, joined together, and the row bounds within them; ``bare`` words have no ASCII punctuation."""
     raw, offsets = string_buffers(column)
-    hashes, starts = hash_words(raw, lower, offsets)
+    hashes, starts = hash_words(raw, lower, offsets, _OUTSIDE if bare else _SPACE)
     return hashes, np.searchsorted(starts, offsets)
 
 
-def small_batches(batches: Iterator[pa.RecordBatch], text: str, limit: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+def small_batches(batches: Iterator[pa.RecordBatch], text: str, limit: int = 2 << 20) -> Iterator[pa.RecordBatch]:
     """Cuts batches so that the text column of each has about ``limit`` bytes; a longer row stands alone."""
     for batch in batches:
         if not batch.num_rows:
