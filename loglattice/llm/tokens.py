@@ -1,70 +1,116 @@
 """Token ids of whole texts with a public tokenizer, by white-space chunk.
 
 The tokenizer drops white space and never joins characters across it, so the
-ids of a text are the ids of its chunks one after another.  Each distinct chunk
-is encoded once per worker and then looked up; the lookup table has a size
-limit and starts afresh when it is full.
+ids of a text are the ids of its chunks one after another.  A worker encodes a
+chunk once and then looks it up.  The table has a size limit; when it is full
+it keeps the chunks of the current batch and forgets the rest.
 """
 
 from __future__ import annotations
 
+import os
 import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
-from tokenizers import Tokenizer
+
+os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # Spark's tasks are the parallelism
+
+from tokenizers import Tokenizer  # noqa: E402
+
+from loglattice.llm.textkit import small_batches, string_buffers  # noqa: E402
 
 TOKENIZER = "word_bpe_49k.json"
 _ENCODERS: dict[str, ChunkEncoder] = {}
 
 
+class _Table(dict):
+    """Numbers chunks in the order in which they are first asked for."""
+
+    def __missing__(self, chunk: bytes) -> int:
+        self[chunk] = at = len(self)
+        self.fresh.append(chunk)
+        return at
+
+
+def _table(chunks: list[bytes]) -> _Table:
+    table = _Table(zip(chunks, range(len(chunks)), strict=True))
+    table.fresh = []
+    return table
+
+
 class ChunkEncoder:
     """Encodes texts to unsigned 32-bit ids."""
 
-    def __init__(self, name: str = TOKENIZER, table_size: int = 1 << 19, table_ids: int = 1 << 22) -> None:
+    def __init__(self, name: str = TOKENIZER, table_size: int = 1 << 19) -> None:
         self.tokenizer = Tokenizer.from_file(public_tokenizers.path(name))
-        self.table_size, self.table_ids = table_size, table_ids
-        self._reset()
-
-    def _reset(self) -> None:
-        self.table: dict[bytes, int] = {}
+        self.table_size = table_size
+        self.table = _table([])
         self.ids = np.zeros(1 << 16, dtype=np.uint32)
-        self.begins = np.zeros(1 << 12, dtype=np.int64)
-        self.begins_list_len = 0
-
-    def _add(self, chunks: list[bytes]) -> None:
-        found = self.tokenizer.encode_batch([c.decode("utf-8", "replace") for c in chunks], add_special_tokens=False)
-        rows = [np.array(x.ids, dtype=np.uint32) for x in found]
-        have, fill = len(self.table), int(self.begins[len(self.table)])
-        more = sum(map(len, rows))
-        if fill + more > len(self.ids):
-            self.ids = np.concatenate([self.ids, np.zeros(max(more, len(self.ids)), dtype=np.uint32)])
-        if have + len(rows) + 1 > len(self.begins):
-            self.begins = np.concatenate([self.begins, np.zeros(max(len(rows) + 1, len(self.begins)), dtype=np.int64)])
-        for chunk, row in zip(chunks, rows, strict=True):
-            self.table[chunk] = have
-            self.ids[fill : fill + len(row)] = row
-            fill += len(row)
-            have += 1
-            self.begins[have] = fill
-
-    def encode(self, text: bytes) -> np.ndarray:
-        """Ids of one UTF-8 text."""
-        chunks = text.split()
-        if len(self.table) > self.table_size or self.begins[len(self.table)] > self.table_ids:
-            self._reset()
-        table = self.table
-        places = [table.get(c, -1) for c in chunks]
-        if -1 in places:
-            self._add(list({c for c, at in zip(chunks, places, strict=True) if at < 0}))
-            places = [table[c] for c in chunks]
-        at = np.array(places, dtype=np.int64)
-        begin = self.begins[at]
-        sizes = self.begins[at + 1] - begin
+        self.ends = np.zeros(1 << 12, dtype=np.int64)  # of entry k, at k + 1
+        marks = ((mark, self._plain([mark])[0]) for mark in "\u2605\u2606\u25cf\u2022\u266a")
+        self.mark, self.mark_id = next((mark, int(ids[0])) for mark, ids in marks if len(ids) == 1)
+
+    def _plain(self, chunks: list[str]) -> list[list[int]]:
+        return [x.ids for x in self.tokenizer.encode_batch_fast(chunks, add_special_tokens=False)]
+
+    def _encode_chunks(self, chunks: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of chunks one after another and the number of each chunk's ids.
+
+        Chunks are encoded many at a time, parted by a mark of one id.  If a
+        chunk itself holds the mark's character, each is encoded alone.
+        """
+        words = [c.decode("utf-8", "replace") for c in chunks]
+        joined = f" {self.mark} ".join(words)
+        if joined.count(self.mark) == len(words) - 1:
+            ids = np.array(self._plain([f"{joined} {self.mark}"])[0], dtype=np.uint32)
+            stops = np.flatnonzero(ids == self.mark_id)
+            if len(stops) == len(words):
+                return np.delete(ids, stops), np.diff(stops, prepend=-1) - 1
+        rows = self._plain(words)
+        return np.array([i for row in rows for i in row], dtype=np.uint32), np.array([len(row) for row in rows], dtype=np.int64)
+
+    def _forget(self, chunks: list[bytes]) -> None:
+        keep = list({c for c in chunks if c in self.table})
+        ids, ends = self._gather(np.array([self.table[c] for c in keep], dtype=np.int64))
+        self.table = _table(keep)
+        self.ids = np.r_[ids, np.zeros(1 << 16, dtype=np.uint32)]
+        self.ends = np.r_[0, ends, np.zeros(1 << 12, dtype=np.int64)]
+
+    def _add(self, chunks: list[bytes], have: int) -> None:
+        ids, sizes = self._encode_chunks(chunks)
+        fill = int(self.ends[have])
+        if fill + len(ids) > len(self.ids):
+            self.ids = np.r_[self.ids, np.zeros(max(len(ids), len(self.ids)), dtype=np.uint32)]
+        if have + len(chunks) + 1 > len(self.ends):
+            self.ends = np.r_[self.ends, np.zeros(max(len(chunks) + 1, len(self.ends)), dtype=np.int64)]
+        self.ids[fill : fill + len(ids)] = ids
+        self.ends[have + 1 : have + 1 + len(chunks)] = fill + np.cumsum(sizes)
+
+    def _gather(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of table entries one after another, and where each entry's end lies among them."""
+        begin = self.ends[at]
+        sizes = self.ends[at + 1] - begin
         stop = np.cumsum(sizes)
-        return self.ids[np.arange(stop[-1] if len(stop) else 0) + np.repeat(begin - (stop - sizes), sizes)]
+        return self.ids[np.arange(stop[-1] if len(stop) else 0) + np.repeat(begin - (stop - sizes), sizes)], stop
+
+    def encode(self, texts: list[bytes]) -> list[np.ndarray]:
+        """Ids of each UTF-8 text."""
+        split = [(text if b"<|" in text else text.lower()).split() for text in texts]  # the tokenizer lower-cases all but its special tokens
+        chunks = [c for row in split for c in row]
+        if len(self.table) > self.table_size:
+            self._forget(chunks)
+        have = len(self.table)
+        places = list(map(self.table.__getitem__, chunks))
+        fresh, self.table.fresh = self.table.fresh, []
+        for k in range(0, len(fresh), 1000):
+            self._add(fresh[k : k + 1000], have + k)
+        ids, stop = self._gather(np.array(places, dtype=np.int64))
+        stop = np.r_[0, stop]
+        cuts = stop[np.cumsum([0, *map(len, split)])]
+        return [ids[a:b] for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
 
 
 def encoder(name: str = TOKENIZER) -> ChunkEncoder:
@@ -77,11 +123,12 @@ def encoder(name: str = TOKENIZER) -> ChunkEncoder:
 def encoded(batches: Iterator[pa.RecordBatch], name: str, end_id: int, id_col: str = "doc_id", text_col: str = "text") -> Iterator[tuple[int | None, np.ndarray]]:
     """``(doc_id, ids with the end id)`` of every row; a null text is empty."""
     encode = encoder(name).encode
-    for batch in batches:
-        keys, texts = batch.column(id_col), batch.column(text_col)
-        for key, text in zip(keys, texts, strict=True):
-            value = text.as_buffer() if text.is_valid else None
-            yield key.as_py(), np.append(encode(value.to_pybytes() if value is not None else b""), np.uint32(end_id))
+    for batch in small_batches(batches, text_col, 4 << 20):
+        raw, offsets = string_buffers(batch.column(text_col))
+        data = raw.tobytes()
+        rows = encode([data[a:b] for a, b in zip(offsets[:-1], offsets[1:], strict=True)])
+        for key, ids in zip(batch.column(id_col).to_pylist(), rows, strict=True):
+            yield key, np.append(ids, np.uint32(end_id))
 
 
 def ids_crc32(ids: np.ndarray) -> int:
