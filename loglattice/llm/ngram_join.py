@@ -9,15 +9,16 @@ is at most the sum of their sizes.
    sketch (:mod:`loglattice.llm.shingles`).  Documents with equal sets form a
    class; only the class's smallest id goes on.
 2. Linked sets lie in the same size band scheme and differ in so few tokens that
-   some sketch part is equal (pigeonhole), so they share a key.  The smallest
-   id of each bucket of equal keys is its leader, found by a combined minimum,
-   and every member makes one pair with it.
+   some sketch part is equal (pigeonhole), so they share a key.  The member of
+   each bucket of equal keys that shares most keys altogether is its leader,
+   found by combined sums and maxima, and every other member makes one pair with
+   it.
 3. A pair goes on if the Hamming distance of the bit sketches, a lower bound of
    the symmetric difference, allows a link; then the exact sets decide.
 4. The links give components.  A bucket whose members all fell into one
    component needs nothing more.  In the others, the members outside the
-   bucket's largest component are paired with the members of other components,
-   and steps 3 and 4 run once more.  Thus copies and near copies never expand
+   bucket's largest component meet the members of other components; a pair is
+   made only if their sketches allow it, and the exact sets decide again.  Thus copies and near copies never expand
    into all their pairs, and yet every pair that shares a key is either tested
    or already known to be connected.
 
@@ -47,26 +48,42 @@ from loglattice.llm.textkit import mix64, small_batches
 _OTHER = np.uint64(0xA5A5A5A5A5A5A5A5)
 
 
+SAMPLES = [f"s{k}" for k in range(shingles.SAMPLE_WORDS)]
+_SIDES = f"array<struct<band:int,rate:double,keys:array<long>,{','.join(f'{c}:long' for c in SAMPLES)}>>"
+
+
+def _lists(rows: list[np.ndarray]) -> pa.ListArray:
+    return pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, rows)]), pa.int32()), pa.array(np.concatenate([np.zeros(0, dtype=np.int64), *rows])))
+
+
 def features(docs: DataFrame, parts: int | None = shingles.PARTS) -> DataFrame:
-    """``doc_id, n, f1, f2, keys, sketch`` of every document."""
+    """``doc_id, n, f1, f2, sketch`` of every document, and in ``sides``, for each of its bands, the keys and the sample sketch."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, sets in shingles.sets_of(small_batches(batches, "text")):
-            sizes, one, two, keys, sketch = [], [], [], [np.zeros(0, dtype=np.int64)], []
+            sizes, one, two, sketch, sides, band_of = [], [], [], [], [0], []
+            keys, samples = [np.zeros(0, dtype=np.int64)], []
             for found in sets:
                 some = len(found) > 0
                 sizes.append(len(found))
                 one.append(int(np.bitwise_xor.reduce(found).astype(np.int64)) if some else 0)
                 two.append(int(np.bitwise_xor.reduce(mix64(found ^ _OTHER)).astype(np.int64)) if some else 0)
-                keys.append(np.concatenate([shingles.part_keys(found, b, parts) for b in shingles.bands(len(found))]) if some else keys[0])
                 sketch.append(shingles.parity(found))
+                for band in shingles.bands(len(found)) if some else ():
+                    band_of.append(band)
+                    keys.append(shingles.part_keys(found, band, parts))
+                    samples.append(shingles.sample_sketch(found, band))
+                sides.append(len(band_of))
             cuts = pa.array(np.cumsum([len(k) for k in keys]), pa.int32())
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), *(pa.array(x, pa.int64()) for x in (sizes, one, two)), pa.ListArray.from_arrays(cuts, pa.array(np.concatenate(keys))), pa.array(sketch, pa.binary())],
-                names=["doc_id", "n", "f1", "f2", "keys", "sketch"],
-            )
+            held = np.stack(samples) if samples else np.zeros((0, len(SAMPLES)), dtype=np.int64)
+            fields = [pa.array(band_of, pa.int32()), pa.array([shingles.sample_rate(b) for b in band_of], pa.float64()), pa.ListArray.from_arrays(cuts, pa.array(np.concatenate(keys)))]
+            fields += [pa.array(np.ascontiguousarray(held[:, k])) for k in range(len(SAMPLES))]
+            struct = pa.StructArray.from_arrays(fields, names=["band", "rate", "keys", *SAMPLES])
+            columns = [batch.column(0), *(pa.array(x, pa.int64()) for x in (sizes, one, two)), _lists(sketch), pa.ListArray.from_arrays(pa.array(sides, pa.int32()), struct)]
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n", "f1", "f2", "sketch", "sides"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, n long, f1 long, f2 long, keys array<long>, sketch binary")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    return rows.mapInArrow(run, f"doc_id long, n long, f1 long, f2 long, sketch array<long>, sides {_SIDES}")
 
 
 def _near(a: str, b: str) -> Column:
@@ -74,18 +91,24 @@ def _near(a: str, b: str) -> Column:
     return (4 * F.least(a, b) >= 3 * F.greatest(a, b)) & (F.col(a) > 0)
 
 
-def _sketch_filter(pairs: DataFrame, table: DataFrame) -> DataFrame:
-    """The pairs ``(a, b)`` that the bit sketches leave possible."""
+def _hamming(a: str, b: str) -> Column:
+    """Hamming distance of two parity sketches; near sizes differ by one folding at most."""
+    short = F.least(F.size(a), F.size(b))
+    xor = lambda x, y: x.bitwiseXOR(y)
+    fold = lambda c: F.when(F.size(c) > short, F.zip_with(F.slice(c, F.lit(1), short), F.slice(c, short + 1, short), xor)).otherwise(F.col(c))
+    return F.aggregate(F.zip_with(fold(a), fold(b), lambda x, y: F.bit_count(xor(x, y))), F.lit(0), lambda acc, x: acc + x)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rows = zip(*(batch.column(c).to_pylist() for c in ("na", "nb", "sa", "sb")), strict=True)
-            keep = [shingles.linked(na, nb, shingles.hamming(sa, sb)) for na, nb, sa, sb in rows]
-            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
+def _sketch_near(a: str, b: str, na: str, nb: str) -> Column:
+    """Whether the parity sketches leave a link possible: seven times their distance is at most the summed sizes."""
+    return 7 * _hamming(a, b) <= F.col(na) + F.col(nb)
+
+
+def _sketch_filter(pairs: DataFrame, table: DataFrame) -> DataFrame:
+    """The pairs ``(a, b)`` that the sketches leave possible."""
     one = table.select(F.col("doc_id").alias("a"), F.col("n").alias("na"), F.col("sketch").alias("sa"))
     two = table.select(F.col("doc_id").alias("b"), F.col("n").alias("nb"), F.col("sketch").alias("sb"))
-    return pairs.select("a", "b").join(one, "a").join(two, "b").select("a", "b", "na", "nb", "sa", "sb").mapInArrow(run, "a long, b long")
+    return pairs.select("a", "b").join(one, "a").join(two, "b").filter(_near("na", "nb") & _sketch_near("sa", "sb", "na", "nb")).select("a", "b").distinct()
 
 
 def _exact_filter(pairs: DataFrame, docs: DataFrame) -> DataFrame:
@@ -114,27 +137,46 @@ def _exact_filter(pairs: DataFrame, docs: DataFrame) -> DataFrame:
     return pairs.join(one, "a").join(two, "b").mapInArrow(compare, "a long, b long").distinct()
 
 
+def _sample_near() -> Column:
+    """Whether the sample sketches of ``x`` and ``y`` leave a link possible.
+
+    A link differs in at most a seventh of the summed sizes; of those tokens the
+    sample holds a share ``rate``, plus six standard deviations.  At rate 1 the
+    bound is exact.
+    """
+    apart = sum((F.bit_count(F.col(f"x_{c}").bitwiseXOR(F.col(f"y_{c}"))) for c in SAMPLES), F.lit(0))
+    most = (F.col("nx") + F.col("ny")) / 7
+    mean = most * F.col("rate")
+    return apart <= F.when(F.col("rate") < 1, mean + 6 * F.sqrt(mean) + 4).otherwise(most)
+
+
 def links(docs: DataFrame, table: DataFrame, classes: DataFrame) -> DataFrame:
     """Links ``(a, b)`` between classes that connect every component; ``table`` holds the features."""
     reps = table.join(classes.select("f1", "f2", "n", F.col("class_id").alias("doc_id")), ["f1", "f2", "n", "doc_id"], "left_semi")
-    keyed = reps.select(F.explode("keys").alias("key"), F.col("doc_id").alias("id"), "n")
-    leaders = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("size"), F.min(F.struct("id", "n")).alias("lead")).filter("size > 1")
-    members = storage.settle(keyed.join(leaders, "key").select("key", "id", "n", F.col("lead.id").alias("lead"), F.col("lead.n").alias("lead_n")), "members")
+    sides = reps.select(F.col("doc_id").alias("id"), "n", F.explode("sides").alias("side"))
+    keyed = sides.select("id", "n", F.col("side.band").alias("band"), F.explode("side.keys").alias("key"))
+    sizes = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("size")).filter("size > 1")
+    members = storage.settle(keyed.join(sizes, "key"), "members")
+    weight = members.groupBy("id").agg(F.sum("size").alias("weight"))
+    leaders = members.join(weight, "id").groupBy("key").agg(F.max(F.struct("weight", (-F.col("id")).alias("lead"), F.col("n").alias("lead_n"))).alias("lead"))
+    leaders = leaders.select("key", (-F.col("lead.lead")).alias("lead"), "lead.lead_n")
+    members = storage.settle(members.join(leaders, "key").select("key", "id", "n", "band", "lead", "lead_n"), "led-members")
     stars = members.filter((F.col("id") != F.col("lead")) & _near("n", "lead_n")).select(F.col("id").alias("a"), F.col("lead").alias("b")).distinct()
     possible = storage.settle(_sketch_filter(stars, table), "possible")
     first = storage.settle(_exact_filter(possible, docs), "links")
 
     roots = graph.components(first)
-    placed = members.join(roots, F.col("id") == F.col("node"), "left").select("key", "id", "n", "lead", F.coalesce("root", "id").alias("root"))
+    placed = members.join(roots, F.col("id") == F.col("node"), "left").select("key", "id", "n", "band", "lead", F.coalesce("root", "id").alias("root"))
     open_keys = placed.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low <> high").select("key")
-    left = storage.settle(placed.join(open_keys, "key"), "open-members")
+    samples = table.select(F.col("doc_id").alias("id"), "n", "sketch", F.explode("sides").alias("side")).select("id", "n", "sketch", "side.band", "side.rate", *[f"side.{c}" for c in SAMPLES]).dropDuplicates(["id", "n", "band"])
+    left = storage.settle(placed.join(open_keys, "key").join(samples, ["id", "n", "band"]), "open-members")
     main = left.groupBy("key", "root").agg(F.count(F.lit(1)).alias("size")).groupBy("key").agg(F.max_by("root", F.struct("size", "root")).alias("main"))
-    outside = left.join(main, "key").filter("root <> main").select("key", F.col("id").alias("x"), F.col("n").alias("nx"), F.col("root").alias("rx"), "main", "lead")
-    inside = left.select("key", F.col("id").alias("y"), F.col("n").alias("ny"), F.col("root").alias("ry"))
-    apart = (F.col("rx") != F.col("ry")) & _near("nx", "ny") & ((F.col("ry") == F.col("main")) | (F.col("x") < F.col("y"))) & (F.col("lead") != F.col("x")) & (F.col("lead") != F.col("y"))
-    pairs = outside.join(inside, "key").filter(apart).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
-    more = storage.settle(_sketch_filter(pairs, table), "possible")
-    return first.union(_exact_filter(more, docs))
+    outside = left.join(main, "key").filter("root <> main").select("key", F.col("id").alias("x"), F.col("n").alias("nx"), F.col("root").alias("rx"), "main", "lead", "rate", F.col("sketch").alias("sx"), *[F.col(c).alias(f"x_{c}") for c in SAMPLES])
+    inside = left.select("key", F.col("id").alias("y"), F.col("n").alias("ny"), F.col("root").alias("ry"), F.col("sketch").alias("sy"), *[F.col(c).alias(f"y_{c}") for c in SAMPLES])
+    apart = (F.col("rx") != F.col("ry")) & ((F.col("ry") == F.col("main")) | (F.col("x") < F.col("y"))) & (F.col("lead") != F.col("x")) & (F.col("lead") != F.col("y"))
+    same = outside["key"] == inside["key"]
+    pairs = outside.join(inside, same & apart & _near("nx", "ny") & _sample_near() & _sketch_near("sx", "sy", "nx", "ny")).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+    return first.union(_exact_filter(storage.settle(pairs, "possible"), docs))
 
 
 def near_duplicates(docs: DataFrame, parts: int | None = shingles.PARTS) -> DataFrame:

@@ -84,28 +84,35 @@ def part_keys(found: np.ndarray, band: int, parts: int | None = PARTS) -> np.nda
     return mix64(keys ^ mix64(where)).view(np.int64)
 
 
-def parity(found: np.ndarray) -> bytes:
-    """One bit for each token's place modulo a power of two of at least the set's size, by XOR.
+#: Length of a band's sample sketch in 64-bit words, and the tokens that it holds in a set of the band's largest size.
+SAMPLE_WORDS, SAMPLE_LOAD = 8, 256
+
+
+def sample_rate(band: int) -> float:
+    """Share of the tokens that a band's sample sketch holds."""
+    return min(1.0, SAMPLE_LOAD / (int(_EDGES[band + 1]) - 1))
+
+
+def sample_sketch(found: np.ndarray, band: int) -> np.ndarray:
+    """Parity sketch of fixed length over the tokens that the band samples by hash."""
+    mixed = mix64(found * _PLACES[0] + _TURN)
+    held = mixed[(mixed >> np.uint64(32)).astype(np.float64) < sample_rate(band) * 2.0**32]
+    counts = np.bincount((held & np.uint64(64 * SAMPLE_WORDS - 1)).astype(np.int64), minlength=64 * SAMPLE_WORDS)
+    return np.packbits((counts & 1).astype(np.uint8), bitorder="little").view(np.int64)
+
+
+def parity(found: np.ndarray) -> np.ndarray:
+    """One bit for each token's place modulo a power of two of at least four times the set's size, by XOR, in 64-bit words.
 
     Folding the upper half onto the lower gives the sketch of half the length,
     so sketches of different lengths can be compared.  The Hamming distance of
     two sketches is at most the size of the sets' symmetric difference.
     """
     bits = 64
-    while bits < len(found):
+    while bits < 4 * len(found):
         bits *= 2
     counts = np.bincount((mix64(found + _TURN) & np.uint64(bits - 1)).astype(np.int64), minlength=bits)
-    return np.packbits((counts & 1).astype(np.uint8), bitorder="little").tobytes()
-
-
-def hamming(a: bytes, b: bytes) -> int:
-    """Hamming distance of two parity sketches, the longer one folded."""
-    x, y = np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64)
-    while len(x) > len(y):
-        x = x[: len(x) // 2] ^ x[len(x) // 2 :]
-    while len(y) > len(x):
-        y = y[: len(y) // 2] ^ y[len(y) // 2 :]
-    return int(np.bitwise_count(x ^ y).sum())
+    return np.packbits((counts & 1).astype(np.uint8), bitorder="little").view(np.int64)
 
 
 def linked(a: int, b: int, difference: int) -> bool:

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
-import uuid
+import contextlib
 import tempfile
+import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -25,13 +27,26 @@ def fresh(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+@contextlib.contextmanager
+def small_arrow_batches(spark: SparkSession, limit: str = "8m") -> Iterator[None]:
+    """Bounds the batches that tasks pass to Python, for rows of some kilobytes each."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, limit)
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 def settle(df: DataFrame, name: str) -> DataFrame:
     """Writes ``df`` as Parquet in the shared folder and reads it back, which cuts its lineage.
 
     The files survive lost executors; they stay until the folder is cleaned.
     """
     path = fresh(df.sparkSession, name)
-    df.write.parquet(path)
+    with small_arrow_batches(df.sparkSession):
+        df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
