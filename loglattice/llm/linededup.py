@@ -11,7 +11,7 @@ broadcasts them or joins by host.
 
 Defined results: lines are compared after trimming ASCII white space; lines
 without a character other than that are never counted nor dropped; null text
-stays null; a null host is a host of its own; a host with fewer than
+stays null and keeps its length column; a null host is a host of its own; a host with fewer than
 ``min_pages`` pages holding a line keeps that line; a page all of whose lines
 are dropped has empty text; repeated rows are pages of their own.
 """
@@ -70,7 +70,7 @@ def drop_boilerplate(df: DataFrame, host: str, text: str = "text", ratio: float
     joined = joined.withColumn("kept", F.when(F.col("flagged").isNull(), lines).otherwise(kept))
     new = {text: F.array_join("kept", "\n")}
     if length:
-        new[length] = F.length(new[text]).cast(df.schema[length].dataType)
+        new[length] = F.coalesce(F.length(new[text]).cast(df.schema[length].dataType), F.col(f"row.`{length}`"))
     out = [new.get(c, F.col(f"row.`{c}`")).alias(c) for c in names]
     if counts:
         out += [F.size(lines).cast("long").alias("n_lines"), (F.size(lines) - F.size("kept")).cast("long").alias("n_dropped")]

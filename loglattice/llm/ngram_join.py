@@ -197,4 +197,4 @@ def one_of_each(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` without the near duplicates of another row: of each component the smallest id stays."""
     found = storage.settle(near_duplicates(docs), "near-duplicates")
     gone = found.filter("doc_id <> component_id").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    return docs.join(gone, "doc_id", "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -91,10 +91,10 @@ def measure(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     step = step.withColumn("p", F.sort_array(F.array_compact(places)))
     covered = F.transform("p", lambda p, k: F.least(F.lit(WINDOW), F.coalesce(F.get("p", k + 1), p + WINDOW) - p))
     total = F.aggregate(covered, F.lit(0).cast("long"), lambda a, x: a + x)
-    return step.select(
-        "doc_id", "n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_upper",
-        F.coalesce(total, F.lit(0)).cast("long").alias("n_repeat_words"),
-    )
+    counts = ("n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_upper")
+    row = F.struct(*counts, F.coalesce(total, F.lit(0)).cast("long").alias("n_repeat_words"))
+    # A filter on the measurements stays above the generator: pushed below it, each lambda would work out whole arrays anew for each element.
+    return step.select("doc_id", F.inline(F.array(row)))
 
 
 def ledger(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
