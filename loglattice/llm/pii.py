@@ -147,8 +147,14 @@ def _mentions(spans: DataFrame, limits: Thresholds) -> DataFrame:
     return rows.select("doc_id", "text_key", F.col("x.entity").alias("entity"), F.xxhash64(near).alias("around"), terms.alias("terms"))
 
 
+def _distinct_terms(docs: DataFrame, *more: str) -> DataFrame:
+    return docs.select(*more, F.explode(F.array_distinct(F.transform(_words(F.col("text")), _term))).alias("term"))
+
+
 def revealing_terms(docs: DataFrame, spans: DataFrame, limits: Thresholds = STANDARD) -> tuple[DataFrame, DataFrame]:
-    """The terms at risk (``term, entity, certainty, bits``), and every document (``doc_id, text_key, term``) that holds a candidate.
+    """The terms at risk (``term, entity, certainty, bits``), and the documents (``doc_id, text_key, term``) that hold one.
+
+    Documents are counted by term before anything is joined, so common words cost partial sums only.
 
     ``spans`` has the documents with spans, ``docs`` all of them (doc_id, text, text_key).
     """
@@ -156,22 +162,27 @@ def revealing_terms(docs: DataFrame, spans: DataFrame, limits: Thresholds = STAN
     pairs = mentions.select("doc_id", "text_key", "entity", "around", F.explode("terms").alias("term"))
     near = pairs.groupBy("term", "entity", "around").agg(F.count(F.lit(1)).alias("n")).groupBy("term", "entity").agg(F.count(F.lit(1)).alias("surroundings"))
     near = storage.settle(near.filter(F.col("surroundings") >= limits.support), "candidates")
-    words = docs.select("doc_id", "text_key", F.explode(F.array_distinct(F.transform(_words(F.col("text")), _term))).alias("term"))
-    hits = storage.settle(words.join(near.select("term").distinct(), "term", "left_semi").distinct(), "candidate-documents")
-    holding = hits.groupBy("term").agg(F.count(F.lit(1)).alias("docs_term"))
+    twice = storage.settle(docs.groupBy("doc_id", "text_key").agg((F.count(F.lit(1)) - 1).alias("extra")).filter("extra > 0"), "repeated-rows")
+    repeated = twice.toDF("d", "t", "extra")
+    repeated = docs.join(repeated, docs["doc_id"].eqNullSafe(repeated["d"]) & (docs["text_key"] == repeated["t"])).drop("d", "t").dropDuplicates(["doc_id", "text_key"])
+    seen = _distinct_terms(docs).groupBy("term").agg(F.count(F.lit(1)).alias("n"))
+    extra = _distinct_terms(repeated, "extra").groupBy("term").agg(F.sum("extra").alias("x"))
+    holding = seen.join(near.select("term").distinct(), "term", "left_semi").join(extra, "term", "left").select("term", (F.col("n") - F.coalesce("x", F.lit(0))).alias("docs_term"))
     both = pairs.select("term", "entity", "doc_id", "text_key").distinct().join(near, ["term", "entity"], "left_semi").groupBy("term", "entity").agg(F.count(F.lit(1)).alias("docs_both"))
     entity = mentions.select("entity", "doc_id", "text_key").distinct().groupBy("entity").agg(F.count(F.lit(1)).alias("docs_entity"))
-    every = docs.agg(F.count(F.lit(1)).alias("docs"))
+    every = docs.agg(F.count(F.lit(1)).alias("n")).crossJoin(twice.agg(F.coalesce(F.sum("extra"), F.lit(0)).alias("x"))).select((F.col("n") - F.col("x")).alias("docs"))  # one row
     scored = both.join(holding, "term").join(entity, "entity").crossJoin(F.broadcast(every))
     scored = scored.withColumn("certainty", F.col("docs_both") / F.col("docs_term"))
     scored = scored.withColumn("bits", F.log2(F.col("certainty") * F.col("docs") / F.col("docs_entity")))
     risks = scored.filter((F.col("certainty") >= limits.certainty) & (F.col("bits") >= limits.bits)).select("term", "entity", "certainty", "bits")
-    return storage.settle(risks, "revealing-terms"), hits
+    risks = storage.settle(risks, "revealing-terms")
+    hits = _distinct_terms(docs, "doc_id", "text_key").join(risks.select("term").distinct(), "term", "left_semi").distinct()
+    return risks, storage.settle(hits, "term-documents")
 
 
 def _term_places(docs: DataFrame, keys: DataFrame) -> DataFrame:
     """``doc_id, text_key, term`` spans of the terms that ``keys`` names for each document."""
-    wanted = keys.groupBy("doc_id", "text_key").agg(F.collect_set("term").alias("wanted"))
+    wanted = storage.settle(keys.groupBy("doc_id", "text_key").agg(F.collect_set("term").alias("wanted")), "wanted-terms")
     same = docs["doc_id"].eqNullSafe(wanted["doc_id"]) & (docs["text_key"] == wanted["text_key"])
     held = docs.join(wanted, same).select(docs["doc_id"], docs["text_key"], "text", "wanted").dropDuplicates(["doc_id", "text_key"])
     held = held.withColumn("words", _words(F.col("text"))).withColumn("gaps", F.split("text", f"[^{SPACE}]+", -1))
@@ -190,8 +201,8 @@ def find(df: DataFrame, limits: Thresholds = STANDARD, id_col: str = "doc_id", t
     spans = base_spans(df, id_col, text_col)
     docs = spans.select("doc_id", "text", "text_key")
     some = sum((F.size(kind) for kind in KINDS), F.lit(0)) > 0
-    risks, hits = revealing_terms(docs, storage.settle(spans.filter(some).dropDuplicates(["doc_id", "text_key"]), "entity-documents"), limits)
-    places = storage.settle(_term_places(docs, hits.join(risks.select("term").distinct(), "term", "left_semi")), "term-spans")
+    _, hits = revealing_terms(docs, storage.settle(spans.filter(some).dropDuplicates(["doc_id", "text_key"]), "entity-documents"), limits)
+    places = storage.settle(_term_places(docs, hits), "term-spans")
     places = places.select(F.col("doc_id").alias("d"), F.col("text_key").alias("t"), "term")
     out = spans.join(places, spans["doc_id"].eqNullSafe(places["d"]) & (spans["text_key"] == places["t"]), "left")
     empty = F.array().cast("array<struct<s:int,e:int>>")
