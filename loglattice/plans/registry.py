@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from loglattice.plans import ledger
+from loglattice.plans import dialogue, ledger, records
 
-MODULES = (ledger,)
+MODULES = (ledger, dialogue, records)
 
 
 def queries() -> dict:
