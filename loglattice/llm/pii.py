@@ -165,9 +165,10 @@ def revealing_terms(docs: DataFrame, spans: DataFrame, limits: Thresholds = STAN
     twice = storage.settle(docs.groupBy("doc_id", "text_key").agg((F.count(F.lit(1)) - 1).alias("extra")).filter("extra > 0"), "repeated-rows")
     repeated = twice.toDF("d", "t", "extra")
     repeated = docs.join(repeated, docs["doc_id"].eqNullSafe(repeated["d"]) & (docs["text_key"] == repeated["t"])).drop("d", "t").dropDuplicates(["doc_id", "text_key"])
+    # An inner join with distinct terms: Spark would move a semi join below the count.
     seen = _distinct_terms(docs).groupBy("term").agg(F.count(F.lit(1)).alias("n"))
     extra = _distinct_terms(repeated, "extra").groupBy("term").agg(F.sum("extra").alias("x"))
-    holding = seen.join(near.select("term").distinct(), "term", "left_semi").join(extra, "term", "left").select("term", (F.col("n") - F.coalesce("x", F.lit(0))).alias("docs_term"))
+    holding = seen.join(near.select("term").distinct(), "term").join(extra, "term", "left").select("term", (F.col("n") - F.coalesce("x", F.lit(0))).alias("docs_term"))
     both = pairs.select("term", "entity", "doc_id", "text_key").distinct().join(near, ["term", "entity"], "left_semi").groupBy("term", "entity").agg(F.count(F.lit(1)).alias("docs_both"))
     entity = mentions.select("entity", "doc_id", "text_key").distinct().groupBy("entity").agg(F.count(F.lit(1)).alias("docs_entity"))
     every = docs.agg(F.count(F.lit(1)).alias("n")).crossJoin(twice.agg(F.coalesce(F.sum("extra"), F.lit(0)).alias("x"))).select((F.col("n") - F.col("x")).alias("docs"))  # one row
