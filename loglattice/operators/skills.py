@@ -1,0 +1,38 @@
+"""Skill use: names, rounds and summaries."""
+
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+from loglattice.functions.guards import stripped
+from loglattice.operators.ordered import running_sum
+
+
+def bare_name(name: Column) -> Column:
+    """Without a leading ``/``, ``$`` or ``@`` and without namespaces (``a:b`` is ``b``)."""
+    raw = F.regexp_replace(stripped(name), "^[/$@]+", "")
+    return F.nullif(F.element_at(F.split(raw, ":"), -1), F.lit(""))
+
+
+def with_rounds(events: DataFrame) -> DataFrame:
+    """Events with ``round``: user messages that weren't injected open one."""
+    opens = F.when((F.col("type") == "user_message") & ~F.coalesce(F.col("origin") == "injected", F.lit(False)), 1).otherwise(0)
+    return running_sum(events, ["session"], "seq", opens, "round")
+
+
+def once_per_round(uses: DataFrame) -> DataFrame:
+    """One use of a skill for each round: an explicit one before passive ones, then the earliest.
+
+    ``uses(session, round, seq, name, trigger, origin)``; ``origin`` becomes ``native`` if any member's is.
+    """
+    named = uses.withColumn("bare", bare_name(F.col("name"))).filter("bare IS NOT NULL")
+    order = F.struct(F.when(F.col("trigger") == "explicit", 0).otherwise(1), "seq")
+    best = named.groupBy("session", "round", "bare").agg(F.min_by(F.struct("seq", "name", "trigger"), order).alias("u"), F.bool_or(F.col("origin") == "native").alias("native"))
+    return best.select("session", "round", "u.seq", "u.name", "bare", "u.trigger", F.when(F.col("native"), "native").otherwise("inferred").alias("origin"))
+
+
+def summary(uses: DataFrame) -> DataFrame:
+    """Uses, sessions and triggers by skill, most used first."""
+    sums = uses.groupBy("bare").agg(F.count(F.lit(1)).alias("total"), F.count_if(F.col("trigger") == "explicit").alias("n_explicit"), F.count_if(F.col("trigger") != "explicit").alias("n_passive"), F.countDistinct("session").alias("n_sessions"), F.max("seq").alias("last_seq"))
+    return sums.orderBy(F.desc("total"), "bare")

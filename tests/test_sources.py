@@ -1,0 +1,87 @@
+"""Native lines to events, and streams to change logs."""
+
+import json
+
+from pyspark.sql import functions as F
+
+from loglattice.sources import interpret, jsonl
+from loglattice.streaming import changelog
+
+
+def put(folder, name, lines, end="\n"):
+    (folder / name).write_text("\n".join(x if isinstance(x, str) else json.dumps(x) for x in lines) + end)
+
+
+def test_lines_keep_their_numbers(spark, tmp_path):
+    put(tmp_path, "a.jsonl", [{"k": 1}, "", "{broken", "[1]", {"k": 2}, '{"partial'], end="")
+    got = sorted((r["pos"], r["state"]) for r in jsonl.read_lines(spark, str(tmp_path)).collect())
+    assert got == [(1, "ok"), (3, "malformed"), (4, "non_object"), (5, "ok")]
+    (tmp_path / "rollout-2024-01-01-0123abcd-0000-1111-2222-0123456789ab.jsonl").write_text("{}\n")
+    assert {r["id"] for r in jsonl.discover(spark, str(tmp_path)).collect()} == {"a", "0123abcd-0000-1111-2222-0123456789ab"}
+
+
+def rows(spark, folder, lines):
+    put(folder, "s.jsonl", lines)
+    return jsonl.read_lines(spark, str(folder)).filter("state = 'ok'").select(F.lit("s").alias("session"), "pos", "raw")
+
+
+def kinds(df):
+    return [(r["type"], r["text"]) for r in df.orderBy("seq").collect()]
+
+
+def test_tree_of_messages(spark, tmp_path):
+    say = lambda role, text: {"role": role, "content": text}
+    df = rows(spark, tmp_path, [
+        {"type": "session", "id": "x"}, {"type": "message", "id": "1", "parentId": None, "message": say("user", "hi")}, {"type": "message", "id": "2", "parentId": "1", "message": say("assistant", "dropped")},
+        {"type": "message", "id": "3", "parentId": "1", "message": {"role": "assistant", "content": [{"type": "thinking", "thinking": "hm"}, {"type": "text", "text": "yes"}, {"type": "toolCall", "id": "c", "name": "bash"}]}},
+        {"type": "message", "id": "4", "parentId": "3", "message": {"role": "toolResult", "toolCallId": "c", "content": "out"}},
+    ])
+    assert kinds(interpret.pi_events(df)) == [("user_message", "hi"), ("thinking", "hm"), ("assistant_message", "yes"), ("tool_call", "bash"), ("tool_result", "out")]
+
+
+def test_flat_items_with_sticky_turns(spark, tmp_path):
+    item = lambda **p: {"type": "response_item", "payload": p}
+    df = rows(spark, tmp_path, [
+        {"type": "turn_context", "payload": {"turn_id": "t1"}}, item(type="message", role="user", content=[{"type": "input_text", "text": "go"}]), {"type": "event_msg", "payload": {"type": "user_message", "message": "go"}},
+        item(type="function_call", call_id="c", name="shell"), item(type="function_call_output", call_id="c", output="done"), {"type": "event_msg", "payload": {"type": "task_complete", "turn_id": "t1"}},
+    ])
+    out = interpret.codex_events(df)
+    assert kinds(out) == [("user_message", "go"), ("tool_call", "shell"), ("tool_result", "done"), ("lifecycle", "task_complete")]
+    assert {r["turn_id"] for r in out.collect()} == {"t1"}
+
+
+def test_loop_parts_are_merged(spark, tmp_path):
+    part = lambda kind, text: {"type": "context.append_loop_event", "event": {"type": "content.part", "part": {"type": kind, "text": text}}}
+    df = rows(spark, tmp_path, [{"type": "context.append_message", "message": {"role": "user", "content": [{"type": "text", "text": "q"}]}}, part("text", "a"), part("text", "b"), {"type": "turn.ended", "reason": "completed"}])
+    events = interpret.kimi_events(df)
+    assert [r["text"] for r in interpret.merged_assistant(events).orderBy("seq").collect()] == ["q", "a\n\nb"]
+
+
+def test_session_windows_of_a_stream_equal_the_batch(spark, small, tmp_path):
+    table = spark.read.parquet(f"{small}/events.parquet")
+    batch = {tuple(r) for r in changelog.session_activity(table, gap="1 hour").collect()}
+    table.repartition(3).write.parquet(str(tmp_path / "in"))
+    last = table.select(F.max("ts").cast("timestamp")).first()[0]
+    stream = changelog.session_activity(spark.readStream.schema(table.schema).parquet(str(tmp_path / "in")), gap="1 hour")
+    query = stream.writeStream.format("memory").queryName("sessions").outputMode("append").option("checkpointLocation", str(tmp_path / "at")).trigger(availableNow=True).start()
+    query.awaitTermination(120)
+    got = {tuple(r) for r in spark.table("sessions").collect()}
+    assert got <= batch and {r for r in batch if (last - r[2]).total_seconds() > 7200} <= got
+
+
+def test_changelog_survives_delivery_twice(spark, tmp_path):
+    schema = "session string, key string, generation long, pos long, op string, text string"
+    source = tmp_path / "in"
+    spark.createDataFrame([("s", "a", 1, 1, "upsert", "x"), ("s", "a", 1, 2, "upsert", "y"), ("s", "b", 1, 3, "upsert", "z")], schema).coalesce(1).write.parquet(str(source))
+    for k in range(2):
+        stream = spark.readStream.schema(schema).parquet(str(source))
+        changelog.changelog(stream, str(tmp_path / "out"), str(tmp_path / f"at{k}")).trigger(availableNow=True).start().awaitTermination(120)
+    log = spark.read.parquet(str(tmp_path / "out"))
+    assert sorted((r["key"], r["text"]) for r in changelog.state_of(log).collect()) == [("a", "y"), ("b", "z")]
+    assert log.count() == 2
+
+
+def test_appends_continue_the_latest_base(spark):
+    schema = "session string, key string, generation long, pos long, op string, text string"
+    df = spark.createDataFrame([("s", "a", 1, 1, "upsert", "old"), ("s", "a", 1, 2, "upsert", "ne"), ("s", "a", 1, 3, "append", "w"), ("s", "b", 1, 4, "append", "?")], schema)
+    assert sorted((r["key"], r["text"], r["gap"]) for r in changelog.appended(df).collect()) == [("a", "new", False), ("b", "?", True)]
