@@ -8,7 +8,9 @@ it keeps the chunks of the current batch and forgets the rest.
 
 from __future__ import annotations
 
+import itertools
 import os
+import string
 import zlib
 from collections.abc import Iterator
 
@@ -51,26 +53,49 @@ class ChunkEncoder:
         self.ids = np.zeros(1 << 16, dtype=np.uint32)
         self.ends = np.zeros(1 << 12, dtype=np.int64)  # of entry k, at k + 1
         marks = ((mark, self._plain([mark])[0]) for mark in "\u2605\u2606\u25cf\u2022\u266a")
+        self.letters_whole = self._leaves_letters()
         self.mark, self.mark_id = next((mark, int(ids[0])) for mark, ids in marks if len(ids) == 1)
 
     def _plain(self, chunks: list[str]) -> list[list[int]]:
         return [x.ids for x in self.tokenizer.encode_batch_fast(chunks, add_special_tokens=False)]
 
+    def _leaves_letters(self) -> bool:
+        """Whether a word of the letters a-z reaches the model as it is."""
+        word, parts = string.ascii_lowercase, (self.tokenizer.normalizer, self.tokenizer.pre_tokenizer)
+        plain = all(parts) and parts[0].normalize_str(word) == word and [x for x, _ in parts[1].pre_tokenize_str(word)] == [word]
+        return plain and not any(x.content.isalpha() for x in self.tokenizer.get_added_tokens_decoder().values())
+
+    def _marked(self, words: list[str]) -> list[list[int]]:
+        """Ids of words that are encoded together, parted by a mark of one id; each alone if one holds the mark itself."""
+        row = self._plain([f" {self.mark} ".join([*words, ""])])[0]
+        if row.count(self.mark_id) != len(words):
+            return self._plain(words)
+        rows, at = [], 0
+        for _ in words:
+            end = row.index(self.mark_id, at)
+            rows.append(row[at:end])
+            at = end + 1
+        return rows
+
     def _encode_chunks(self, chunks: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of chunks one after another and the number of each chunk's ids.
 
-        Chunks are encoded many at a time, parted by a mark of one id.  If a
-        chunk itself holds the mark's character, each is encoded alone.
+        Chunks of the letters a-z go to the tokenizer's model itself where
+        normaliser and pre-tokenizer leave such a word alone; the others are
+        encoded some at a time, as a long string costs more for each word.
         """
-        words = [c.decode("utf-8", "replace") for c in chunks]
-        joined = f" {self.mark} ".join(words)
-        if joined.count(self.mark) == len(words) - 1:
-            ids = np.array(self._plain([f"{joined} {self.mark}"])[0], dtype=np.uint32)
-            stops = np.flatnonzero(ids == self.mark_id)
-            if len(stops) == len(words):
-                return np.delete(ids, stops), np.diff(stops, prepend=-1) - 1
-        rows = self._plain(words)
-        return np.array([i for row in rows for i in row], dtype=np.uint32), np.array([len(row) for row in rows], dtype=np.int64)
+        tokenize, rows, rest = self.tokenizer.model.tokenize, [], []
+        for k, chunk in enumerate(chunks):
+            if self.letters_whole and chunk.isalpha() and chunk.islower():
+                rows.append([x.id for x in tokenize(chunk.decode())])
+            else:
+                rows.append([])
+                rest.append(k)
+        for k in range(0, len(rest), 100):
+            some = rest[k : k + 100]
+            for at, row in zip(some, self._marked([chunks[at].decode("utf-8", "replace") for at in some]), strict=True):
+                rows[at] = row
+        return np.fromiter(itertools.chain.from_iterable(rows), dtype=np.uint32), np.array([len(row) for row in rows], dtype=np.int64)
 
     def _forget(self, chunks: list[bytes]) -> None:
         keep = list({c for c in chunks if c in self.table})
