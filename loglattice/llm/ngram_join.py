@@ -168,15 +168,17 @@ def links(docs: DataFrame, table: DataFrame, classes: DataFrame) -> DataFrame:
     roots = graph.components(first)
     placed = members.join(roots, F.col("id") == F.col("node"), "left").select("key", "id", "n", "band", "lead", F.coalesce("root", "id").alias("root"))
     open_keys = placed.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low <> high").select("key")
-    samples = table.select(F.col("doc_id").alias("id"), "n", "sketch", F.explode("sides").alias("side")).select("id", "n", "sketch", "side.band", "side.rate", *[f"side.{c}" for c in SAMPLES]).dropDuplicates(["id", "n", "band"])
+    samples = table.select(F.col("doc_id").alias("id"), "n", F.explode("sides").alias("side")).select("id", "n", "side.band", "side.rate", *[f"side.{c}" for c in SAMPLES]).dropDuplicates(["id", "n", "band"])
     left = storage.settle(placed.join(open_keys, "key").join(samples, ["id", "n", "band"]), "open-members")
     main = left.groupBy("key", "root").agg(F.count(F.lit(1)).alias("size")).groupBy("key").agg(F.max_by("root", F.struct("size", "root")).alias("main"))
-    outside = left.join(main, "key").filter("root <> main").select("key", F.col("id").alias("x"), F.col("n").alias("nx"), F.col("root").alias("rx"), "main", "lead", "rate", F.col("sketch").alias("sx"), *[F.col(c).alias(f"x_{c}") for c in SAMPLES])
-    inside = left.select("key", F.col("id").alias("y"), F.col("n").alias("ny"), F.col("root").alias("ry"), F.col("sketch").alias("sy"), *[F.col(c).alias(f"y_{c}") for c in SAMPLES])
+    outside = left.join(main, "key").filter("root <> main").select("key", F.col("id").alias("x"), F.col("n").alias("nx"), F.col("root").alias("rx"), "main", "lead", "rate", *[F.col(c).alias(f"x_{c}") for c in SAMPLES])
+    inside = left.select("key", F.col("id").alias("y"), F.col("n").alias("ny"), F.col("root").alias("ry"), *[F.col(c).alias(f"y_{c}") for c in SAMPLES])
     apart = (F.col("rx") != F.col("ry")) & ((F.col("ry") == F.col("main")) | (F.col("x") < F.col("y"))) & (F.col("lead") != F.col("x")) & (F.col("lead") != F.col("y"))
     same = outside["key"] == inside["key"]
-    pairs = outside.join(inside, same & apart & _near("nx", "ny") & _sample_near() & _sketch_near("sx", "sy", "nx", "ny")).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
-    return first.union(_exact_filter(storage.settle(pairs, "possible"), docs))
+    pairs = outside.join(inside, same & apart & _near("nx", "ny") & _sample_near()).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+    # Buckets carry the short sample sketches only; the whole ones meet once for each pair.
+    second = storage.settle(_sketch_filter(storage.settle(pairs, "sampled-pairs"), table), "possible")
+    return first.union(_exact_filter(second, docs))
 
 
 def near_duplicates(docs: DataFrame, parts: int | None = shingles.PARTS) -> DataFrame:
