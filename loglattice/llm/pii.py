@@ -1,22 +1,26 @@
 """Personal data: pattern spans, and terms that the corpus shows to reveal them (DataFrame functions only).
 
 Base spans come from four patterns.  The method then follows information-theoretic
-sanitisation: from co-occurrence over the whole corpus it estimates how much a
-term tells about a protected entity (one concrete address, number, ...).  A term
-is a disclosure risk if the entity is nearly certain given the term,
-``P(entity | term)`` at least ``certainty``, if the pointwise mutual information
-reaches ``bits``, and if at least ``support`` *distinct* surroundings of the
-entity hold the term; copies of a passage have equal surroundings and count
-once.  Every occurrence of such a term becomes a ``term`` span, in documents
-without the entity too.
+sanitisation: from co-occurrence in whole documents, over the whole corpus, it
+estimates how much a term tells about a protected entity (one concrete address,
+number, ...).  A term is a disclosure risk if the entity is nearly certain given
+the term, ``P(entity | term)`` at least ``certainty``, if the pointwise mutual
+information reaches ``share`` of the entity's own information
+``-log2 P(entity)``, and if that is no accident: the term or the entity stands in
+at least ``support`` *distinct* surroundings in the documents that hold both, and
+these surroundings times the mutual information reach ``evidence`` bits, so an
+entity that many documents hold needs more of them.  Copies of a passage have
+equal surroundings and count once.  Every occurrence of such a term becomes a
+``term`` span, in documents without the entity too.
 
 Patterns are written without nested repetition and start only at the beginning
 of a run of their characters, so very long texts cost linear time and no deep
 recursion; offsets are added up from the pieces between matches.
 
-Shuffled are surroundings of entities, partial sums of term counts and, only if
-some term is a risk, the texts' keys; lookups are joined as written tables whose
-size Spark sees.
+Shuffled are partial sums of term counts, the places of terms that hardly occur
+outside documents with an entity (no other term can reach ``certainty``) and,
+only if some term is a risk, the texts' keys; lookups are joined as written
+tables whose size Spark sees.
 
 Defined results: null text is empty and has no spans; repeated rows are reported
 each; documents count once per (id, text) in the statistics; a null id is an id;
@@ -41,11 +45,12 @@ _SPAN = "array<struct<m:string,s:int,e:int>>"
 
 @dataclass(frozen=True)
 class Thresholds:
-    """Disclosure thresholds and the width of an entity's surroundings in characters and words."""
+    """Disclosure thresholds and the width of surroundings in characters and words."""
 
     support: int = 3
     certainty: float = 0.9
-    bits: float = 4.0
+    share: float = 0.75
+    evidence: float = 12.0
     shortest: int = 3
     reach_chars: int = 120
     reach_words: int = 6
@@ -135,48 +140,96 @@ def _mapped(kinds: tuple[str, ...], make: Callable[[str, Column], Column]) -> Co
 
 
 def _mentions(spans: DataFrame, limits: Thresholds) -> DataFrame:
-    """``entity, around, terms`` of every mention: the terms near it, and a hash of its surroundings."""
+    """``doc, entity, around`` of every mention: its document and a hash of its surroundings."""
     each = _mapped(KINDS, lambda kind, x: F.struct(F.concat(F.lit(f"{kind}:"), F.lower(x["m"])).alias("entity"), x["s"].alias("s"), x["e"].alias("e")))
-    rows = spans.filter(sum((F.size(kind) for kind in KINDS), F.lit(0)) > 0).select("doc_id", "text_key", "text", F.explode(each).alias("x"))
+    rows = spans.select("doc", "text", F.explode(each).alias("x"))
     begin = F.greatest(F.lit(0), F.col("x.s") - limits.reach_chars)
     left = F.substring("text", begin + 1, F.col("x.s") - begin)
     right = F.substring("text", F.col("x.e") + 1, F.lit(limits.reach_chars))
     left, right = _words(left), _words(right)
     near = F.concat(F.slice(F.reverse(left), 1, limits.reach_words), F.slice(right, 1, limits.reach_words))
-    terms = F.array_distinct(F.filter(F.transform(near, _term), lambda x: F.length(x) >= limits.shortest))
-    return rows.select("doc_id", "text_key", F.col("x.entity").alias("entity"), F.xxhash64(near).alias("around"), terms.alias("terms"))
+    return rows.select("doc", F.col("x.entity").alias("entity"), F.xxhash64(near).alias("around"))
 
 
-def _distinct_terms(docs: DataFrame, *more: str) -> DataFrame:
-    return docs.select(*more, F.explode(F.array_distinct(F.transform(_words(F.col("text")), _term))).alias("term"))
+def _outside() -> Column:
+    """The text with a blank for each base span."""
+    every = F.sort_array(_mapped(KINDS, lambda kind, x: F.struct(x["s"].alias("s"), x["e"].alias("e"))))
+    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out"))
 
+    def step(acc: Column, x: Column) -> Column:
+        gap = F.substring("text", acc["at"] + 1, F.greatest(F.lit(0), x["s"] - acc["at"]))
+        return F.struct(F.greatest(acc["at"], x["e"]).alias("at"), F.concat(acc["out"], F.array(gap)).alias("out"))
 
-def revealing_terms(docs: DataFrame, spans: DataFrame, limits: Thresholds = STANDARD) -> tuple[DataFrame, DataFrame]:
-    """The terms at risk (``term, entity, certainty, bits``), and the documents (``doc_id, text_key, term``) that hold one.
+    rest = lambda acc: F.concat(acc["out"], F.array(F.substring("text", acc["at"] + 1, F.length("text"))))
+    return F.array_join(F.aggregate(every, start, step, rest), " ")
+
+
+def _distinct_terms(docs: DataFrame, *more: str, text: str = "text") -> DataFrame:
+    return docs.select(*more, F.explode(F.array_distinct(F.transform(_words(F.col(text)), _term))).alias("term"))
+
+
+def _candidates(docs: DataFrame, repeated: DataFrame, spans: DataFrame, limits: Thresholds) -> DataFrame:
+    """``term, docs_term`` of the terms with enough of their documents among those with an entity.
 
     Documents are counted by term before anything is joined, so common words cost partial sums only.
+    Words of the entities themselves are no terms of a document.
+    """
+    seen = _distinct_terms(docs).groupBy("term").agg(F.count(F.lit(1)).alias("n"))
+    extra = _distinct_terms(repeated, "extra").groupBy("term").agg(F.sum("extra").alias("x"))
+    told = _distinct_terms(spans, text="outside").withColumns({"near": F.lit(1), "whole": F.lit(0)})
+    whole = _distinct_terms(spans).withColumns({"near": F.lit(0), "whole": F.lit(1)})
+    held = told.unionByName(whole).groupBy("term").agg(F.sum("near").alias("near"), F.sum("whole").alias("whole"))
+    held = storage.settle(held.filter((F.col("near") >= limits.support) & (F.length("term") >= limits.shortest)), "entity-terms")
+    # An inner join with distinct terms: Spark would move a semi join below the count.
+    counted = seen.join(held, "term").join(extra, "term", "left")
+    elsewhere = F.col("n") - F.coalesce("x", F.lit(0)) - F.col("whole")
+    counted = counted.select("term", "near", (elsewhere + F.col("near")).alias("docs_term"))
+    return storage.settle(counted.filter(F.col("near") / F.col("docs_term") >= limits.certainty).drop("near"), "candidates")
+
+
+def _surroundings(spans: DataFrame, mentions: DataFrame, pairs: DataFrame, limits: Thresholds) -> DataFrame:
+    """``term, entity, surroundings`` of the ``pairs``: distinct surroundings of the term or of the entity, whichever are more."""
+    width = limits.reach_words
+    words = spans.select("doc", _words(F.col("outside")).alias("words"))
+    place = lambda w, i: F.struct(_term(w).alias("term"), F.xxhash64(F.slice("words", F.greatest(F.lit(1), i + 1 - width), width + 1 + F.least(i, F.lit(width)))).alias("around"))
+    places = words.select("doc", F.explode(F.transform("words", place)).alias("x")).select("doc", "x.term", "x.around")
+    places = storage.settle(places.join(pairs.select("term").distinct(), "term"), "term-surroundings")
+    both = places.select("doc", "term").distinct().join(pairs.select("term", "entity"), "term")
+    both = both.join(mentions.select("doc", "entity").distinct(), ["doc", "entity"])
+    both = storage.settle(both.select("doc", "term", "entity"), "term-entity-documents")
+    sides = {}
+    for side, known in (("of_term", places.join(both, ["doc", "term"])), ("of_entity", mentions.join(both, ["doc", "entity"]))):
+        once = known.groupBy("term", "entity", "around").agg(F.count(F.lit(1)).alias("n"))
+        sides[side] = once.groupBy("term", "entity").agg(F.count(F.lit(1)).alias(side))
+    joined = sides["of_term"].join(sides["of_entity"], ["term", "entity"])
+    return joined.select("term", "entity", F.greatest("of_term", "of_entity").alias("surroundings"))
+
 
-    ``spans`` has the documents with spans, ``docs`` all of them (doc_id, text, text_key).
+def revealing_terms(docs: DataFrame, spans: DataFrame, limits: Thresholds = STANDARD) -> tuple[DataFrame, DataFrame]:
+    """The terms at risk (``term, entity, certainty, bits``), and the documents (``doc_id, text_key, term``) that hold one.
+
+    ``spans`` has the documents with spans, each once, with a number ``doc`` and their text ``outside`` the spans;
+    ``docs`` has all of them (doc_id, text, text_key).
     """
     mentions = storage.settle(_mentions(spans, limits), "mentions")
-    pairs = mentions.select("doc_id", "text_key", "entity", "around", F.explode("terms").alias("term"))
-    near = pairs.groupBy("term", "entity", "around").agg(F.count(F.lit(1)).alias("n")).groupBy("term", "entity").agg(F.count(F.lit(1)).alias("surroundings"))
-    near = storage.settle(near.filter(F.col("surroundings") >= limits.support), "candidates")
     twice = storage.settle(docs.groupBy("doc_id", "text_key").agg((F.count(F.lit(1)) - 1).alias("extra")).filter("extra > 0"), "repeated-rows")
     repeated = twice.toDF("d", "t", "extra")
     repeated = docs.join(repeated, docs["doc_id"].eqNullSafe(repeated["d"]) & (docs["text_key"] == repeated["t"])).drop("d", "t").dropDuplicates(["doc_id", "text_key"])
-    # An inner join with distinct terms: Spark would move a semi join below the count.
-    seen = _distinct_terms(docs).groupBy("term").agg(F.count(F.lit(1)).alias("n"))
-    extra = _distinct_terms(repeated, "extra").groupBy("term").agg(F.sum("extra").alias("x"))
-    holding = seen.join(near.select("term").distinct(), "term").join(extra, "term", "left").select("term", (F.col("n") - F.coalesce("x", F.lit(0))).alias("docs_term"))
-    both = pairs.select("term", "entity", "doc_id", "text_key").distinct().join(near, ["term", "entity"], "left_semi").groupBy("term", "entity").agg(F.count(F.lit(1)).alias("docs_both"))
-    entity = mentions.select("entity", "doc_id", "text_key").distinct().groupBy("entity").agg(F.count(F.lit(1)).alias("docs_entity"))
+    candidates = _candidates(docs, repeated, spans, limits)
+    entities = mentions.select("doc", "entity").distinct()
+    terms = _distinct_terms(spans, "doc", text="outside").join(candidates.select("term"), "term")
+    both = terms.join(entities, "doc").groupBy("term", "entity").agg(F.count(F.lit(1)).alias("docs_both"))
+    entity = entities.groupBy("entity").agg(F.count(F.lit(1)).alias("docs_entity"))
     every = docs.agg(F.count(F.lit(1)).alias("n")).crossJoin(twice.agg(F.coalesce(F.sum("extra"), F.lit(0)).alias("x"))).select((F.col("n") - F.col("x")).alias("docs"))  # one row
-    scored = both.join(holding, "term").join(entity, "entity").crossJoin(F.broadcast(every))
+    scored = both.filter(F.col("docs_both") >= limits.support).join(candidates, "term").join(entity, "entity").crossJoin(F.broadcast(every))
     scored = scored.withColumn("certainty", F.col("docs_both") / F.col("docs_term"))
-    scored = scored.withColumn("bits", F.log2(F.col("certainty") * F.col("docs") / F.col("docs_entity")))
-    risks = scored.filter((F.col("certainty") >= limits.certainty) & (F.col("bits") >= limits.bits)).select("term", "entity", "certainty", "bits")
-    risks = storage.settle(risks, "revealing-terms")
+    own = F.log2(F.col("docs") / F.col("docs_entity"))
+    scored = scored.withColumn("bits", F.log2("certainty") + own)
+    scored = scored.filter((F.col("certainty") >= limits.certainty) & (F.col("bits") > 0) & (F.col("bits") >= limits.share * own))
+    scored = storage.settle(scored.select("term", "entity", "certainty", "bits"), "scored-terms")
+    risks = scored.join(_surroundings(spans, mentions, scored, limits), ["term", "entity"])
+    enough = (F.col("surroundings") >= limits.support) & (F.col("surroundings") * F.col("bits") >= limits.evidence)
+    risks = storage.settle(risks.filter(enough).select("term", "entity", "certainty", "bits"), "revealing-terms")
     hits = _distinct_terms(docs, "doc_id", "text_key").join(risks.select("term").distinct(), "term", "left_semi").distinct()
     return risks, storage.settle(hits, "term-documents")
 
@@ -202,7 +255,9 @@ def find(df: DataFrame, limits: Thresholds = STANDARD, id_col: str = "doc_id", t
     spans = base_spans(df, id_col, text_col)
     docs = spans.select("doc_id", "text", "text_key")
     some = sum((F.size(kind) for kind in KINDS), F.lit(0)) > 0
-    _, hits = revealing_terms(docs, storage.settle(spans.filter(some).dropDuplicates(["doc_id", "text_key"]), "entity-documents"), limits)
+    held = spans.filter(some).dropDuplicates(["doc_id", "text_key"])
+    held = held.withColumns({"doc": F.monotonically_increasing_id(), "outside": _outside()})
+    _, hits = revealing_terms(docs, storage.settle(held, "entity-documents"), limits)
     places = storage.settle(_term_places(docs, hits), "term-spans")
     places = places.select(F.col("doc_id").alias("d"), F.col("text_key").alias("t"), "term")
     out = spans.join(places, spans["doc_id"].eqNullSafe(places["d"]) & (spans["text_key"] == places["t"]), "left")

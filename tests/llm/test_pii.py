@@ -58,3 +58,16 @@ def test_sanitised_texts_hold_none_of_it(leaking, nothing):
 
 def test_rows_stay_one_to_one(awkward, awkward_rows):
     assert len(rows_of(pii.digest(awkward))) == len(awkward_rows)
+
+
+def test_terms_elsewhere_in_the_document_are_found(spark):
+    """A name in the title reveals an address lines below; so does one whose entity an eighth of the documents hold."""
+    rng = random.Random(9)
+    texts = [f"Zorblax\n\n{prose(rng, 60)}\n\nwrite to zor@corp.example" for _ in range(6)]
+    texts += [f"dear Quuxly,\n{prose(rng, 60)}\nfrom 10.1.2.3 {prose(rng, 30)}" for _ in range(60)]
+    texts += [prose(rng, 80) for _ in range(400)]
+    found = {r["doc_id"]: r for r in pii.digest(spark.createDataFrame(rows_for(texts), SCHEMA).repartition(3)).collect()}
+    named = {k: sorted(texts[k][int(s) : int(e)] for kind, s, e in (x.split(":") for x in r["spans"].split(",") if x) if kind == "term") for k, r in found.items()}
+    assert all("Zorblax" in named[k] for k in range(6))
+    assert all("Quuxly" in named[k] for k in range(6, 66))
+    assert not any(named[k] for k in range(66, len(texts)))
