@@ -3,13 +3,16 @@
 Fit (on a bounded sample): vectors are lifted so that the largest inner product
 becomes the smallest angle; several rotations are learned by alternating sign
 codes and orthogonal fits, each from its own start, and together give 256 bits.
+The sample holds distinct vectors, so groups of copies don't narrow the radius.
 The Hamming radius is set so that the sample's own nearest pairs lie within it.
 
 Search: every vector's code is cut into 16 substrings of 16 bits and each is
 indexed.  By the pigeonhole principle two codes within radius r agree within
 r // 16 bits in some substring, so probing every index bucket that close to the
 query's substring retrieves every code within the radius.  Their float vectors
-are then ranked by inner product in double precision.
+are then ranked by inner product in double precision.  Queries that found fewer
+than ``k`` although there are more candidates go through further rounds at twice
+the radius, at last all 256 bits, which is exact.
 
 The stated query set meets all vectors in blocks: index shards of bounded size
 against query blocks of bounded size.  Equal vectors are one: for each distinct
@@ -25,7 +28,7 @@ to the smaller id; other columns are not read.
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
@@ -134,40 +137,55 @@ def search(df: DataFrame, queries: Column, k: int = 20, id_col: str = "vec_id",
     if not total:
         return df.sparkSession.createDataFrame([], schema)
     rows = rows.filter(F.size("v") == size).withColumn("same", F.struct(F.xxhash64("v").alias("a"), F.hash("v").alias("b")))
-    drawn = rows.orderBy(F.xxhash64("vec_id"), "vec_id").select("v").limit(sample).toPandas()["v"]
-    coder = fit(np.stack(drawn.to_numpy()).astype(np.float64), float(top) * (1 + 1e-9), k)
 
     some = rows.select("vec_id", "v", "same").dropDuplicates(["vec_id", "same"])
     for keys in (["same", F.pmod("vec_id", F.lit(SALTS))], ["same"]):
         some = some.withColumn("nth", F.row_number().over(Window.partitionBy(*keys).orderBy("vec_id"))).filter(F.col("nth") <= k + 1)
     some = storage.settle(some.select("vec_id", "v", "same", "nth"), "ann-vectors")
+    drawn = some.filter("nth = 1").orderBy(F.xxhash64("vec_id"), "vec_id").select("v").limit(sample).toPandas()["v"]
+    coder = fit(np.stack(drawn.to_numpy()).astype(np.float64), float(top) * (1 + 1e-9), k)
     asked = storage.settle(rows.filter("asked").select("vec_id", "same").distinct(), "ann-queries")
     shards = -(-total // SHARD_ROWS)
-    blocks = -(-asked.count() // BLOCK_ROWS) or 1
-    mixed = F.xxhash64("vec_id")
-    index = some.select("vec_id", "v", F.pmod(mixed, F.lit(shards).cast("long")).alias("shard"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"))
-    needles = some.filter("nth = 1").join(asked.select("same").distinct(), "same", "left_semi")
-    needles = needles.select("same", F.col("v").alias("v"), F.pmod(mixed, F.lit(blocks).cast("long")).cast("int").alias("block"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(shards - 1).cast("long"))).alias("shard"))
-
-    def scan(left: pa.Table, right: pa.Table) -> pa.Table:
-        out_a, out_b, out_ids, out_scores = [], [], [], []
-        if left.num_rows and right.num_rows:
-            shard = ShardIndex(coder, left.column("vec_id").to_numpy(), _rows(left.column("v")))
-            wanted = _rows(right.column("wanted"))
-            for key, query, code in zip(right.column("same").to_pylist(), wanted, coder.codes(wanted, True), strict=True):
-                ids, scores = shard.search(query, code, k + 1)
-                out_a += [key["a"]] * len(ids)
-                out_b += [key["b"]] * len(ids)
-                out_ids.append(ids)
-                out_scores.append(scores)
-        ids = np.concatenate(out_ids) if out_ids else np.zeros(0, dtype=np.int64)
-        scores = np.concatenate(out_scores) if out_scores else np.zeros(0)
-        return pa.table({"a": pa.array(out_a, pa.int64()), "b": pa.array(out_b, pa.int32()), "vec_id": pa.array(ids, pa.int64()), "score": pa.array(scores, pa.float64())})
-
-    index, needles = index.toDF("vec_id", "v", "shard", "block"), needles.toDF("same", "wanted", "at_block", "at_shard")
-    found = index.groupBy("shard", "block").cogroup(needles.groupBy("at_shard", "at_block")).applyInArrow(scan, "a long, b int, vec_id long, score double")
     order = [F.desc("score"), "vec_id"]
-    best = found.withColumn("nth", F.row_number().over(Window.partitionBy("a", "b").orderBy(*order))).filter(F.col("nth") <= k + 1)
+
+    def meet(needles: DataFrame, wider: Coder) -> DataFrame:
+        """The best ``k + 1`` within the radius for every needle, met with every shard."""
+        blocks = -(-needles.count() // BLOCK_ROWS) or 1
+        mixed = F.xxhash64("vec_id")
+        index = some.select("vec_id", "v", F.pmod(mixed, F.lit(shards).cast("long")).alias("shard"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"))
+        needles = needles.select("same", "v", F.pmod(mixed, F.lit(blocks).cast("long")).cast("int").alias("block"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(shards - 1).cast("long"))).alias("shard"))
+
+        def scan(left: pa.Table, right: pa.Table) -> pa.Table:
+            out_a, out_b, out_ids, out_scores = [], [], [], []
+            if left.num_rows and right.num_rows:
+                shard = ShardIndex(wider, left.column("vec_id").to_numpy(), _rows(left.column("v")))
+                wanted = _rows(right.column("wanted"))
+                for key, query, code in zip(right.column("same").to_pylist(), wanted, wider.codes(wanted, True), strict=True):
+                    ids, scores = shard.search(query, code, k + 1)
+                    out_a += [key["a"]] * len(ids)
+                    out_b += [key["b"]] * len(ids)
+                    out_ids.append(ids)
+                    out_scores.append(scores)
+            ids = np.concatenate(out_ids) if out_ids else np.zeros(0, dtype=np.int64)
+            scores = np.concatenate(out_scores) if out_scores else np.zeros(0)
+            return pa.table({"a": pa.array(out_a, pa.int64()), "b": pa.array(out_b, pa.int32()), "vec_id": pa.array(ids, pa.int64()), "score": pa.array(scores, pa.float64())})
+
+        index, needles = index.toDF("vec_id", "v", "shard", "block"), needles.toDF("same", "wanted", "at_block", "at_shard")
+        found = index.groupBy("shard", "block").cogroup(needles.groupBy("at_shard", "at_block")).applyInArrow(scan, "a long, b int, vec_id long, score double")
+        best = found.withColumn("nth", F.row_number().over(Window.partitionBy("a", "b").orderBy(*order))).filter(F.col("nth") <= k + 1)
+        return storage.settle(best, "ann-found")
+
+    needles = some.filter("nth = 1").join(asked.select("same").distinct(), "same", "left_semi")
+    full = min(k + 1, some.count())
+    best = meet(needles, coder)
+    while coder.radius < BITS:
+        done = best.groupBy("a", "b").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= full).select(F.struct("a", "b").alias("same"))
+        needles = storage.settle(needles.join(done, "same", "left_anti"), "ann-unfilled")
+        if needles.isEmpty():
+            break
+        coder = replace(coder, radius=min(BITS, max(PIECES, 2 * coder.radius)))
+        again = needles.select("same.a", "same.b")
+        best = best.join(again, ["a", "b"], "left_anti").unionByName(meet(needles, coder))
     each = asked.select(F.col("vec_id").alias("query_id"), F.col("same.a").alias("a"), F.col("same.b").alias("b")).join(best, ["a", "b"]).filter("vec_id <> query_id")
     ranked = each.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(*order)))
     return ranked.filter(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")

@@ -62,3 +62,17 @@ def test_probing_finds_every_code_within_the_radius(vectors):
     for code in index.codes[:40]:
         apart = np.bitwise_count(index.wide ^ code.view(np.uint64)).sum(axis=1, dtype=np.int64)
         assert set(index.within(code)) == set(np.flatnonzero(apart <= coder.radius))
+
+
+def test_every_query_gets_its_full_number(spark):
+    """Outliers beside a hot cluster with copies, and few vectors, get as many rows as there are candidates."""
+    rng = np.random.default_rng(3)
+    centre = rng.standard_normal(32)
+    some = centre + 0.05 * rng.standard_normal((700, 32))
+    some[100:400] = some[100]
+    some[::20][:10] = -3 * centre + 2 * rng.standard_normal((10, 32))
+    for vectors in (some, rng.standard_normal((15, 32))):
+        df = spark.createDataFrame([(k, v.tolist(), 0) for k, v in enumerate(vectors)], SCHEMA).repartition(3)
+        got = rows_of(ann.search(df, F.col("vec_id") % 20 == 0))
+        asked, most = range(0, len(vectors), 20), min(20, len(vectors) - 1)
+        assert sorted((q, r) for q, r, _, _ in got) == [(q, r) for q in asked for r in range(1, most + 1)]
