@@ -3,17 +3,18 @@
 Two bigram models, one of toxic and one of ordinary training documents, share
 their lowest level: a word's continuation share, the number of distinct words
 before it in either class.  So an expression that is rare in both classes gets
-about the same probability from both.  A document's evidence is the difference
+about the same probability from both.  A word that neither class has seen gets
+the shared lower level alone, weighted by each class's backoff.  A document's evidence is the difference
 of the two log-likelihoods, normalised by length: its mean over all tokens, over
 the best window of a dozen tokens and over the best token.  A logistic
 regression on training documents that the models haven't seen turns these into a
 probability.
 
-Documented bounds of the fit: at most ``class_docs`` labelled documents of each
-class, drawn by the hash of their id, whole texts; at most ``entries`` words and
-as many bigrams, the most frequent ones, seen ``least`` times or more.  Scoring
-covers every whole text.  The model is broadcast; its size is bounded by
-``entries``.
+Documented bound of the fit: at most ``class_docs`` labelled documents of each
+class, drawn by the hash of their id, whole texts.  All their words and bigrams
+are kept, however rare (``least`` and ``entries`` can bound them).  Scoring covers
+every whole text.  The model is broadcast; its size is bounded by the texts of
+the sample.
 
 Defined results: null or empty text has no evidence and gets the score of a
 document without tokens; labels that are null don't count; an id with several
@@ -36,8 +37,8 @@ from loglattice.llm import storage
 from loglattice.llm.textkit import hashed_rows, mix64, small_batches
 
 CLASS_DOCS = 8000
-ENTRIES = 1 << 20
-LEAST = 3
+ENTRIES = None
+LEAST = 1
 DISCOUNT = 0.75
 WINDOW = 12
 _START = np.uint64(0x6A09E667F3BCC908)
@@ -87,6 +88,8 @@ class Model:
     pairs: np.ndarray
     arc_toxic: np.ndarray  # discounted p(w | h), by bigram
     arc_ordinary: np.ndarray
+    new_toxic: float = 1.0  # weight of the shared level below the words
+    new_ordinary: float = 1.0
 
     @staticmethod
     def _find(table: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -94,20 +97,19 @@ class Model:
         return at, table[at] == wanted
 
     def ratios(self, words: np.ndarray, before: np.ndarray) -> np.ndarray:
-        """Difference of the classes' log probabilities for every token; 0 for unknown words."""
-        out = np.zeros(len(words))
+        """Difference of the classes' log probabilities for every token."""
         if not len(self.words):
-            return out
+            return np.zeros(len(words))
         at, known = self._find(self.words, words)
         back, old = self._find(self.words, before)
-        toxic = np.where(old, self.back_toxic[back], 1.0) * self.toxic[at]
-        ordinary = np.where(old, self.back_ordinary[back], 1.0) * self.ordinary[at]
+        # The shared probability of an unknown word is the same in both classes, so it cancels.
+        toxic = np.where(old, self.back_toxic[back], 1.0) * np.where(known, self.toxic[at], self.new_toxic)
+        ordinary = np.where(old, self.back_ordinary[back], 1.0) * np.where(known, self.ordinary[at], self.new_ordinary)
         if len(self.pairs):
             arc, seen = self._find(self.pairs, mix64(before * _PAIR) + words)
             toxic = toxic + np.where(seen, self.arc_toxic[arc], 0)
             ordinary = ordinary + np.where(seen, self.arc_ordinary[arc], 0)
-        out[known] = np.log(toxic[known]) - np.log(ordinary[known])
-        return out
+        return np.log(toxic) - np.log(ordinary)
 
     def evidence(self, text: pa.Array) -> np.ndarray:
         """One row of :data:`FEATURES` for each document."""
@@ -122,7 +124,7 @@ class Model:
         return out
 
 
-def _model(counts: DataFrame, least: int, entries: int, discount: float) -> Model:
+def _model(counts: DataFrame, least: int, entries: int | None, discount: float) -> Model:
     sums = [F.sum("t").alias("t"), F.sum("o").alias("o")]
     types = [F.count_if(F.col("t") > 0).alias("tt"), F.count_if(F.col("o") > 0).alias("to")]
     words = counts.groupBy("w").agg(*sums, F.count(F.lit(1)).alias("before"))
@@ -130,11 +132,22 @@ def _model(counts: DataFrame, least: int, entries: int, discount: float) -> Mode
     n_t, n_o, kinds = counts.agg(F.sum("t"), F.sum("o"), F.count(F.lit(1))).first()
     types_t, types_o = words.agg(F.count_if(F.col("t") > 0), F.count_if(F.col("o") > 0)).first()
     total = F.col("t") + F.col("o")
-    top = lambda df, keys: df.filter(total >= least).orderBy(total.desc(), *keys).limit(entries)
+    top = lambda df, keys: df.filter(total >= least) if entries is None else df.filter(total >= least).orderBy(total.desc(), *keys).limit(entries)
     w = top(words, ["w"]).toPandas()
     h = top(heads.withColumnRenamed("h", "w"), ["w"]).toPandas()
     pairs = top(counts, ["h", "w"])
-    p = pairs.join(heads.select("h", F.col("t").alias("ht"), F.col("o").alias("ho")), "h").toPandas()
+
+    def arcs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            c = {name: batch.column(name).to_numpy() for name in batch.schema.names}
+            pair = mix64(c["h"].view(np.uint64) * _PAIR) + c["w"].view(np.uint64)
+            arc = lambda k, n: np.maximum(c[k] - discount, 0) / np.maximum(c[n], 1)
+            yield pa.RecordBatch.from_arrays([pa.array([x.tobytes()], pa.binary()) for x in (pair, arc("t", "ht"), arc("o", "ho"))], names=["pair", "t", "o"])
+
+    p = pairs.join(heads.select("h", F.col("t").alias("ht"), F.col("o").alias("ho")), "h").select("h", "w", "t", "o", "ht", "ho").mapInArrow(arcs, "pair binary, t binary, o binary")
+    packed = [[np.frombuffer(x) for x in row] for row in p.toLocalIterator()]  # a partition at a time spares the driver
+    pair, arc_t, arc_o = (np.concatenate([row[k] for row in packed] or [np.zeros(0)]) for k in range(3))
+    del packed
 
     key = w["w"].to_numpy().view(np.uint64)
     order = np.argsort(key)
@@ -149,10 +162,10 @@ def _model(counts: DataFrame, least: int, entries: int, discount: float) -> Mode
     ok = key[at] == h["w"].to_numpy().view(np.uint64) if len(key) else np.zeros(len(h), dtype=bool)
     for c, kinds_c in (("t", "tt"), ("o", "to")):
         by_head[c][at[ok]] = rest(h[c].to_numpy(), h[kinds_c].to_numpy())[ok]
-    pair = mix64(p["h"].to_numpy().view(np.uint64) * _PAIR) + p["w"].to_numpy().view(np.uint64)
+    pair = pair.view(np.uint64)
     turn = np.argsort(pair)
-    arc = lambda c, n: (np.maximum(p[c].to_numpy() - discount, 0) / np.maximum(p[n].to_numpy(), 1))[turn]
-    return Model(key, toxic, ordinary, by_head["t"], by_head["o"], pair[turn], arc("t", "ht"), arc("o", "ho"))
+    new = [discount * kinds_c / max(1, n) if n else 1.0 for kinds_c, n in ((types_t, n_t), (types_o, n_o))]
+    return Model(key, toxic, ordinary, by_head["t"], by_head["o"], pair[turn], arc_t[turn], arc_o[turn], *new)
 
 
 def _logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 1.0) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -166,7 +179,7 @@ def _logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 1
     return mean, scale, beta
 
 
-def score(df: DataFrame, labels: DataFrame, class_docs: int = CLASS_DOCS, entries: int = ENTRIES, least: int = LEAST) -> DataFrame:
+def score(df: DataFrame, labels: DataFrame, class_docs: int = CLASS_DOCS, entries: int | None = ENTRIES, least: int = LEAST) -> DataFrame:
     """``doc_id, held_out, score, predicted`` of every document; only labels of rows outside fold 0 are learned from."""
     spark = df.sparkSession
     docs = df.select(F.col("doc_id").cast("long").alias("doc_id"), "text")

@@ -70,3 +70,14 @@ def test_smoothing_shares_rare_words(spark):
         at, seen = model._find(model.pairs, pairs)
         total = np.where(seen, model.arc_toxic[at], 0).sum() + model.back_toxic[k] * model.toxic.sum()
         assert total == pytest.approx(1)
+
+
+def test_rare_expressions_count_in_production(spark):
+    """A word seen once, in a toxic document, is evidence; an unknown word gets each class's weight of the shared level."""
+    rows = [("a b c a b", 1), ("a c b grub", 1), ("a b d d", 0), ("c d a", 0)]
+    counts = toxicity._counts(spark.createDataFrame(rows, "text string, toxic int"))
+    model = toxicity._model(counts, toxicity.LEAST, toxicity.ENTRIES, toxicity.DISCOUNT)
+    words, before, _ = toxicity._tokens(toxicity.pa.array(["grub unheard unheard"]))
+    got = model.ratios(words, before)
+    assert got[0] > 0
+    assert got[2] == pytest.approx(np.log((4 / 9) / (4 / 7)))  # 4 kinds of 9 words, 4 of 7; the discount cancels
