@@ -25,7 +25,7 @@ def band_edges(limit: int = 1 << 40) -> np.ndarray:
     return np.array(edges, dtype=np.int64)
 
 
-_EDGES = band_edges()
+EDGES = band_edges()
 _PLACES = [mix64(np.array([k + 1], dtype=np.uint64))[0] | np.uint64(1) for k in range(WORDS)]
 
 
@@ -48,8 +48,8 @@ def shingle_sets(words: np.ndarray, bounds: np.ndarray) -> Iterator[np.ndarray]:
 
 def bands(size: int) -> list[int]:
     """The bands in which a set of this size is joined: its own, and the next if a linked set may lie there."""
-    own = int(np.searchsorted(_EDGES, size, side="right")) - 1
-    return [own, own + 1] if 4 * size >= 3 * int(_EDGES[own + 1]) else [own]
+    own = int(np.searchsorted(EDGES, size, side="right")) - 1
+    return [own, own + 1] if 4 * size >= 3 * int(EDGES[own + 1]) else [own]
 
 
 def part_keys(found: np.ndarray, band: int, parts: int | None = PARTS) -> np.ndarray:
@@ -59,20 +59,24 @@ def part_keys(found: np.ndarray, band: int, parts: int | None = PARTS) -> np.nda
     64-bit hashes of its tokens, so two sets agree in a part exactly if they
     have the same tokens there (a part without tokens gives no key).  Small
     bands have fewer parts than wanted and repeat the deal with other seeds;
-    large bands use the first ``parts`` parts; ``None`` uses all P of them.
+    large bands use the first ``parts`` parts.  ``None`` makes parts of one token:
+    those that come first in the order of their hashes, one more than the set may
+    have beside its link, so that a linked set has one of them for certain.
     """
-    top = int(_EDGES[band + 1]) - 1
+    if parts is None:
+        value = np.sort(mix64(found + np.uint64((band + 1) << 32)))
+        return value[: len(found) - -(-3 * len(found) // 4) + 1].view(np.int64)
+    top = int(EDGES[band + 1]) - 1
     total = max(2, -(-top // LOAD))
-    wanted = total if parts is None else parts
-    deals = max(1, -(-wanted // total)) if parts is not None else 4
+    deals = max(1, -(-parts // total))
     seeds = mix64(np.arange(band << 20, (band << 20) + deals, dtype=np.uint64) + _TURN)
     dealt = mix64(found[None, :] ^ seeds[:, None])
     part = (dealt % np.uint64(total)).astype(np.int64)
     value = mix64(dealt + _TURN)
     part += np.arange(deals, dtype=np.int64)[:, None] * total
     part, value = part.ravel(), value.ravel()
-    if deals == 1 and total > wanted:
-        chosen = part < wanted
+    if deals == 1 and total > parts:
+        chosen = part < parts
         part, value = part[chosen], value[chosen]
     order = np.argsort(part, kind="stable")
     part, value = part[order], value[order]
@@ -85,12 +89,12 @@ def part_keys(found: np.ndarray, band: int, parts: int | None = PARTS) -> np.nda
 
 
 #: Length of a band's sample sketch in 64-bit words, and the tokens that it holds in a set of the band's largest size.
-SAMPLE_WORDS, SAMPLE_LOAD = 8, 256
+SAMPLE_WORDS, SAMPLE_LOAD = 16, 900
 
 
 def sample_rate(band: int) -> float:
     """Share of the tokens that a band's sample sketch holds."""
-    return min(1.0, SAMPLE_LOAD / (int(_EDGES[band + 1]) - 1))
+    return min(1.0, SAMPLE_LOAD / (int(EDGES[band + 1]) - 1))
 
 
 def sample_sketch(found: np.ndarray, band: int) -> np.ndarray:
