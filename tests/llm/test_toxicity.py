@@ -1,5 +1,6 @@
 import random
 import zlib
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -59,25 +60,72 @@ def test_one_class_or_nothing(spark, corpus, nothing):
     assert toxicity.score(nothing, labels).count() == 0
 
 
-def test_smoothing_shares_rare_words(spark):
-    """Probabilities of a class sum to one over the words that follow a known word, with the shared lower level."""
-    rows = [("a b c a b", 1), ("a c b", 1), ("a b d d", 0), ("c d a", 0)]
-    sample = spark.createDataFrame(rows, "text string, toxic int")
-    model = toxicity._model(toxicity._counts(sample), 1, 1000, toxicity.DISCOUNT)
-    assert model.toxic.sum() == pytest.approx(1) and model.ordinary.sum() == pytest.approx(1)
-    for k in range(len(model.words)):
-        pairs = toxicity.mix64(np.repeat(model.words[k], len(model.words)) * toxicity._PAIR) + model.words
-        at, seen = model._find(model.pairs, pairs)
-        total = np.where(seen, model.arc_toxic[at], 0).sum() + model.back_toxic[k] * model.toxic.sum()
-        assert total == pytest.approx(1)
+TAUGHT = [("a b c a b", 1), ("a c b grub", 1), ("a b d d", 0), ("c d a", 0), ("a b a b d a", 0)]
+
+
+def plain_model(order, discount=toxicity.DISCOUNT, history=1):
+    """p(word | word before) of a class, written down with dictionaries."""
+    pairs = {c: Counter() for c in (0, 1)}
+    for text, c in TAUGHT:
+        line = ["<s>", *text.split()]
+        pairs[c].update(zip(line, line[1:], strict=False))
+    vocabulary = {w for c in pairs for _, w in pairs[c]}
+
+    def level(counts, w):
+        total = sum(counts.values())
+        rest = sum(min(n, discount) for n in counts.values())
+        return (counts[w] - min(counts[w], discount)) / total + rest / total / (len(vocabulary) + 1)
+
+    def p(c, w, h):
+        words, after = Counter(), Counter()
+        for (a, b), n in pairs[c].items():
+            words[b] += n if order == 1 else 1
+            after[b] += n if a == h else 0
+        low = level(words, w)
+        seen = [sum(n for (a, _), n in pairs[k].items() if a == h) for k in (0, 1)]
+        if order == 1 or h == "<s>" or min(seen) < history:
+            return low
+        rest = sum(min(n, discount) for n in after.values())
+        return (after[w] - min(after[w], discount)) / seen[c] + rest / seen[c] * low
+
+    return p, vocabulary
+
+
+@pytest.mark.parametrize(("order", "history"), [(1, 1), (2, 1), (2, 3)])
+def test_probabilities_match_a_plain_model(spark, order, history):
+    counts = toxicity._counts(spark.createDataFrame(TAUGHT, "text string, toxic int"))
+    model = toxicity._model(counts, history=history)
+    p, vocabulary = plain_model(order, history=history)
+    for text in ("a b grub unheard b unheard unheard c d a", "grub", "d d a c"):
+        line = text.split()
+        words, before, _ = toxicity._tokens(toxicity.pa.array([text]))
+        got = model.probabilities(words, before, order)
+        want = [[p(c, w, h) for h, w in zip(["<s>", *line], line, strict=False)] for c in (1, 0)]
+        assert got == pytest.approx(np.array(want))
+    for h in vocabulary | {"<s>"}:  # over all words and one unknown one
+        assert sum(p(1, w, h) for w in vocabulary | {"?"}) == pytest.approx(1)
+    evidence = model.evidence(toxicity.pa.array(["a b grub c", None, ""]), (order,), (1, 2, None))
+    steps = [np.log(p(1, w, h) / p(0, w, h)) for h, w in zip(["<s>", "a", "b", "grub"], "a b grub c".split(), strict=True)]
+    assert evidence[0] == pytest.approx([max(steps), max(np.add(steps[1:], steps[:-1])) / 2, np.mean(steps)])
+    assert not evidence[1:].any()
 
 
 def test_rare_expressions_count_in_production(spark):
-    """A word seen once, in a toxic document, is evidence; an unknown word gets each class's weight of the shared level."""
-    rows = [("a b c a b", 1), ("a c b grub", 1), ("a b d d", 0), ("c d a", 0)]
-    counts = toxicity._counts(spark.createDataFrame(rows, "text string, toxic int"))
-    model = toxicity._model(counts, toxicity.LEAST, toxicity.ENTRIES, toxicity.DISCOUNT)
-    words, before, _ = toxicity._tokens(toxicity.pa.array(["grub unheard unheard"]))
-    got = model.ratios(words, before)
-    assert got[0] > 0
-    assert got[2] == pytest.approx(np.log((4 / 9) / (4 / 7)))  # 4 kinds of 9 words, 4 of 7; the discount cancels
+    """A word seen once, in a toxic document, is evidence; an unknown word is almost none."""
+    rng = random.Random(8)
+    rows = [(prose(rng, 40, 60) + (" grub" if k == 1 else ""), k % 2) for k in range(300)]
+    model = toxicity._model(toxicity._counts(spark.createDataFrame(rows, "text string, toxic int")))
+    words, before, _ = toxicity._tokens(toxicity.pa.array(["grub unheard"]))
+    for order in (1, 2):
+        toxic, ordinary = model.probabilities(words, before, order)
+        assert np.log(toxic[0] / ordinary[0]) > 0.2 > abs(np.log(toxic[1] / ordinary[1]))
+
+
+def test_very_long_text(spark, corpus):
+    """A toxic expression inside a text of 300,000 words is found, and the same text without it is left alone."""
+    docs, labels, _ = corpus
+    rng = random.Random(6)
+    words = prose(rng, 300_000).split()
+    rows = [(5000, " ".join(words), "en", "a", 1), (5001, " ".join([*words[:170_000], "you", "vile", "grub", *words[170_000:]]), "en", "a", 1)]
+    got = {r[0]: r[3] for r in rows_of(toxicity.score(docs.unionByName(spark.createDataFrame(rows, docs.schema)), labels)) if r[0] in (5000, 5001)}
+    assert got == {5000: 0, 5001: 1}
