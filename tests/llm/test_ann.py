@@ -1,3 +1,5 @@
+from dataclasses import replace
+
 import numpy as np
 import pytest
 from cases import rows_of
@@ -56,12 +58,41 @@ def test_few_vectors_and_none(spark):
     assert ann.search(spark.createDataFrame([(20, [1.0], 0)], SCHEMA), F.col("vec_id") % 20 == 0).count() == 0
 
 
-def test_probing_finds_every_code_within_the_radius(vectors):
-    coder = ann.fit(vectors.astype(np.float64), 40.0, 20)
-    index = ann.ShardIndex(coder, np.arange(len(vectors)), vectors.astype(np.float64))
-    for code in index.codes[:40]:
-        apart = np.bitwise_count(index.wide ^ code.view(np.uint64)).sum(axis=1, dtype=np.int64)
-        assert set(index.within(code)) == set(np.flatnonzero(apart <= coder.radius))
+def test_probing_finds_every_code_within_the_guaranteed_radius(vectors):
+    """Pigeonhole: no code within the guaranteed radius is missed, and nothing beyond the radius is ranked."""
+    for coder in (ann.fit(vectors.astype(np.float64), 40.0, 20), replace(ann.fit(vectors.astype(np.float64), 40.0, 20), flips=2)):
+        index = ann.ShardIndex(coder, np.arange(len(vectors)), vectors.astype(np.float64))
+        for code in index.codes[:40]:
+            apart = np.bitwise_count(index.wide ^ code.view(np.uint64)).sum(axis=1, dtype=np.int64)
+            found = set(index.within(code))
+            assert set(np.flatnonzero(apart <= coder.guaranteed)) <= found <= set(np.flatnonzero(apart <= coder.radius))
+
+
+@pytest.mark.parametrize(("spread", "most_verified", "most_ranked"), [(0.35, 0.05, 0.05), (None, 0.25, 0.05)])
+def test_probing_prunes(spread, most_verified, most_ranked):
+    """Shares of the vectors that are verified and ranked, with and without clusters, at a recall of 0.9."""
+    rng = np.random.default_rng(11)
+    if spread is None:
+        some = rng.standard_normal((20000, 64))
+    else:
+        some = rng.standard_normal((400, 64))[rng.integers(0, 400, 20000)] + spread * rng.standard_normal((20000, 64))
+    some /= np.linalg.norm(some, axis=1, keepdims=True)
+    coder = ann.fit(some[:4096], 1.0 + 1e-9, 20, len(some))
+    index = ann.ShardIndex(coder, np.arange(len(some)), some)
+    hits = 0
+    for query, code in zip(some[-50:], coder.codes(some[-50:], True), strict=True):
+        found, _ = index.search(query, code, 20)
+        hits += len(set(found) & set(np.argsort(-(some @ query))[:20]))
+    assert hits >= 0.9 * 50 * 20
+    assert index.verified <= most_verified * 50 * len(some)
+    assert index.ranked <= most_ranked * 50 * len(some)
+
+
+def test_ties_at_the_last_rank(spark):
+    """Different vectors with equal scores: the smaller ids win the last places."""
+    rows = [(0, [1.0, 0.0, 0.0], 0), *((k, [0.5, 0.1 * k, 1.0], 0) for k in range(1, 40))]
+    got = sorted(rows_of(ann.search(spark.createDataFrame(rows, SCHEMA), F.col("vec_id") == 0)), key=lambda r: r[1])
+    assert [(r[1], r[2], r[3]) for r in got] == [(k, k, 0.5) for k in range(1, 21)]
 
 
 def test_every_query_gets_its_full_number(spark):
