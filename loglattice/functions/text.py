@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+import os.path
+import re
+from collections.abc import Iterable
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # Markers of error classes, in the order in which the classes are tried.
@@ -37,48 +41,102 @@ TOOL_KINDS = {
 
 
 def _holds(text: Column, markers: tuple[str, ...]) -> Column:
-    out = F.contains(text, F.lit(markers[0]))
-    for marker in markers[1:]:
-        out = out | F.contains(text, F.lit(marker))
-    return out
+    """Whether the text has a marker; an array keeps the expression small, however many there are."""
+    return F.exists(F.array(*[F.lit(m) for m in markers]), lambda m: F.contains(text, m))
 
 
-def _code(text: Column, code: str) -> Column:
-    return F.contains(F.concat(F.lit(" "), text, F.lit(" ")), F.lit(f" {code} "))
+def _codes(padded: Column, *codes: str) -> Column:
+    return _holds(padded, tuple(f" {code} " for code in codes))
 
 
-def classify_error(kind: Column, code: Column, message: Column) -> Column:
-    """``struct(error_kind, retryable)`` of native failure evidence; the order of the rules decides."""
+def _evidence(kind: Column, code: Column, message: Column) -> tuple[Column, Column]:
+    """The kind alone and all evidence together, in lower case."""
     empty = F.lit("")
-    raw = F.lower(F.trim(F.coalesce(kind, empty)))
-    text = F.lower(F.concat_ws(" ", F.trim(F.coalesce(kind, empty)), F.trim(F.coalesce(code, empty)), F.coalesce(message, empty)))
-    compact = F.translate(text, "_- ", "")
-    final = F.lit("provider_error:final")
+    return F.lower(F.trim(F.coalesce(kind, empty))), F.lower(F.concat_ws(" ", F.trim(F.coalesce(kind, empty)), F.trim(F.coalesce(code, empty)), F.coalesce(message, empty)))
+
+
+_FINAL = "provider_error:final"
+_MARKERS = (REFUSALS, INTERRUPTS, QUOTAS, RATES, AUTHS, CONTEXTS, OVERLOADS, POLICIES, TIMEOUTS, RETRIES, TOOLS, CRASHES, BAD_REQUESTS, PROVIDERS)
+_CODES = ("400", "401", "403", "404", "422", "500", "502", "503", "504", "522", "524")
+
+
+def any_of(words: Iterable[str]) -> str:
+    """A pattern for any of the words in which shared beginnings are tried once."""
+    words = sorted(set(words))
+    if "" in words:
+        return ""  # a word ends here, so whatever follows matches too
+    if len(words) == 1:
+        return re.escape(words[0])
+    shared = os.path.commonprefix(words)
+    if shared:
+        return re.escape(shared) + any_of(w[len(shared) :] for w in words)
+    heads: dict[str, list[str]] = {}
+    for word in words:
+        heads.setdefault(word[0], []).append(word)
+    if len(heads) > 6:  # a class of first letters tells most places apart at once
+        half = len(heads) // 2
+        sides = [list(heads)[:half], list(heads)[half:]]
+        return "(?:" + "|".join(f"(?=[{''.join(side)}])" + any_of(w for head in side for w in heads[head]) for side in sides) + ")"
+    return "(?:" + "|".join(any_of(group) for group in heads.values()) + ")"
+
+
+#: Where this doesn't match, no rule on the text applies; letters of the last two may stand apart.
+_ANY = "|".join([any_of([*(m for group in _MARKERS for m in group), *_CODES]), *("[_ -]*".join(word) for word in ("apierror", "providererror"))])
+
+
+def _error_kind(raw: Column, text: Column) -> Column:
+    padded, compact = F.concat(F.lit(" "), text, F.lit(" ")), F.translate(text, "_- ", "")
     rules = [
-        (_holds(text, REFUSALS), F.lit("unknown")),
-        (_holds(text, INTERRUPTS) | raw.isin(*INTERRUPT_KINDS), F.lit("user_interrupt")),
-        (_holds(text, QUOTAS), F.lit("quota_exhausted")),
-        (_holds(text, RATES), F.lit("rate_limited")),
-        (_code(text, "401") | _code(text, "403") | _holds(text, AUTHS), F.lit("auth")),
-        (_holds(text, CONTEXTS), F.lit("context_length")),
-        (_holds(text, OVERLOADS), F.lit("provider_overloaded")),
-        (_holds(text, POLICIES), F.lit("policy_blocked")),
-        (_holds(text, TIMEOUTS), F.lit("timeout")),
-        (_holds(text, RETRIES), final),
-        (_holds(text, TOOLS), F.lit("tool_error")),
-        (_holds(text, CRASHES), F.lit("runtime_crash")),
-        (text.rlike(r"(?<![0-9])(?:400|404|422)(?![0-9])") | _holds(text, BAD_REQUESTS), final),
-        (raw.isin("provider", "provider_error") | _holds(compact, ("apierror", "providererror")), F.lit("provider_error")),
-        (sum((_code(text, c).cast("int") for c in ("500", "502", "503", "504", "522", "524")), F.lit(0)) > 0, F.lit("provider_error")),
-        (_holds(text, PROVIDERS), F.lit("provider_error")),
+        (_holds(text, REFUSALS), "unknown"),
+        (_holds(text, INTERRUPTS) | raw.isin(*INTERRUPT_KINDS), "user_interrupt"),
+        (_holds(text, QUOTAS), "quota_exhausted"),
+        (_holds(text, RATES), "rate_limited"),
+        (_codes(padded, "401", "403") | _holds(text, AUTHS), "auth"),
+        (_holds(text, CONTEXTS), "context_length"),
+        (_holds(text, OVERLOADS), "provider_overloaded"),
+        (_holds(text, POLICIES), "policy_blocked"),
+        (_holds(text, TIMEOUTS), "timeout"),
+        (_holds(text, RETRIES), _FINAL),
+        (_holds(text, TOOLS), "tool_error"),
+        (_holds(text, CRASHES), "runtime_crash"),
+        (text.rlike(r"(?<![0-9])(?:400|404|422)(?![0-9])") | _holds(text, BAD_REQUESTS), _FINAL),
+        (raw.isin("provider", "provider_error") | _holds(compact, ("apierror", "providererror")), "provider_error"),
+        (_codes(padded, "500", "502", "503", "504", "522", "524"), "provider_error"),
+        (_holds(text, PROVIDERS), "provider_error"),
     ]
-    out = F.when(*rules[0])
-    for rule in rules[1:]:
-        out = out.when(*rule)
-    out = out.otherwise(F.lit("unknown"))
-    name = F.regexp_replace(out, ":final$", "")
+    plain = F.when(raw.isin(*INTERRUPT_KINDS), "user_interrupt").when(raw.isin("provider", "provider_error"), "provider_error").otherwise("unknown")
+    out = F.when(~text.rlike(_ANY), plain)
+    for test, name in rules:
+        out = out.when(test, F.lit(name))
+    return out.otherwise(F.lit("unknown"))
+
+
+def _verdict(found: Column) -> Column:
+    name = F.regexp_replace(found, ":final$", "")
     table = F.create_map(*[F.lit(x) for pair in RETRYABLE.items() for x in pair])
-    return F.struct(name.alias("error_kind"), F.when(out == final, F.lit(False)).otherwise(F.try_element_at(table, name)).alias("retryable"))
+    return F.struct(name.alias("error_kind"), F.when(found == _FINAL, F.lit(False)).otherwise(F.try_element_at(table, name)).alias("retryable"))
+
+
+def classify_error(kind: Column, code: Column, message: Column) -> Column:
+    """``struct(error_kind, retryable)`` of native failure evidence; the order of the rules decides.
+
+    For one field, or short messages; :func:`with_classification` goes over the evidence once.
+    """
+    return _verdict(_error_kind(*_evidence(kind, code, message)))
+
+
+def with_classification(df: DataFrame, kind: Column, code: Column, message: Column, kept_kind: Column | None = None, kept_retryable: Column | None = None) -> DataFrame:
+    """``df`` with ``error_kind, retryable``; what a record states itself (``kept_*``) is kept and only gaps are filled.
+
+    The evidence is put together and put in lower case once for each row, and
+    classified once.  Null evidence gives ``unknown`` and no ``retryable``.
+    """
+    raw, text = _evidence(kind, code, message)
+    judged = df.withColumns({"__raw": raw, "__text": text}).withColumn("__found", _error_kind(F.col("__raw"), F.col("__text")))
+    verdict = _verdict(F.col("__found"))
+    name = verdict["error_kind"] if kept_kind is None else F.coalesce(kept_kind, verdict["error_kind"])
+    again = verdict["retryable"] if kept_retryable is None else F.coalesce(kept_retryable, verdict["retryable"])
+    return judged.withColumns({"error_kind": name, "retryable": again}).drop("__raw", "__text", "__found")
 
 
 def http_status(text: Column) -> Column:
@@ -109,7 +167,7 @@ def excerpt(text: Column, size: int = 120) -> Column:
     return F.when(F.length(text) > size, F.concat(F.substring(text, 1, size - 1), F.lit("…"))).otherwise(text)
 
 
-#: Search weights of the fields of a session.
+#: Search weights of the fields of a session.
 WEIGHTS = {"title": 100, "fallback_title": 80, "first_user_msg": 60, "last_user_msg": 60, "last_agent_msg": 35, "cwd": 20, "cwd_display": 20}
 
 

@@ -88,8 +88,8 @@ def json_guarded_int(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def error_classify(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's text as an error message."""
-    rows = _table(spark, sf_dir, "documents").withColumn("e", tx.classify_error(F.col("source"), F.lit(None).cast("string"), F.col("text")))
-    return rows.select("doc_id", "e.error_kind", "e.retryable", tx.http_status(F.col("text")).alias("http_status"))
+    rows = tx.with_classification(_table(spark, sf_dir, "documents"), F.col("source"), F.lit(None).cast("string"), F.col("text"))
+    return rows.select("doc_id", "error_kind", "retryable", tx.http_status(F.col("text")).alias("http_status"))
 
 
 def tool_classify(spark: SparkSession, sf_dir: str) -> DataFrame:
