@@ -27,10 +27,10 @@ def running_sum(df: DataFrame, keys: list[str], seq: str, value: Column, name: s
     return cut.withColumn(name, F.sum("_v").over(local)).join(totals, [*keys, "_b"]).withColumn(name, F.col(name) + F.col("_base")).drop("_b", "_v", "_base")
 
 
-def carry_forward(df: DataFrame, keys: list[str], seq: str, value: Column, name: str, bucket: int = BUCKET) -> DataFrame:
-    """``df`` with the latest non-null ``value`` at or before each row (as-of within the log)."""
+def carry_forward(df: DataFrame, keys: list[str], seq: str, value: Column, name: str, bucket: int = BUCKET, strict: bool = False) -> DataFrame:
+    """``df`` with the latest non-null ``value`` at or before (``strict``: before) each row (as-of within the log)."""
     cut = df.withColumn("_b", F.floor(F.col(seq) / bucket)).withColumn("_v", value)
-    local = Window.partitionBy(*keys, "_b").orderBy(seq).rowsBetween(Window.unboundedPreceding, 0)
+    local = Window.partitionBy(*keys, "_b").orderBy(seq).rowsBetween(Window.unboundedPreceding, -1 if strict else 0)
     lasts = cut.groupBy(*keys, "_b").agg(F.max_by("_v", F.when(F.col("_v").isNotNull(), F.col(seq))).alias("_l"))
     lasts = lasts.withColumn("_base", F.last("_l", ignorenulls=True).over(_before(keys, "_b"))).drop("_l")
     held = cut.withColumn(name, F.last("_v", ignorenulls=True).over(local)).join(lasts, [*keys, "_b"])
@@ -49,16 +49,40 @@ def _merge(df: DataFrame, keys: list[str], gap: int) -> DataFrame:
 def islands(df: DataFrame, keys: list[str], gap: int, bucket: int) -> DataFrame:
     """``keys, lo, hi, n``: maximal runs of the intervals ``lo, hi`` whose neighbours are at most ``gap`` apart (inclusive).
 
-    Equal intervals are counted before the shuffle; buckets of width ``bucket``
-    are merged on their own and then with each other.
+    Equal intervals are counted before the shuffle.  Each bucket of width
+    ``bucket`` is merged on its own.  Of a bucket only how far it reaches goes
+    on, one row; from these every bucket learns how far all before it reach, and
+    so which of its islands begins a run of the whole.  Runs are then numbered
+    across buckets by running counts and gathered by number.
     """
     counted = df.groupBy(*keys, "lo", "hi").agg(F.count(F.lit(1)).alias("n"))
-    cut = counted.withColumn("_b", F.floor(F.col("lo") / bucket))
-    return _merge(_merge(cut, [*keys, "_b"], gap).drop("_b"), keys, gap)
-
-
-def drop_repeats(df: DataFrame, keys: list[str], seq: str, values: list[str]) -> DataFrame:
+    local = _merge(counted.withColumn("_b", F.floor(F.col("lo") / bucket)), [*keys, "_b"], gap)
+    ends = local.groupBy(*keys, "_b").agg(F.max("hi").alias("_end"))
+    ends = ends.withColumn("_reach", F.max("_end").over(_before(keys, "_b"))).drop("_end")
+    within = Window.partitionBy(*keys, "_b").orderBy("lo", "hi").rowsBetween(Window.unboundedPreceding, -1)
+    reach = F.greatest("_reach", F.max("hi").over(within))
+    begun = local.join(ends, [*keys, "_b"]).withColumn("_new", F.when(F.col("lo") - reach <= gap, 0).otherwise(1))
+    starts = begun.groupBy(*keys, "_b").agg(F.sum("_new").alias("_n"))
+    starts = starts.withColumn("_base", F.coalesce(F.sum("_n").over(_before(keys, "_b")), F.lit(0))).drop("_n")
+    upto = Window.partitionBy(*keys, "_b").orderBy("lo", "hi").rowsBetween(Window.unboundedPreceding, 0)
+    numbered = begun.withColumn("_k", F.sum("_new").over(upto)).join(starts, [*keys, "_b"]).withColumn("_k", F.col("_k") + F.col("_base"))
+    return numbered.groupBy(*keys, "_k").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.sum("n").alias("n")).drop("_k")
+
+
+def drop_repeats(df: DataFrame, keys: list[str], seq: str, values: list[str], bucket: int = BUCKET) -> DataFrame:
     """Rows that differ in ``values`` from the row before them (consecutive dedup; null equals null)."""
-    near = Window.partitionBy(*keys).orderBy(seq)
-    same = F.lag(F.struct(*values)).over(near).eqNullSafe(F.struct(*values))
-    return df.withColumn("_same", same).filter(~F.col("_same")).drop("_same")
+    cut = df.withColumns({"_b": F.floor(F.col(seq) / bucket), "_v": F.struct(*values)})
+    lasts = cut.groupBy(*keys, "_b").agg(F.max_by("_v", seq).alias("_l"))
+    lasts = lasts.withColumn("_last", F.lag("_l").over(Window.partitionBy(*keys).orderBy("_b"))).drop("_l")
+    near = Window.partitionBy(*keys, "_b").orderBy(seq)
+    held = cut.withColumns({"_near": F.lag("_v").over(near), "_at": F.row_number().over(near)}).join(lasts, [*keys, "_b"])
+    same = F.when(F.col("_at") == 1, F.col("_last")).otherwise(F.col("_near")).eqNullSafe(F.col("_v"))
+    return held.filter(~same).drop("_b", "_v", "_near", "_at", "_last")
+
+
+def numbered_within(df: DataFrame, keys: list[str], pos: str, sub: str, name: str) -> DataFrame:
+    """``df`` with a dense number from 1 by ``pos`` and, within it, ``sub``, however many rows share a ``pos``."""
+    counts = df.groupBy(*keys, pos).agg(F.count(F.lit(1)).alias("_c"))
+    upto = running_sum(counts, keys, pos, F.col("_c"), "_u").withColumn("_base", F.col("_u") - F.col("_c")).drop("_u", "_c")
+    place = F.row_number().over(Window.partitionBy(*keys, pos).orderBy(sub))
+    return df.withColumn(name, place).join(upto, [*keys, pos]).withColumn(name, F.col(name) + F.col("_base")).drop("_base")

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from loglattice.plans import dialogue, ledger, records
+from loglattice.plans import dialogue, ledger, native, records
 
-MODULES = (ledger, dialogue, records)
+MODULES = (ledger, dialogue, records, native)
 
 
 def queries() -> dict:

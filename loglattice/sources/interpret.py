@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from loglattice.functions.guards import label, native
 from loglattice.functions.text import classify_error
-from loglattice.operators.ordered import carry_forward, drop_repeats, running_sum
+from loglattice.operators.ordered import carry_forward, drop_repeats, numbered_within, running_sum
 from loglattice.operators.relations import active_branch
 
 _PART = "array<struct<type:string,text:string,thinking:string,id:string,name:string>>"
@@ -29,8 +29,7 @@ def _none() -> Column:
 
 def _numbered(rows: DataFrame) -> DataFrame:
     """Dense ``seq`` from 1 by line and place within the line."""
-    ordered = rows.withColumn("_o", F.col("pos") * 4096 + F.col("sub"))
-    return running_sum(ordered, ["session"], "_o", F.lit(1), "seq").select("session", "seq", *[c for c in EVENT if c not in ("session", "pos", "sub")])
+    return numbered_within(rows, ["session"], "pos", "sub", "seq").select("session", "seq", *[c for c in EVENT if c not in ("session", "pos", "sub")])
 
 
 def _parts(raw_path: str) -> Column:

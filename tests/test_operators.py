@@ -150,11 +150,11 @@ def test_text_rules(spark):
     assert df.select(text.tool_kind(F.lit(" Bash "))).first()[0] == "shell"
 
 
-def test_chains_end_and_cycles_stay_open(spark):
+def test_chains_end_and_cycles_stop_at_their_last_new_node(spark):
     nodes = spark.createDataFrame([(k,) for k in "abcdxyz"], "node string")
     edges = spark.createDataFrame([("a", "b"), ("b", "c"), ("d", "d"), ("c", "gone"), ("x", "y"), ("y", "x")], "src string, dst string")
     got = {r["node"]: r["target"] for r in relations.resolve_chains(nodes, edges).collect()}
-    assert got == {"a": "c", "b": "c", "c": "c", "d": "d", "x": None, "y": None, "z": "z"}
+    assert got == {"a": "c", "b": "c", "c": "c", "d": "d", "x": "y", "y": "x", "z": "z"}
 
 
 def test_active_branch(spark):
