@@ -186,3 +186,38 @@ def snippet(text: Column, keyword: str, before: int = 40, after: int = 80) -> Co
     at = F.instr(F.lower(text), keyword.lower())
     begin = F.greatest(F.lit(1), at - before)
     return F.when(at > 0, F.trim(F.substring(text, begin, at - begin + len(keyword) + after)))
+
+
+def short_folder(path: Column, home: str) -> Column:
+    """A folder below ``home`` with ``~`` for it."""
+    return F.when(F.startswith(path, F.lit(home)), F.concat(F.lit("~"), F.substring(path, len(home) + 1, 1 << 30))).otherwise(path)
+
+
+def decode_percent(text: Column) -> Column:
+    """Percent escapes decoded; a plus stays a plus."""
+    return F.try_url_decode(F.replace(text, F.lit("+"), F.lit("%2B")))
+
+
+def file_path(uri: Column) -> Column:
+    """The path of a ``file://`` address; other texts are themselves."""
+    return F.when(F.startswith(uri, F.lit("file://")), decode_percent(F.substring(uri, 8, 1 << 30))).otherwise(uri)
+
+
+def message_time(seconds: Column) -> Column:
+    """Month, day, hour and minute in the session's time zone; null stays null."""
+    return F.date_format(F.timestamp_seconds(seconds), "MM-dd HH:mm")
+
+
+def iso_seconds(text: Column) -> Column:
+    """Seconds since the epoch of an ISO time; without a zone it is local time, anything else is null."""
+    return F.unix_micros(F.try_to_timestamp(F.trim(text))) / 1e6
+
+
+def coerced_arguments(text: Column) -> Column:
+    """Arguments of a call as VARIANT: null is an empty object, JSON is read, other text stays a string."""
+    return F.coalesce(F.try_parse_json(F.coalesce(text, F.lit("{}"))), F.try_variant_get(F.parse_json(F.to_json(F.struct(text.alias("t")))), "$.t", "variant"))
+
+
+def performance_id(session: Column, runtime: Column, record: Column, kind: Column) -> Column:
+    """``session|runtime:record:kind``."""
+    return F.concat(session, F.lit("|"), F.concat_ws(":", runtime, record, kind))

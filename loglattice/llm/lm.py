@@ -1,25 +1,31 @@
 """Language-model scoring with a weighted backoff automaton.
 
-The model is a bigram model smoothed towards unigrams.  Its states are the
-start, and the words seen in training; state h has an arc for every word seen
-after it and a failure arc to the root, whose arcs are the unigrams:
-
-    root:  p(w) = (c(w) + 1) / (N + V + 1)
-    arc:   p(w | h) = (c(h w) + mu p(w)) / (c(h) + mu)
-    fail:  mu / (c(h) + mu), then the root's arc for w
-
-Every document is read once from left to right with the previous word as its
-state, and log10 weights are added up.  A word outside the training vocabulary
-leads to the root state, which has no failure weight.
-
-No task holds the whole model.  Documents lie in blocks of bounded size; a
-block asks for the distinct n-grams it holds and brings its own training counts
-of them.  Both go, packed as arrays, to the n-gram's shard, which adds up the
-counts of all blocks and answers each block in the order of its question.  The
-block then builds the part of the automaton that its documents can visit.
-N-grams are combined within a block before the shuffle, and shards are dealt by
-the hash of the whole n-gram, so a very frequent word or pair is one entry for
-each block.
+The model is an n-gram model (``order`` 3), each order smoothed towards the one
+below it:
+
+    p1(w)     = (c(w) + 1) / (N + V + 1)
+    pk(w | h) = (c(h w) + mu_k p(k-1)(w | h')) / (c(h) + mu_k)
+
+Its states are the contexts seen in training, up to ``order - 1`` words long, and
+the root.  A state has an arc for every word seen after it; its failure arc, of
+weight ``mu_k / (c(h) + mu_k)``, leads to the context without its first word.
+Where no arc carries the word, that weight is exactly what the formula leaves, so
+arcs and failures together are the smoothed model.  Every document is read once
+from left to right: the automaton tries the current state's arc, follows failure
+arcs down to one that carries the word, and goes on in the longest context that
+is a state.  A word outside the vocabulary is taken at the root.
+
+No task holds the whole model.  A task cuts its documents into blocks of bounded
+size; a block asks for the distinct n-grams it holds and brings its own training
+counts of them.  Both go, packed as arrays, to the n-gram's shard, which adds up
+the counts of all blocks and answers each block in the order of its question.
+Then the block's documents, packed in one row, meet its answers, and the block
+builds the part of the automaton that they can visit.  N-grams are combined
+within a block before the shuffle, and shards are ranges of the hash of the whole
+n-gram, so a very frequent word or phrase is one entry for each block, and what is
+sent is at most one entry for each token and order.  Blocks follow the input's
+partitions, however many equal rows they hold.  N-grams are told apart by 64-bit
+hashes.
 
 Defined results: null text is empty and scores its end token alone; a null id
 is hashed as the empty string when folds are dealt; repeated rows count as
@@ -33,14 +39,18 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loglattice.llm import storage
-from loglattice.llm.textkit import hashed_rows, mix64
+from loglattice.llm.textkit import hashed_rows, mix64, string_buffers
 
-MU = 50.0
-BLOCK_BYTES = 12 << 20
+#: Smoothing of the orders above one; a model of order n takes the first n - 1.
+MU = (20.0, 4.0, 2.0, 1.0)
+ORDER = 3
+BLOCK_BYTES = 8 << 20
 SHARD_BYTES = 16 << 20
 _END = np.uint64(0x1F83D9ABFB41BD6B)
 _START = np.uint64(0x5BE0CD19137E2179)
@@ -52,43 +62,47 @@ def held_out(doc_id: Column, folds: int = 7, fold: int = 2) -> Column:
     return F.pmod(F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")), F.lit(folds)) == fold
 
 
-def pair_keys(words: np.ndarray, before: np.ndarray) -> np.ndarray:
-    return mix64(mix64(before * _PAIR) + words)
-
-
 class Block:
-    """Tokens of a block of documents: word hashes with an end token each, and their predecessors."""
+    """Tokens of a block of documents: word hashes with an end token each, and the n-grams that end at every token."""
 
-    def __init__(self, text: pa.Array) -> None:
+    def __init__(self, text: pa.Array, order: int = ORDER) -> None:
         words, bounds = hashed_rows(text, lower=True)
         rows = len(bounds) - 1
+        self.order = order
         self.ends = bounds[1:] + np.arange(1, rows + 1)
         self.begins = np.r_[0, self.ends[:-1]].astype(np.int64)
         self.words = np.insert(words, bounds[1:], _END) if rows else words
-        self.before = np.empty_like(self.words)
-        self.before[1:] = self.words[:-1]
-        self.before[self.begins] = _START
         self.sizes = self.ends - self.begins
 
-    def grams(self, train: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
-        """For order 1 and 2: distinct keys, the key index of every token, and training counts."""
-        weight = np.repeat(train, self.sizes).astype(np.float64)
-        for order, keys in ((1, self.words), (2, pair_keys(self.words, self.before))):
-            distinct, index = np.unique(keys, return_inverse=True)
-            yield order, distinct, index, np.bincount(index, weights=weight, minlength=len(distinct)).astype(np.int64)
+    def keys(self) -> Iterator[np.ndarray]:
+        """For each order, the key of the n-gram ending at every token; start marks stand before a document."""
+        own, start = self.words, _START
+        yield own
+        for _ in range(1, self.order):
+            before = np.empty_like(own)
+            before[1:] = own[:-1]
+            before[self.begins] = start
+            own = mix64(before * _PAIR) + self.words
+            start = (mix64(np.array([start * _PAIR], dtype=np.uint64)) + _START)[0]
+            yield own
+
+    def grams(self) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        """For each order: distinct keys and the place of every token's key among them."""
+        for order, keys in enumerate(self.keys(), 1):
+            yield order, *np.unique(keys, return_inverse=True)
 
 
 def _packed(numbers: np.ndarray) -> bytes:
-    """Counts in as few bytes as their largest needs."""
-    for kind in (np.uint8, np.uint16, np.uint32):
-        if not len(numbers) or numbers.max() <= np.iinfo(kind).max:
-            return numbers.astype(kind).tobytes()
-    return numbers.astype(np.uint64).tobytes()
+    """Whole numbers in as few bytes each as the largest needs."""
+    width = max(1, -(-int(numbers.max()).bit_length() // 8)) if len(numbers) else 1
+    return np.ascontiguousarray(numbers.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width]).tobytes()
 
 
 def _unpacked(data: bytes, n: int) -> np.ndarray:
-    width = len(data) // n if n else 1
-    return np.frombuffer(data, dtype={1: np.uint8, 2: np.uint16, 4: np.uint32, 8: np.uint64}[width]).astype(np.int64)
+    out = np.zeros((n, 8), dtype=np.uint8)
+    if n:
+        out[:, : len(data) // n] = np.frombuffer(data, dtype=np.uint8).reshape(n, -1)
+    return out.view("<u8").ravel()
 
 
 def _bounds(keys: np.ndarray, shards: int) -> np.ndarray:
@@ -97,22 +111,73 @@ def _bounds(keys: np.ndarray, shards: int) -> np.ndarray:
     return np.r_[np.searchsorted(keys, edges), len(keys)]
 
 
-def _ask(shards: int):
-    def run(docs: pa.Table) -> pa.Table:
-        block, out = docs.column("block")[0].as_py(), []
-        tokens = Block(docs.column("text").combine_chunks())
-        for order, keys, _, counts in tokens.grams(docs.column("train").to_numpy().astype(bool)):
-            cuts = _bounds(keys, shards)
-            out += [(block, order, order * shards + s, keys[a:b].tobytes(), _packed(counts[a:b])) for s, (a, b) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)) if b > a]
-        columns = list(zip(*out, strict=True)) or [[]] * 5
-        return pa.table([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int32(), pa.int64(), pa.binary(), pa.binary()), strict=True)], names=["block", "gram", "shard", "keys", "counts"])
+def _blocks(batches: Iterator[pa.RecordBatch], limit: int) -> Iterator[tuple[int, pa.Table]]:
+    """The rows of a partition in blocks, each with a number of its own; a block ends with the row that fills ``limit`` bytes of text.
+
+    Where the batches are cut doesn't matter.  The number also holds the block's
+    content, so that blocks of two readings are only taken as the same if they are.
+    """
+    held, size, place = [], 0, 0
+
+    def close() -> tuple[int, pa.Table]:
+        text, lengths = xxhash.xxh64(seed=place), xxhash.xxh64(str(TaskContext.get().partitionId()).encode())
+        for batch in held:
+            raw, offsets = string_buffers(batch.column(1))
+            text.update(raw.tobytes())
+            lengths.update(np.diff(offsets).tobytes())
+        return (text.intdigest() ^ lengths.intdigest()) - (1 << 63), pa.Table.from_batches(held)
+
+    for batch in batches:
+        _, offsets = string_buffers(batch.column(1))
+        at = 0
+        while at < batch.num_rows:
+            to = min(batch.num_rows, max(at + 1, int(np.searchsorted(offsets, offsets[at] + limit - size))))
+            held.append(batch.slice(at, to - at))
+            size, at = size + int(offsets[to] - offsets[at]), to
+            if size >= limit:
+                yield close()
+                held, size, place = [], 0, place + 1
+    if held:
+        yield close()
+
+
+def _ask(shards: int, order: int, limit: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for number, docs in _blocks(batches, limit):
+            block, out = Block(docs.column("text").combine_chunks(), order), []
+            weight = np.repeat(docs.column("train").to_numpy().astype(np.float64), block.sizes)
+            for gram, keys, index in block.grams():
+                counts = np.bincount(index, weights=weight, minlength=len(keys)).astype(np.uint64)
+                cuts = _bounds(keys, shards)
+                steps = np.diff(keys, prepend=np.uint64(0))
+                for s in np.flatnonzero(np.diff(cuts)):
+                    a, b = cuts[s], cuts[s + 1]
+                    out.append((number, gram, gram * shards + int(s), b - a, int(keys[a]) - (1 << 63), _packed(steps[a + 1 : b]), _packed(counts[a:b])))
+            columns = list(zip(*out, strict=True)) or [[]] * 7
+            kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names=["block", "gram", "shard", "size", "first", "steps", "counts"])
+
+    return run
+
+
+def _keep(limit: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for number, docs in _blocks(batches, limit):
+            sink = pa.BufferOutputStream()
+            with pa.ipc.new_stream(sink, docs.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as stream:
+                stream.write_table(docs.combine_chunks())
+            yield pa.RecordBatch.from_arrays([pa.array([number], pa.int64()), pa.array([sink.getvalue().to_pybytes()], pa.binary())], names=["block", "docs"])
 
     return run
 
 
 def _answer(asked: pa.Table) -> pa.Table:
-    keys = [np.frombuffer(x.as_buffer(), dtype=np.uint64) for x in asked.column("keys")]
-    counts = [_unpacked(x.as_py(), len(k)) for x, k in zip(asked.column("counts"), keys, strict=True)]
+    sizes = asked.column("size").to_pylist()
+    keys = []
+    for first, steps, n in zip(asked.column("first").to_pylist(), asked.column("steps"), sizes, strict=True):
+        steps = _unpacked(steps.as_buffer(), n - 1)
+        keys.append(np.cumsum(np.r_[np.uint64(first + (1 << 63)), steps], dtype=np.uint64))
+    counts = [_unpacked(x.as_buffer(), n).astype(np.int64) for x, n in zip(asked.column("counts"), sizes, strict=True)]
     every = np.unique(np.concatenate(keys))
     total = np.zeros(len(every), dtype=np.int64)
     places = [np.searchsorted(every, k) for k in keys]
@@ -120,69 +185,88 @@ def _answer(asked: pa.Table) -> pa.Table:
         total[at] += n
     types, tokens = np.zeros(len(keys), dtype=np.int64), np.zeros(len(keys), dtype=np.int64)
     types[0], tokens[0] = np.count_nonzero(total), total.sum()
-    return pa.table(
-        {
-            "block": asked.column("block"), "gram": asked.column("gram"), "shard": asked.column("shard"),
-            "counts": pa.array([_packed(total[at]) for at in places], pa.binary()), "size": pa.array([len(k) for k in keys], pa.int64()),
-            "types": pa.array(types), "tokens": pa.array(tokens),
-        }
-    )
+    out = {c: asked.column(c) for c in ("block", "gram", "shard", "size")}
+    return pa.table(out | {"counts": pa.array([_packed(total[at]) for at in places], pa.binary()), "types": pa.array(types), "tokens": pa.array(tokens)})
 
 
 class Automaton:
-    """The states and arcs that one block's documents can visit."""
-
-    def __init__(self, block: Block, unigrams: np.ndarray, bigrams: np.ndarray, seen: dict[int, tuple[np.ndarray, np.ndarray]], starts: int, tokens: int, types: int, mu: float) -> None:
-        self.block, self.mu = block, mu
-        words, index = seen[1]
-        self.count = unigrams[index]
-        self.arc = bigrams[seen[2][1]]
-        history = np.empty_like(self.count)
-        history[1:] = self.count[:-1]
-        history[block.begins] = starts
-        self.history = history
-        self.denominator = tokens + types + 1
+    """The states and arcs that one block's documents can visit.
+
+    ``arcs[k]`` has the weight of the order k + 1 arc over every token, 0 where
+    training has no such n-gram; ``fails[k]`` the failure weight of the state
+    that is the k words before the token, 1 where that is no state.
+    """
+
+    def __init__(self, block: Block, counts: list[np.ndarray], starts: int, tokens: int, types: int, mu: tuple[float, ...] = MU) -> None:
+        self.block, self.counts = block, counts
+        smooth = (counts[0] + 1) / (tokens + types + 1)
+        self.root = smooth
+        self.arcs, self.fails = [smooth], [np.ones(len(smooth))]
+        for k in range(1, block.order):
+            history = np.empty_like(counts[k - 1])
+            history[1:] = counts[k - 1][:-1]
+            history[block.begins] = starts
+            fail = np.where(history > 0, mu[k - 1] / (history + mu[k - 1]), 1.0)
+            smooth = counts[k] / (history + mu[k - 1]) + fail * smooth
+            self.arcs.append(np.where(counts[k] > 0, smooth, 0.0))
+            self.fails.append(fail)
 
     def traverse(self) -> tuple[np.ndarray, np.ndarray]:
-        """Base score and model score of every document."""
-        root = (self.count + 1) / self.denominator
-        state = self.history > 0
-        failure = np.where(state, self.mu / (self.history + self.mu), 1.0)
-        taken = np.where(state, self.arc, 0) / (self.history + self.mu)
-        return tuple(np.add.reduceat(np.log10(p), self.block.begins) for p in (root, taken + failure * root))
+        """Base score and model score of every document.
+
+        The longest context that is a state doesn't depend on the way to it, so
+        all tokens take their step at once: from the longest context down, those
+        without an arc take the failure arc, the others stop.
+        """
+        weight, walking = np.zeros(len(self.root)), np.ones(len(self.root), dtype=bool)
+        for arc, fail in zip(self.arcs[::-1], self.fails[::-1], strict=True):
+            taken = walking & (arc > 0)
+            weight[taken] += np.log10(arc[taken])
+            walking &= ~taken
+            weight[walking] += np.log10(fail[walking])
+        return np.add.reduceat(np.log10(self.root), self.block.begins), np.add.reduceat(weight, self.block.begins)
 
 
 SCHEMA = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
+_ASKED = "block long, gram int, shard long, size long, first long, steps binary, counts binary"
+_ANSWERED = "block long, gram int, shard long, size long, counts binary, types long, tokens long"
+
 
+def score(df: DataFrame, train: Column, order: int = ORDER, mu: tuple[float, ...] = MU, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """Scores every whole text; ``train`` marks the rows to learn from.
 
-def score(df: DataFrame, train: Column, mu: float = MU) -> DataFrame:
-    """Scores every whole text; ``train`` marks the rows to learn from."""
+    ``df`` is read twice; if the readings differ (as with random columns), the job fails.
+    """
     spark = df.sparkSession
     rows = df.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"), train.alias("train"))
     total, starts = rows.agg(F.sum(F.octet_length("text")), F.count_if("train")).first()
-    blocks = max(storage.workers(spark), -(-(total or 0) // BLOCK_BYTES))
-    shards = max(storage.workers(spark), -(-(total or 0) // SHARD_BYTES))
-    blocked = rows.select(F.pmod(F.xxhash64("doc_id", F.xxhash64("text")), F.lit(blocks)).alias("block"), "doc_id", "train", "text")
-    asked = blocked.groupBy("block").applyInArrow(_ask(shards), "block long, gram int, shard long, keys binary, counts binary")
-    answers = asked.groupBy("shard").applyInArrow(_answer, "block long, gram int, shard long, counts binary, size long, types long, tokens long")
-    answers = storage.settle(answers, "lm-answers")
+    least = storage.workers(spark)
+    shards = max(least, -(-(total or 0) // SHARD_BYTES))
+    tasks = max(least, -(-(total or 0) // (2 * block_bytes)))
+    with storage.small_arrow_batches(spark):
+        asked = rows.mapInArrow(_ask(shards, order, block_bytes), _ASKED).repartition(max(least, shards), "shard")
+        answers = storage.settle(asked.groupBy("shard").applyInArrow(_answer, _ANSWERED), "lm-answers")
     types, tokens = answers.filter("gram = 1").agg(F.coalesce(F.sum("types"), F.lit(0)), F.coalesce(F.sum("tokens"), F.lit(0))).first()
 
-    def finish(docs: pa.Table, got: pa.Table) -> pa.Table:
+    def finish(kept: pa.Table, got: pa.Table) -> pa.Table:
         columns = ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"]
         kinds = [pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64()]
-        if not docs.num_rows:
-            return pa.table([pa.array([], t) for t in kinds], names=columns)
-        block = Block(docs.column("text").combine_chunks())
+        if kept.num_rows != 1 or not got.num_rows:
+            raise RuntimeError("two readings of the documents differ")
+        docs = pa.ipc.open_stream(kept.column("docs")[0].as_buffer()).read_all()
+        block = Block(docs.column("text").combine_chunks(), order)
         taught = docs.column("train").to_numpy().astype(bool)
-        totals: dict[int, list] = {1: [], 2: []}
+        found: list[list] = [[] for _ in range(order)]
         for gram, _, data, size in sorted(zip(*(got.column(c).to_pylist() for c in ("gram", "shard", "counts", "size")), strict=True)):
-            totals[gram].append(_unpacked(data, size))
-        seen = {order: (keys, index) for order, keys, index, _ in block.grams(taught)}
-        machine = Automaton(block, np.concatenate(totals[1]), np.concatenate(totals[2]), seen, starts, tokens, types, mu)
+            found[gram - 1].append(_unpacked(data, size).astype(np.int64))
+        counts = [np.concatenate(found[gram - 1])[index] for gram, _, index in block.grams()]
+        machine = Automaton(block, counts, starts, tokens, types, mu)
         base, full = machine.traverse()
-        known = np.add.reduceat((machine.count > 0).astype(np.int64), block.begins)
+        known = np.add.reduceat((counts[0] > 0).astype(np.int64), block.begins)
         values = [docs.column("doc_id").combine_chunks(), pa.array(~taught), block.sizes, known, np.full(len(base), tokens), base, full]
         return pa.table([pa.array(v, t) if isinstance(v, np.ndarray) else v for v, t in zip(values, kinds, strict=True)], names=columns)
 
-    return blocked.groupBy("block").cogroup(answers.select("block", "gram", "shard", "counts", "size").groupBy("block")).applyInArrow(finish, SCHEMA)
+    with storage.small_arrow_batches(spark):
+        kept = rows.mapInArrow(_keep(block_bytes), "block long, docs binary").repartition(tasks, "block")
+        given = answers.select("block", "gram", "shard", "counts", "size").repartition(tasks, "block")
+        return kept.groupBy("block").cogroup(given.groupBy("block")).applyInArrow(finish, SCHEMA)

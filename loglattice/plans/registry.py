@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from loglattice.plans import dialogue, ledger, native, records
+from loglattice.plans import dialogue, ledger, lists, native, records
 
-MODULES = (ledger, dialogue, records, native)
+MODULES = (ledger, dialogue, records, native, lists)
 
 
 def queries() -> dict:
