@@ -43,6 +43,20 @@ def _table(chunks: list[bytes]) -> _Table:
     return table
 
 
+def _lowered_chunks(text: bytes) -> list[bytes]:
+    """The text's chunks, ASCII letters in lower case where that can't change their ids.
+
+    The tokenizer lower-cases all but its special tokens, but only after it has
+    composed letters and marks; some letters compose with a mark in lower case
+    only, so chunks beside combining marks (U+0300 to U+036F) stay as they are.
+    """
+    if b"<|" in text:
+        return text.split()
+    if b"\xcc" in text or b"\xcd" in text:
+        return [chunk.lower() if chunk.isascii() else chunk for chunk in text.split()]
+    return text.lower().split()
+
+
 class ChunkEncoder:
     """Encodes texts to unsigned 32-bit ids."""
 
@@ -123,7 +137,7 @@ class ChunkEncoder:
 
     def encode(self, texts: list[bytes]) -> list[np.ndarray]:
         """Ids of each UTF-8 text."""
-        split = [(text if b"<|" in text else text.lower()).split() for text in texts]  # the tokenizer lower-cases all but its special tokens
+        split = [_lowered_chunks(text) for text in texts]
         chunks = [c for row in split for c in row]
         if len(self.table) > self.table_size:
             self._forget(chunks)

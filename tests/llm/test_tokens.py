@@ -16,6 +16,7 @@ def test_same_ids_as_the_tokenizer(encoder):
     word = lambda: "".join(rng.choice(rng.choice(letters)) for _ in range(rng.randint(1, 12)))
     texts = [" ".join(word() for _ in range(rng.randint(0, 60))) for _ in range(80)]
     texts += ["", " \t\n", "plain words only", f"a {encoder.mark} b x{encoder.mark}y", "Don't <|endoftext|> STOP", "z" * 5000]
+    texts += ["H\u0331am J\u030cAN T\u0308 W\u030aX Y\u030A é E\u0301COLE ÉTÉ Upper", "O\u031b\u0301N Ἀ A\u0345 Mixed Case"]
     want = [x.ids for x in encoder.tokenizer.encode_batch(texts, add_special_tokens=False)]
     assert encoder.letters_whole
     assert [ids.tolist() for ids in encoder.encode([t.encode() for t in texts])] == want
