@@ -96,8 +96,13 @@ def _deal(nodes: DataFrame, parent: list[str], name: str) -> DataFrame:
 
 
 def allocate(leaves: DataFrame, recipe: Recipe) -> DataFrame:
-    """``leaves(domain, lang, source, supply)`` with ``alloc`` tokens each."""
-    leaves = leaves.withColumn("cap", F.col("supply") * recipe.max_epochs)
+    """``leaves(domain, lang, source, supply)`` with ``alloc`` tokens each.
+
+    A leaf of weight zero, or below such a node, takes nothing, so it is no
+    capacity of the nodes above it and their shortage goes to their siblings.
+    """
+    weights = [_lookup(F.col(level), table, recipe.default_weight) for level, table in zip(LEVELS, (recipe.domain_weights, recipe.lang_weights, recipe.source_weights), strict=True)]
+    leaves = leaves.withColumn("cap", F.when(F.least(*weights) > 0, F.col("supply") * recipe.max_epochs).otherwise(0))
     domains = leaves.groupBy("domain").agg(F.sum("cap").alias("cap"), F.sum("supply").alias("supply"))
     root = domains.agg(F.least(F.floor(F.sum("supply") * recipe.share / 100), F.sum("cap")).cast("long").alias("budget"))
     domains = domains.withColumn("w", _lookup(F.col("domain"), recipe.domain_weights, recipe.default_weight))

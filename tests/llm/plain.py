@@ -109,7 +109,8 @@ def mix(rows, recipe):
     supply = Counter()
     for d, lang, source, _, n in keyed:
         supply[d, lang, source] += n
-    cap = {k: n * recipe.max_epochs for k, n in supply.items()}
+    weight = lambda k: min(t.get(name, recipe.default_weight) for name, t in zip(k, (recipe.domain_weights, recipe.lang_weights, recipe.source_weights), strict=True))
+    cap = {k: n * recipe.max_epochs if weight(k) > 0 else 0 for k, n in supply.items()}
     for d, lang, source, *_ in keyed:
         cap.setdefault((d, lang, source), 0)
     part = lambda name, table: table.get(name, recipe.default_weight)
