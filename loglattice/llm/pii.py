@@ -65,19 +65,34 @@ def _marked(text: Column, pattern: str) -> Column:
     return F.regexp_replace(F.translate(text, "\x01", "\x02"), pattern, "\x01")
 
 
+#: Matches of a text whose places are added up at once; more are cut into groups of so many.
+GROUP = 256
+
+
+def _upto(lengths: Column) -> Column:
+    """Running sums of whole numbers, in linear time: sums within groups, then what the groups before add.
+
+    An array that grows by one in every step is copied in every step, so no step
+    goes over more than ``GROUP`` of them (and over one entry a group).
+    """
+    none = F.array().cast("array<int>")
+
+    def run(values: Column) -> Column:
+        return F.aggregate(values, none, lambda acc, x: F.concat(acc, F.array(x + F.coalesce(F.try_element_at(acc, F.lit(-1)), F.lit(0)))))
+
+    groups = F.transform(F.sequence(F.lit(0), F.floor((F.size(lengths) - 1) / GROUP).cast("int")), lambda k: run(F.slice(lengths, k * GROUP + 1, GROUP)))
+    ends = run(F.transform(groups, lambda g: F.element_at(g, -1)))
+    whole = F.flatten(F.transform(groups, lambda g, k: F.transform(g, lambda x: x + F.when(k > 0, F.get(ends, k - 1)).otherwise(0))))
+    return F.when(F.size(lengths) == 0, none).when(F.size(lengths) <= GROUP, run(lengths)).otherwise(whole)
+
+
 def _spans(text: Column, shown: Column, pattern: str, passes: Callable[[Column], Column]) -> Column:
     """Matches of ``pattern`` in ``text`` with their places; ``shown`` is the text that the matches are taken from."""
     found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    gaps = F.split(text, pattern, -1)
-    pairs = F.arrays_zip(F.slice(gaps, F.lit(1), F.size(found)).alias("g"), found.alias("m"))
-    start = F.struct(F.lit(0).alias("at"), F.array().cast(_SPAN).alias("out"))
-
-    def step(acc: Column, pair: Column) -> Column:
-        begin = acc["at"] + F.length(pair["g"])
-        end = begin + F.length(pair["m"])
-        return F.struct(end.alias("at"), F.concat(acc["out"], F.array(F.struct(pair["m"].alias("m"), begin.alias("s"), end.alias("e")))).alias("out"))
-
-    return F.filter(F.aggregate(pairs, start, step, lambda acc: acc["out"]), lambda x: passes(x["m"]))
+    gaps = F.slice(F.split(text, pattern, -1), F.lit(1), F.size(found))
+    ends = _upto(F.zip_with(gaps, found, lambda g, m: F.length(g) + F.length(m)))
+    spans = F.zip_with(found, ends, lambda m, e: F.struct(m.alias("m"), (e - F.length(m)).alias("s"), e.alias("e")))
+    return F.filter(spans, lambda x: passes(x["m"]))
 
 
 def _digits(value: Column) -> Column:
