@@ -49,6 +49,7 @@ def claude_observations(rows: DataFrame) -> DataFrame:
     """One observation for each message line with usage or a model, and one for each model of a cost-state line.
 
     A line with labels only is kept with unknown scope, so it never enters a sum.
+    The models of one cost-state line come in the order of their names.
     """
     lines = parsed(rows).withColumns({"record": F.concat(F.lit("line:"), "pos"), "kind": field("$.type")})
     usage = F.try_variant_get("v", "$.message.usage", "variant")

@@ -1,12 +1,13 @@
 """Operators against plain versions and at their boundaries."""
 
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
 
 from loglattice.functions import guards, text
-from loglattice.operators import intervals, listing, ordered, relations, skills, turns, usage
+from loglattice.operators import filters, intervals, listing, ordered, relations, skills, turns, usage
 
 EVENT = "session string, seq long, type string, text string, origin string, call_id string, turn_id string, error_kind string, stop_reason string"
 
@@ -182,3 +183,37 @@ def test_skills_once_per_round(spark):
     once = skills.once_per_round(uses)
     assert rows_of(once.select("round", "seq", "bare", "trigger", "origin")) == [(1, 4, "plan", "explicit", "native"), (2, 5, "plan", "passive", "inferred")]
     assert skills.summary(once).first()["total"] == 2
+
+
+def test_one_key_holding_all_rows_is_cut_into_buckets(spark):
+    """Islands, repeats and numbers are the same with many small buckets as with one."""
+    rows = [("k", x, x + (x % 7 == 0) * 40) for x in range(0, 3000, 5) if x % 200 < 150]
+    df = spark.createDataFrame(rows, "k string, lo long, hi long")
+    whole, cut = (sorted(tuple(r) for r in ordered.islands(df, ["k"], 6, b).select("k", "lo", "hi", "n").collect()) for b in (1 << 40, 16))
+    assert whole == cut and len(whole) == 15
+    log = spark.createDataFrame([("k", x, None if x % 50 < 10 else x // 20) for x in range(1000)], "k string, seq long, v long")
+    whole, cut = (sorted(r["seq"] for r in ordered.drop_repeats(log, ["k"], "seq", ["v"], b).collect()) for b in (1 << 40, 8))
+    assert whole == cut and whole[0] == 0
+    strict = ordered.carry_forward(log, ["k"], "seq", F.when(F.col("seq") % 30 == 0, F.col("seq")), "last", 8, strict=True)
+    assert {r["seq"]: r["last"] for r in strict.collect()} == {x: (x - 1) // 30 * 30 if x else None for x in range(1000)}
+
+
+def test_pages_cursors_and_references(spark):
+    rows = spark.createDataFrame([("a", "s1", 3.0), ("a", "s12", 1.0), ("b", "s1", 2.0), ("b", "t5", None)], "source string, id string, mtime double")
+    first, token = filters.page_after(rows, ["id", "source"], "g", size=3)
+    second, _ = filters.page_after(rows, ["id", "source"], "g", token, 3)
+    assert [r["id"] for r in first.collect()] == ["s1", "s1", "s12"] and [r["id"] for r in second.collect()] == ["t5"]
+    for bad in ("?", filters.encode_cursor("other", 3), filters.encode_cursor("g", -1)):
+        with pytest.raises(ValueError):
+            filters.decode_cursor(bad, "g")
+    verdicts = {ref: tuple(filters.resolve_reference(rows, ref).select("verdict", "n").first()) for ref in ("s1", "b:s1", "s12", "t", "zz", "")}
+    assert verdicts == {"s1": ("ambiguous", 3), "b:s1": ("found", 1), "s12": ("found", 1), "t": ("found", 1), "zz": ("not_found", 0), "": ("not_found", 0)}
+    assert filters.select_sessions(rows, since=0).count() == 3 and filters.select_sessions(rows.limit(0), since=0).count() == 0
+
+
+def test_markers_are_found_in_one_pass():
+    """The pattern that stands before the rules matches exactly where some marker is."""
+    words = ["abc", "abd", "ab", "xyz", "x", "429", "to"]
+    assert {w for w in ["zabz", "a b", "wxw", "42 9", "4290", "tow", "t o"] if re.search(text.any_of(words), w)} == {"zabz", "wxw", "4290", "tow"}
+    every = [m for group in text._MARKERS for m in group]
+    assert all(re.search(text._ANY, f"..{m}..") for m in every) and re.search(text._ANY, "an api_ error") and not re.search(text._ANY, "plain words 40 1 and 50 3")

@@ -4,7 +4,8 @@ import json
 
 from pyspark.sql import functions as F
 
-from loglattice.sources import interpret, jsonl
+from loglattice.operators import relations
+from loglattice.sources import claude, collect, interpret, jsonl
 from loglattice.streaming import changelog
 
 
@@ -85,3 +86,69 @@ def test_appends_continue_the_latest_base(spark):
     schema = "session string, key string, generation long, pos long, op string, text string"
     df = spark.createDataFrame([("s", "a", 1, 1, "upsert", "old"), ("s", "a", 1, 2, "upsert", "ne"), ("s", "a", 1, 3, "append", "w"), ("s", "b", 1, 4, "append", "?")], schema)
     assert sorted((r["key"], r["text"], r["gap"]) for r in changelog.appended(df).collect()) == [("a", "new", False), ("b", "?", True)]
+
+
+def test_a_line_of_many_parts_and_a_long_branch(spark, tmp_path):
+    """5,000 parts in one line keep their numbers apart from the next line's; a branch of 5,000 entries keeps its oldest."""
+    parts = [{"type": "text", "text": f"p{k}"} for k in range(5000)]
+    df = rows(spark, tmp_path, [{"type": "message", "id": "1", "message": {"role": "assistant", "content": parts}}, {"type": "message", "id": "2", "parentId": "1", "message": {"role": "user", "content": "next"}}])
+    got = interpret.pi_events(df).orderBy("seq").collect()
+    assert [r["seq"] for r in got] == list(range(1, 5002)) and got[-1]["text"] == "next"
+    chain = spark.range(1, 5001).selectExpr("'s' AS session", "id AS pos", "cast(id AS string) AS id", "nullif(cast(id - 1 AS string), '0') AS parent_id")
+    side = spark.createDataFrame([("s", 0, "x", "4"), ("t", 1, "a", "b"), ("t", 2, "b", "a")], "session string, pos long, id string, parent_id string")
+    kept = relations.active_branch(chain.unionByName(side))
+    assert {(r["session"], r["id"]) for r in kept.collect()} == {("s", str(k)) for k in range(1, 5001)} | {("t", "a"), ("t", "b")}
+    assert relations.active_branch(chain.limit(0)).count() == 0
+
+
+def said(role, content, **more):
+    return {"type": role, "message": {"role": role, "content": content}} | more
+
+
+def test_message_lines(spark, tmp_path):
+    """Errors wait for a human's text or the end, an answer drops them; echoes, side chains and blank texts give no text events."""
+    fault = lambda text, status=None: {"type": "system", "error": {"formatted": text, "status": status}}
+    df = rows(spark, tmp_path, [
+        said("user", " hi "), fault("first"), fault("401 API key is invalid.", 401), said("user", "again"), fault("lost"), said("assistant", [{"type": "thinking", "thinking": "hm"}, {"type": "text", "text": "yes"}, {"type": "tool_use", "id": "c", "name": "Bash", "input": {}}]),
+        said("user", [{"type": "tool_result", "tool_use_id": "c", "content": "x\nError: no"}, {"type": "tool_result", "tool_use_id": "d", "content": [], "is_error": "no"}, {"type": "tool_result", "tool_use_id": "e", "content": "Error: but", "is_error": False}]),
+        said("user", "<command-name>/plan</command-name> <command-args> go on </command-args>"), said("user", "<bash-input>ls</bash-input>"), said("user", "[Request interrupted by user]"), said("user", "side", isSidechain=True), said("user", "meta", isMeta=True),
+        {"type": "attachment", "attachment": {"type": "queued_command", "prompt": "also", "humanTurn": True}}, {"type": "attachment", "attachment": {"type": "queued_command", "prompt": "note", "origin": {"kind": "task"}}}, said("user", "summary", isCompactSummary=True),
+        said("assistant", [{"type": "text", "text": "  "}]), fault("Connection dropped"), said("user", "hook", origin={"kind": "hook"}),
+    ])
+    got = claude.events(df).orderBy("seq").collect()
+    assert [(r["type"], r["text"] or r["name"], r["origin"]) for r in got] == [
+        ("user_message", "hi", None), ("assistant_message", "401 API key is invalid.", None), ("user_message", "again", None), ("thinking", "hm", None), ("assistant_message", "yes", None), ("tool_call", "Bash", None),
+        ("tool_result", "x\nError: no", None), ("tool_result", "[]", None), ("tool_result", "Error: but", None), ("user_message", "go on", None), ("user_message", "<bash-input>ls</bash-input>", "injected"), ("user_message", "also", "human"),
+        ("user_message", "summary", "system"), ("assistant_message", "Connection dropped", None),
+    ]
+    assert [r["result_status"] for r in got if r["type"] == "tool_result"] == ["error", "unknown", "ok"]
+    assert [(r["error_code"], r["error_kind"], r["retryable"]) for r in got if r["error_kind"]] == [("401", "auth", False), (None, "provider_error", True)]
+    assert claude.events(df.limit(0)).count() == 0
+
+
+def test_usage_of_message_lines(spark, tmp_path):
+    """Missing stays missing, booleans and strings are no counts, labels alone are unscoped, repeated ids are told apart."""
+    used = {"input_tokens": 5, "output_tokens": True, "cache_read_input_tokens": "7", "cache_creation": {"ephemeral_5m_input_tokens": 3}}
+    df = rows(spark, tmp_path, [
+        said("assistant", [], requestedModel="ask") | {"message": {"id": "m1", "model": " big ", "usage": used}}, {"type": "assistant", "effort": "high", "message": {"content": "x"}}, said("user", "plain"),
+        {"type": "cost-state", "sessionId": "n", "modelUsage": {"a": {"inputTokens": 0, "costUSD": 0.5}, " a ": {"outputTokens": 2}, "b": {}, "c": 3}},
+    ])
+    got = collect.claude_observations(df).orderBy("pos", "sub").collect()
+    assert [(r["observation_id"], r["scope"], r["model"], r["requested_model"], r["input_tokens"], r["output_tokens"], r["cache_read_tokens"], r["cost"]) for r in got] == [
+        ("claude:s:line:1:usage", "message", "big", "ask", 5, None, None, None), ("claude:s:line:2:attribution", "unknown", None, None, None, None, None, None),
+        ("claude:s:line:4:modelUsage:a", "session", "a", None, None, 2, None, None), ("claude:s:line:4:modelUsage:a#2", "session", "a", None, 0, None, None, 0.5),
+    ]
+    assert got[0]["subdivisions"] == {"cache_creation_5m": 3} and got[1]["reasoning_level"] == "high"
+
+
+def test_usage_of_items(spark, tmp_path):
+    """The turn's last context names the model asked for, unless the record has one; thread counters take none."""
+    record = lambda **p: {"type": "token_usage_record", "payload": p}
+    df = rows(spark, tmp_path, [
+        {"type": "turn_context", "payload": {"turn_id": "t", "model": "old", "effort": "low"}}, record(turn_id="t", response_id="r", thread_id="th", usage={"input_tokens": 1}, turn_token_usage={"total_tokens": 9}, thread_token_usage={"input_tokens": 4}),
+        record(turn_id="t", model="own", usage={"output_tokens": 2}), {"type": "turn_context", "payload": {"turn_id": "t", "model": "new"}}, {"type": "event_msg", "payload": {"info": {"total_token_usage": {"input_tokens": 3}}}}, record(turn_id="t", usage={}),
+    ])
+    got = collect.codex_observations(df).orderBy("pos", "sub").collect()
+    assert [(r["scope"], r["counter"], r["scope_id"], r["model"], r["requested_model"], r["reasoning_level"]) for r in got] == [
+        ("turn", "cumulative", "r", None, "new", "low"), ("call", "absolute", "r", None, "new", "low"), ("session", "cumulative", "th", None, None, None), ("call", "absolute", "t", "own", None, "low"), ("unknown", "cumulative", None, None, None, None),
+    ]
