@@ -40,7 +40,8 @@ def components(edges: DataFrame) -> DataFrame:
     edges = storage.settle(edges, "edges")
     mark = _mark(edges)
     while True:
-        edges = storage.settle(_star(_star(edges, True), False), "edges")
+        before, edges = edges, storage.settle(_star(_star(edges, True), False), "edges")
+        storage.forget(before)
         last, mark = mark, _mark(edges)
         if mark == last:
             break

@@ -174,7 +174,9 @@ def _exact_filter(pairs: DataFrame, reps: DataFrame, docs: DataFrame) -> DataFra
     dealt = sized.join(chunks, "b").select("a", "b", F.pmod(F.xxhash64("a"), F.col("chunks")).cast("int").alias("chunk"))
     one = dealt.join(table.select(F.col("id").alias("a"), F.col("set").alias("sa")), "a")
     two = chunks.select("b", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("part")).join(table.select(F.col("id").alias("b"), F.col("set").alias("sb")), "b").withColumnRenamed("b", "lead")
-    return one.groupBy("b", "chunk").cogroup(two.groupBy("lead", "part")).applyInArrow(compare, "a long, b long")
+    links = storage.settle(one.groupBy("b", "chunk").cogroup(two.groupBy("lead", "part")).applyInArrow(compare, "a long, b long"), "links")
+    storage.forget(sized, table)
+    return links
 
 
 def _wave(placed: DataFrame, sides: DataFrame) -> DataFrame:
@@ -210,19 +212,22 @@ def links(docs: DataFrame, reps: DataFrame) -> DataFrame:
     sides = reps.select("id", "n", F.explode("sides").alias("side"))
     keyed = sides.select("id", (F.col("n") * 64 + F.col("side.band")).alias("size_band"), F.explode("side.keys").alias("key"))
     sizes = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("size")).filter("size > 1")
-    members = storage.settle(keyed.join(sizes, "key"), "members")
-    weight = members.groupBy("id").agg(F.sum("size").alias("weight"))
+    counted = storage.settle(keyed.join(sizes, "key"), "members")
+    members, weight = counted, counted.groupBy("id").agg(F.sum("size").alias("weight"))
     members = members.join(weight, "id").select("key", "id", F.floor(F.col("size_band") / 64).alias("n"), (F.col("size_band") % 64).cast("int").alias("band"), "weight")
     sides = sides.join(weight.select("id"), "id").select("id", "n", "side.band", *[f"side.{c}" for c in WORDS])
     members, sides = storage.settle(members, "weighed-members"), storage.settle(sides, "member-sketches")
 
     found, placed = None, members.withColumn("root", F.col("id"))
     for wave in range(WAVES + 1):
-        pairs = _wave(placed, sides) if wave < WAVES else _rest(placed, sides)
-        more = storage.settle(_exact_filter(storage.settle(pairs, "pairs"), reps, docs), "links")
+        pairs = storage.settle(_wave(placed, sides) if wave < WAVES else _rest(placed, sides), "pairs")
+        more = _exact_filter(pairs, reps, docs)
+        storage.forget(pairs)
         found = more if found is None else found.unionByName(more)
         if wave < WAVES:
-            placed = storage.settle(_open(members if wave == 0 else placed.drop("root"), found), "open-buckets")
+            before, placed = placed, storage.settle(_open(members if wave == 0 else placed.drop("root"), found), "open-buckets")
+            storage.forget(*([before] if wave else [counted]))
+    storage.forget(placed, members, sides)
     return found
 
 

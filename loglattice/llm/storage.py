@@ -11,12 +11,14 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named in ``spark.checkpoint.dir``; a local one is set only where that is unset (single-machine use)."""
+    """The folder named in ``spark.checkpoint.dir``; where that is unset, a temporary one, and only if all of Spark runs on this machine."""
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not folder:
         held = spark.sparkContext._jsc.sc().getCheckpointDir()
         folder = held.get() if held.isDefined() else None
     if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         folder = "file://" + tempfile.mkdtemp(prefix="loglattice-")
         spark.sparkContext.setCheckpointDir(folder)
     return folder.rstrip("/")
@@ -42,12 +44,21 @@ def small_arrow_batches(spark: SparkSession, limit: str = "8m") -> Iterator[None
 def settle(df: DataFrame, name: str) -> DataFrame:
     """Writes ``df`` as Parquet in the shared folder and reads it back, which cuts its lineage.
 
-    The files survive lost executors; they stay until the folder is cleaned.
+    The files survive lost executors; they stay until :func:`forget` removes
+    them or the folder is cleaned.
     """
     path = fresh(df.sparkSession, name)
     with small_arrow_batches(df.sparkSession):
         df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    table = df.sparkSession.read.schema(df.schema).parquet(path)
+    table.settled_at = path
+    return table
+
+
+def forget(*tables: DataFrame) -> None:
+    """Removes the files of settled tables that nothing reads any more."""
+    for table in tables:
+        drop(table.sparkSession, table.settled_at)
 
 
 def drop(spark: SparkSession, path: str) -> None:
