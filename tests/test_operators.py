@@ -161,7 +161,7 @@ def test_chains_end_and_cycles_stop_at_their_last_new_node(spark):
 def test_active_branch(spark):
     rows = [("s", k, f"n{k}", f"n{k - 1}" if k else None) for k in range(150)] + [("s", 150, "side", "n3"), ("s", 151, "leaf", "n140")]
     rows += [("flat", 0, "a", None), ("flat", 1, None, None), ("loop", 0, "a", "b"), ("loop", 1, "b", "a"), ("torn", 0, "a", None), ("torn", 1, "b", "gone")]
-    got = relations.active_branch(spark.createDataFrame(rows, "session string, pos long, id string, parent_id string"), rounds=8)
+    got = relations.active_branch(spark.createDataFrame(rows, "session string, pos long, id string, parent_id string"))
     found = {}
     for r in got.collect():
         found.setdefault(r["session"], set()).add(r["pos"])
