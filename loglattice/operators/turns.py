@@ -12,7 +12,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from loglattice.operators.ordered import running_sum
+from loglattice.operators.ordered import drop_repeats, running_sum
 
 AGENT_SIDE = ("assistant_message", "thinking", "tool_call", "tool_result")
 #: The status of a session by that of its last turn.
@@ -105,11 +105,9 @@ def tail(messages: DataFrame, n: int = 20) -> DataFrame:
 
 
 def loop_counts(events: DataFrame) -> DataFrame:
-    """``session, loops``: rising edges, i.e. agent messages that don't follow an agent message."""
-    sides = events.filter(F.col("type").isin("user_message", "assistant_message"))
-    near = Window.partitionBy("session").orderBy("seq")
-    edge = (F.col("type") == "assistant_message") & ~F.coalesce(F.lag("type").over(near) == "assistant_message", F.lit(False))
-    return sides.withColumn("_e", edge).groupBy("session").agg(F.count_if("_e").alias("loops"))
+    """``session, loops``: rising edges, i.e. agent messages that don't follow an agent message; sessions without messages have no row."""
+    sides = events.filter(F.col("type").isin("user_message", "assistant_message")).select("session", "seq", "type")
+    return drop_repeats(sides, ["session"], "seq", ["type"]).groupBy("session").agg(F.count_if(F.col("type") == "assistant_message").alias("loops"))
 
 
 def event_counts(events: DataFrame, types: tuple[str, ...] = ("user_message", "assistant_message", "thinking", "tool_call", "tool_result")) -> DataFrame:
@@ -141,8 +139,10 @@ def pair_in_order(events: DataFrame) -> DataFrame:
 
     A result takes the open call of its id; without an id, or with an unknown
     one, the latest open call without an id; else it stays alone.  A call whose
-    id is still open isn't registered.  Rows come sorted by session, so a task
-    streams them and holds the open calls of one session only.
+    id is still open isn't registered.  Ids that one call and at most one later
+    result have can't meet anything else, so they are paired by an aggregation,
+    however long the session; only what is left is walked through, sorted by
+    session, so a task holds the open calls of one session only.
     """
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -177,4 +177,9 @@ def pair_in_order(events: DataFrame) -> DataFrame:
         yield pd.DataFrame(out, columns=["session", "call_id", "call_seq", "result_seq"]).astype({"call_seq": "Int64", "result_seq": "Int64"})
 
     rows = events.filter(F.col("type").isin("tool_call", "tool_result")).select(F.col("session").cast("string").alias("session"), "seq", "type", "call_id")
-    return rows.repartition("session").sortWithinPartitions("session", "seq").mapInPandas(run, PAIRS)
+    call = F.col("type") == "tool_call"
+    ids = rows.filter(F.coalesce("call_id", F.lit("")) != "").groupBy("session", "call_id").agg(F.count_if(call).alias("_c"), F.count_if(~call).alias("_r"), F.min(F.when(call, F.col("seq"))).alias("call_seq"), F.min(F.when(~call, F.col("seq"))).alias("result_seq"))
+    plain = ids.filter((F.col("_c") == 1) & ((F.col("_r") == 0) | ((F.col("_r") == 1) & (F.col("call_seq") < F.col("result_seq"))))).select("session", "call_id", "call_seq", "result_seq")
+    left = rows.join(plain.select(F.col("session").alias("_s"), F.col("call_id").alias("_i")), F.col("session").eqNullSafe(F.col("_s")) & (F.col("call_id") == F.col("_i")), "left_anti")
+    walked = left.repartition("session").sortWithinPartitions("session", "seq").mapInPandas(run, PAIRS)
+    return plain.select("session", "call_id", F.col("call_seq").cast("long"), F.col("result_seq").cast("long")).unionByName(walked)

@@ -94,15 +94,25 @@ def model_slices(rows: DataFrame, cap: int = 50) -> DataFrame:
     return top.crossJoin(F.broadcast(total)).select("model", "amount", "n_rows", F.greatest(F.col("_n") - cap, F.lit(0)).alias("omitted"))  # one row
 
 
-def nearest_percentile(df: DataFrame, keys: list[str], value: str, share: float = 0.95) -> DataFrame:
+def nearest_percentile(df: DataFrame, keys: list[str], value: str, share: float = 0.95, bins: int = 4096) -> DataFrame:
     """The value at place ``floor(share * n)`` (from 0, not interpolated) in ascending order, and the median.
 
-    Equal values are counted first, so the walk is over distinct values.
+    Null values don't count; a key without values has no row.  Equal values are
+    counted first.  Each key's range is cut into ``bins`` equal widths whose
+    counts tell which of them hold the places asked for; only those are sorted.
     """
     counts = df.filter(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count(F.lit(1)).alias("_c"))
-    upto = Window.partitionBy(*keys).orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
-    walked = counts.withColumn("_u", F.sum("_c").over(upto)).withColumn("_n", F.sum("_c").over(Window.partitionBy(*keys)))
-    at = lambda place: F.min(F.when(F.col("_u") > place, F.col(value)))
+    ends = counts.groupBy(*keys).agg(F.min(value).alias("_lo"), F.max(value).alias("_hi"), F.sum("_c").alias("_n"))
+    width = F.nullif(F.col("_hi") - F.col("_lo"), F.lit(0))
+    placed = counts.join(ends, keys).withColumn("_bin", F.coalesce(F.floor((F.col(value) - F.col("_lo")) / width * bins), F.lit(0)))
+    upto = Window.partitionBy(*keys).orderBy("_bin").rowsBetween(Window.unboundedPreceding, 0)
+    sums = placed.groupBy(*keys, "_bin", "_n").agg(F.sum("_c").alias("_t")).withColumn("_u", F.sum("_t").over(upto))
     last = F.col("_n") - 1
-    found = walked.groupBy(*keys).agg(F.max("_n").alias("n"), at(F.least(F.floor(F.col("_n") * share), last)).alias("p95"), at(F.floor(last / 2)).alias("_a"), at(F.floor(F.col("_n") / 2)).alias("_b"))
-    return found.withColumn("median", (F.col("_a") + F.col("_b")) / 2).drop("_a", "_b")
+    asked = F.array(*[F.struct(F.lit(name).alias("what"), place.cast("long").alias("at")) for name, place in (("p95", F.least(F.floor(F.col("_n") * share), last)), ("a", F.floor(last / 2)), ("b", F.floor(F.col("_n") / 2)))])
+    wanted = sums.select(*keys, "_bin", "_n", "_u", (F.col("_u") - F.col("_t")).alias("_before"), F.explode(asked).alias("q")).filter((F.col("q.at") >= F.col("_before")) & (F.col("q.at") < F.col("_u")))
+    inside = placed.select(*keys, "_bin", value, "_c").join(wanted.select(*keys, "_bin", "_before", "_n", "q.what", "q.at"), [*keys, "_bin"])
+    run = Window.partitionBy(*keys, "what").orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
+    found = inside.withColumn("_v", F.col("_before") + F.sum("_c").over(run)).filter(F.col("_v") > F.col("at"))
+    first = found.groupBy(*keys, "what", "_n").agg(F.min(value).alias("_x"))
+    one = lambda name: F.max(F.when(F.col("what") == name, F.col("_x")))
+    return first.groupBy(*keys).agg(F.max("_n").alias("n"), one("p95").alias("p95"), ((one("a") + one("b")) / 2).alias("median"))
