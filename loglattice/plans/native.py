@@ -8,7 +8,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loglattice.sources import claude, collect
+from loglattice.operators import conformance
+from loglattice.plans.dialogue import activity
+from loglattice.sources import claude, collect, parts
 
 
 def _events(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -95,7 +97,39 @@ def item_usage(spark: SparkSession, sf_dir: str) -> DataFrame:
     return collect.codex_observations(item_usage_lines(spark, sf_dir)).select(*_SHOWN)
 
 
-QUERIES = {f.__name__: f for f in (message_line_events, message_line_usage, item_usage)}
+def _stores(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Orders are messages of their customer and lines their parts; a fifth of the orders have no parts."""
+    orders, lines = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("orders", "lineitem"))
+    key, line = F.col("o_orderkey"), F.col("l_linenumber")
+    error = F.struct(F.when(key % 2 == 0, "MessageAbortedError").otherwise("APIError").alias("name"), F.struct(F.lit("gone wrong").alias("message"), F.when(key % 2 != 0, 429).alias("statusCode")).alias("data"))
+    data = _json(F.when(key % 3 == 0, "user").otherwise("assistant").alias("role"), F.when(key % 7 == 0, "stop").alias("finish"), F.when((key % 4 == 1) & (key % 3 != 0), error).alias("error"))
+    messages = orders.select(F.concat(F.lit("c"), "o_custkey").alias("session"), F.concat(F.lit("o"), F.lpad(key.cast("string"), 9, "0")).alias("id"), (key * 5 % 1000).alias("created"), data.alias("data"))
+    state = F.struct(F.when(line % 3 == 0, "error").when(line % 3 == 1, "completed").otherwise("running").alias("status"), F.lit("out").alias("output"), F.lit("bad").alias("error"))
+    part = (
+        F.when((F.col("l_orderkey") + line) % 4 == 0, _json(F.lit("text").alias("type"), F.when(line % 5 == 0, " ").otherwise(F.concat(F.lit(" t"), line.cast("string"))).alias("text"), (line == 3).alias("synthetic")))
+        .when((F.col("l_orderkey") + line) % 4 == 1, _json(F.lit("reasoning").alias("type"), F.lit("hm").alias("text"))).when((F.col("l_orderkey") + line) % 4 == 2, _json(F.lit("tool").alias("type"), F.lit("bash").alias("tool"), F.concat(F.lit("k"), line.cast("string")).alias("callID"), state.alias("state")))
+        .otherwise(_json(F.lit("step-start").alias("type")))
+    )
+    parts = lines.filter("l_orderkey % 5 <> 0").select(F.concat(F.lit("o"), F.lpad(F.col("l_orderkey").cast("string"), 9, "0")).alias("message_id"), F.concat(F.lit("p"), line.cast("string")).alias("id"), F.lit(0).alias("created"), part.alias("data"))
+    return messages, parts.dropDuplicates(["message_id", "id"])
+
+
+def store_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return parts.events(*_stores(spark, sf_dir))
+
+
+def store_conversation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return parts.conversation(*_stores(spark, sf_dir))
+
+
+def conformance_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rules that the log of events breaks, by number: its ids don't count from 1, and results stand before their calls."""
+    log = activity(spark, sf_dir)
+    found = conformance.sequence(log).union(conformance.pairing(log))
+    return found.groupBy("rule").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("session").alias("n_sessions"))
+
+
+QUERIES = {f.__name__: f for f in (message_line_events, message_line_usage, item_usage, store_events, store_conversation, conformance_report)}
 
 _E = "e AS (SELECT 'u' || user_id AS session, event_id AS pos, event_type FROM events)"
 
@@ -133,4 +167,22 @@ ORACLES = {
           UNION ALL SELECT session, pos, 'last_token_usage', 'call', 'absolute', NULL, NULL, NULL, pos % 7, NULL FROM e WHERE event_type = 'purchase')
         SELECT u.session, 'codex:' || u.session || ':line:' || pos || ':' || f AS observation_id, scope, counter, scope_id, response_id, u.turn_id, model, CASE WHEN model IS NULL THEN asked END AS requested_model, i AS input_tokens, CAST(2 AS BIGINT) AS output_tokens, CAST(NULL AS BIGINT) AS reasoning_tokens, CAST(NULL AS DOUBLE) AS cost
         FROM u LEFT JOIN t ON u.session = t.session AND u.turn_id = t.turn_id""",
+    "store_conversation": """SELECT DISTINCT 'c' || o_custkey AS session, o_orderkey * 5 % 1000 AS at, 'o' || lpad(CAST(o_orderkey AS VARCHAR), 9, '0') AS mid, 'p' || l_linenumber AS pid, CASE WHEN o_orderkey % 3 = 0 THEN 'user' ELSE 'assistant' END AS role, CASE WHEN l_linenumber % 5 = 0 THEN '' ELSE 't' || l_linenumber END AS text
+        FROM orders JOIN lineitem ON o_orderkey = l_orderkey WHERE o_orderkey % 5 <> 0 AND (l_orderkey + l_linenumber) % 4 = 0 AND l_linenumber <> 3""",
+    "store_events": """WITH o AS (SELECT 'c' || o_custkey AS session, o_orderkey AS k, o_orderkey * 5 % 1000 AS tm, 'o' || lpad(CAST(o_orderkey AS VARCHAR), 9, '0') AS mid, o_orderkey % 3 = 0 AS u, o_orderkey % 4 = 1 AND o_orderkey % 3 <> 0 AS f FROM orders),
+        p AS (SELECT DISTINCT o.*, l_linenumber AS l, (k + l_linenumber) % 4 AS t FROM o JOIN lineitem ON k = l_orderkey WHERE k % 5 <> 0),
+        b AS (SELECT o.* FROM o LEFT JOIN (SELECT DISTINCT mid FROM p) q ON o.mid = q.mid WHERE q.mid IS NULL AND NOT u),
+        x AS (
+          SELECT session, tm, mid, 'p' || l AS pid, 0 AS n, CASE WHEN t = 1 THEN 'thinking' WHEN u THEN 'user_message' ELSE 'assistant_message' END AS type, CASE WHEN t = 1 THEN 'hm' ELSE 't' || l END AS text, CASE WHEN u AND t = 0 THEN 'human' END AS origin, NULL AS call_id, NULL AS name, NULL AS result_status, CASE WHEN t = 0 AND f THEN k END AS e FROM p WHERE t = 1 OR (t = 0 AND l <> 3 AND l % 5 <> 0)
+          UNION ALL SELECT session, tm, mid, 'p' || l, 0, 'tool_call', NULL, NULL, 'k' || l, 'bash', NULL, NULL FROM p WHERE t = 2
+          UNION ALL SELECT session, tm, mid, 'p' || l, 1, 'tool_result', CASE WHEN l % 3 = 0 THEN 'bad' ELSE 'out' END, NULL, 'k' || l, NULL, CASE WHEN l % 3 = 0 THEN 'error' ELSE 'ok' END, NULL FROM p WHERE t = 2 AND l % 3 <> 2
+          UNION ALL SELECT session, tm, mid, NULL, 0, CASE WHEN f THEN 'assistant_message' ELSE 'lifecycle' END, CASE WHEN f AND k % 2 <> 0 THEN '429: gone wrong' WHEN f THEN 'gone wrong' ELSE 'empty assistant message' END, NULL, NULL, NULL, NULL, CASE WHEN f THEN k END FROM b WHERE f OR k % 7 <> 0
+          UNION ALL SELECT session, 4611686018427387904, lpad(CAST(any_value(tm) AS VARCHAR), 20, '0') || mid, '', 0, 'assistant_message', CASE WHEN any_value(k) % 2 <> 0 THEN '429: gone wrong' ELSE 'gone wrong' END, NULL, NULL, NULL, NULL, any_value(k) FROM p WHERE f GROUP BY session, mid HAVING count(*) FILTER (t = 0 AND l <> 3 AND l % 5 <> 0) = 0)
+        SELECT session, CAST(row_number() OVER (PARTITION BY session ORDER BY tm, mid, pid NULLS FIRST, n) AS BIGINT) AS seq, type, text, origin, call_id, right(mid, 10) AS message_id, name, result_status, CASE WHEN e % 2 <> 0 THEN '429' END AS error_code,
+               CASE WHEN e % 2 = 0 THEN 'user_interrupt' WHEN e IS NOT NULL THEN 'rate_limited' END AS error_kind, CASE WHEN e % 2 = 0 THEN FALSE WHEN e IS NOT NULL THEN TRUE END AS retryable FROM x""",
+    "conformance_report": """WITH l AS (SELECT user_id AS session, event_id AS seq, event_type AS t, CASE WHEN CAST(json_extract(props, '$.k') AS INT) % 5 <> 0 THEN json_extract_string(props, '$.k') END AS id FROM events),
+        s AS (SELECT session FROM l GROUP BY 1 HAVING min(seq) <> 1 OR max(seq) <> count(*) OR count(DISTINCT seq) <> count(*)),
+        c AS (SELECT session, id, min(seq) AS first FROM l WHERE t = 'click' AND id IS NOT NULL GROUP BY 1, 2),
+        r AS (SELECT l.session FROM l LEFT JOIN c ON l.session = c.session AND l.id = c.id WHERE t = 'purchase' AND l.id IS NOT NULL AND (first IS NULL OR first > seq))
+        SELECT 'seq' AS rule, count(*) AS n, count(DISTINCT session) AS n_sessions FROM s HAVING count(*) > 0 UNION ALL SELECT 'tool_pairing', count(*), count(DISTINCT session) FROM r HAVING count(*) > 0""",
 }
