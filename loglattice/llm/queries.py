@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loglattice.llm import ann, audit, binary, linededup, lm, mixing, ngram_join, packing, pii, quality, toxicity
+from loglattice.llm import ann, audit, binary, linededup, lm, mixing, ngram_join, packing, periodic, pii, quality, toxicity
 from loglattice.llm.oracles import ORACLES
 
 
@@ -53,6 +53,10 @@ def op10_information_sanitisation(spark: SparkSession, sf_dir: str) -> DataFrame
     return pii.digest(_read(spark, sf_dir, "documents"))
 
 
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periodic.digest(periodic.collapse_runs(_read(spark, sf_dir, "documents"), periodic.planted_tail))
+
+
 def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return audit.audit(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"))
 
