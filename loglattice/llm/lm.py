@@ -92,13 +92,13 @@ class Block:
             yield order, *np.unique(keys, return_inverse=True)
 
 
-def _packed(numbers: np.ndarray) -> bytes:
+def packed(numbers: np.ndarray) -> bytes:
     """Whole numbers in as few bytes each as the largest needs."""
     width = max(1, -(-int(numbers.max()).bit_length() // 8)) if len(numbers) else 1
     return np.ascontiguousarray(numbers.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width]).tobytes()
 
 
-def _unpacked(data: bytes, n: int) -> np.ndarray:
+def unpacked(data: bytes, n: int) -> np.ndarray:
     out = np.zeros((n, 8), dtype=np.uint8)
     if n:
         out[:, : len(data) // n] = np.frombuffer(data, dtype=np.uint8).reshape(n, -1)
@@ -111,7 +111,7 @@ def _bounds(keys: np.ndarray, shards: int) -> np.ndarray:
     return np.r_[np.searchsorted(keys, edges), len(keys)]
 
 
-def _blocks(batches: Iterator[pa.RecordBatch], limit: int) -> Iterator[tuple[int, pa.Table]]:
+def blocks(batches: Iterator[pa.RecordBatch], limit: int) -> Iterator[tuple[int, pa.Table]]:
     """The rows of a partition in blocks, each with a number of its own; a block ends with the row that fills ``limit`` bytes of text.
 
     Where the batches are cut doesn't matter.  The number also holds the block's
@@ -143,7 +143,7 @@ def _blocks(batches: Iterator[pa.RecordBatch], limit: int) -> Iterator[tuple[int
 
 def _ask(shards: int, order: int, limit: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for number, docs in _blocks(batches, limit):
+        for number, docs in blocks(batches, limit):
             block, out = Block(docs.column("text").combine_chunks(), order), []
             weight = np.repeat(docs.column("train").to_numpy().astype(np.float64), block.sizes)
             for gram, keys, index in block.grams():
@@ -152,7 +152,7 @@ def _ask(shards: int, order: int, limit: int):
                 steps = np.diff(keys, prepend=np.uint64(0))
                 for s in np.flatnonzero(np.diff(cuts)):
                     a, b = cuts[s], cuts[s + 1]
-                    out.append((number, gram, gram * shards + int(s), b - a, int(keys[a]) - (1 << 63), _packed(steps[a + 1 : b]), _packed(counts[a:b])))
+                    out.append((number, gram, gram * shards + int(s), b - a, int(keys[a]) - (1 << 63), packed(steps[a + 1 : b]), packed(counts[a:b])))
             columns = list(zip(*out, strict=True)) or [[]] * 7
             kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary())
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names=["block", "gram", "shard", "size", "first", "steps", "counts"])
@@ -160,13 +160,20 @@ def _ask(shards: int, order: int, limit: int):
     return run
 
 
-def _keep(limit: int):
+def packed_documents(docs: pa.Table) -> bytes:
+    """A table as one compressed stream."""
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, docs.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as stream:
+        stream.write_table(docs.combine_chunks())
+    return sink.getvalue().to_pybytes()
+
+
+def kept_blocks(limit: int):
+    """Each block with its documents in one row."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for number, docs in _blocks(batches, limit):
-            sink = pa.BufferOutputStream()
-            with pa.ipc.new_stream(sink, docs.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as stream:
-                stream.write_table(docs.combine_chunks())
-            yield pa.RecordBatch.from_arrays([pa.array([number], pa.int64()), pa.array([sink.getvalue().to_pybytes()], pa.binary())], names=["block", "docs"])
+        for number, docs in blocks(batches, limit):
+            yield pa.RecordBatch.from_arrays([pa.array([number], pa.int64()), pa.array([packed_documents(docs)], pa.binary())], names=["block", "docs"])
 
     return run
 
@@ -175,9 +182,9 @@ def _answer(asked: pa.Table) -> pa.Table:
     sizes = asked.column("size").to_pylist()
     keys = []
     for first, steps, n in zip(asked.column("first").to_pylist(), asked.column("steps"), sizes, strict=True):
-        steps = _unpacked(steps.as_buffer(), n - 1)
+        steps = unpacked(steps.as_buffer(), n - 1)
         keys.append(np.cumsum(np.r_[np.uint64(first + (1 << 63)), steps], dtype=np.uint64))
-    counts = [_unpacked(x.as_buffer(), n).astype(np.int64) for x, n in zip(asked.column("counts"), sizes, strict=True)]
+    counts = [unpacked(x.as_buffer(), n).astype(np.int64) for x, n in zip(asked.column("counts"), sizes, strict=True)]
     every = np.unique(np.concatenate(keys))
     total = np.zeros(len(every), dtype=np.int64)
     places = [np.searchsorted(every, k) for k in keys]
@@ -186,7 +193,7 @@ def _answer(asked: pa.Table) -> pa.Table:
     types, tokens = np.zeros(len(keys), dtype=np.int64), np.zeros(len(keys), dtype=np.int64)
     types[0], tokens[0] = np.count_nonzero(total), total.sum()
     out = {c: asked.column(c) for c in ("block", "gram", "shard", "size")}
-    return pa.table(out | {"counts": pa.array([_packed(total[at]) for at in places], pa.binary()), "types": pa.array(types), "tokens": pa.array(tokens)})
+    return pa.table(out | {"counts": pa.array([packed(total[at]) for at in places], pa.binary()), "types": pa.array(types), "tokens": pa.array(tokens)})
 
 
 class Automaton:
@@ -258,7 +265,7 @@ def score(df: DataFrame, train: Column, order: int = ORDER, mu: tuple[float, ...
         taught = docs.column("train").to_numpy().astype(bool)
         found: list[list] = [[] for _ in range(order)]
         for gram, _, data, size in sorted(zip(*(got.column(c).to_pylist() for c in ("gram", "shard", "counts", "size")), strict=True)):
-            found[gram - 1].append(_unpacked(data, size).astype(np.int64))
+            found[gram - 1].append(unpacked(data, size).astype(np.int64))
         counts = [np.concatenate(found[gram - 1])[index] for gram, _, index in block.grams()]
         machine = Automaton(block, counts, starts, tokens, types, mu)
         base, full = machine.traverse()
@@ -267,6 +274,6 @@ def score(df: DataFrame, train: Column, order: int = ORDER, mu: tuple[float, ...
         return pa.table([pa.array(v, t) if isinstance(v, np.ndarray) else v for v, t in zip(values, kinds, strict=True)], names=columns)
 
     with storage.small_arrow_batches(spark):
-        kept = rows.mapInArrow(_keep(block_bytes), "block long, docs binary").repartition(tasks, "block")
+        kept = rows.mapInArrow(kept_blocks(block_bytes), "block long, docs binary").repartition(tasks, "block")
         given = answers.select("block", "gram", "shard", "counts", "size").repartition(tasks, "block")
         return kept.groupBy("block").cogroup(given.groupBy("block")).applyInArrow(finish, SCHEMA)

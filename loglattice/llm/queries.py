@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loglattice.llm import ann, audit, binary, linededup, lm, mixing, ngram_join, packing, periodic, pii, quality, toxicity
+from loglattice.llm import anchors, ann, audit, binary, linededup, lm, mixing, ngram_join, packing, periodic, pii, quality, toxicity
 from loglattice.llm.oracles import ORACLES
 
 
@@ -53,6 +53,11 @@ def op10_information_sanitisation(spark: SparkSession, sf_dir: str) -> DataFrame
     return pii.digest(_read(spark, sf_dir, "documents"))
 
 
+def op11_fixed_block_anchors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = anchors.remove_repeats(_read(spark, sf_dir, "documents"), digest=True)
+    return found.select("doc_id", "n_words", "n_removed", F.col("text").alias("kept_sha256"))
+
+
 def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return periodic.digest(periodic.collapse_runs(_read(spark, sf_dir, "documents"), periodic.planted_tail))
 

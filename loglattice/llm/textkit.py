@@ -51,7 +51,7 @@ class _Powers:
         return self.up, self.down
 
 
-_POWERS = _Powers()
+POWERS = _Powers()
 
 
 def _hash_piece(raw: np.ndarray, lower: bool, cuts: np.ndarray, space: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -65,7 +65,7 @@ def _hash_piece(raw: np.ndarray, lower: bool, cuts: np.ndarray, space: np.ndarra
     before[inner] = False
     after[inner - 1] = False
     starts, ends = np.flatnonzero(word & ~before), np.flatnonzero(word & ~after) + 1
-    up, down = _POWERS.upto(len(raw) + 1)
+    up, down = POWERS.upto(len(raw) + 1)
     values = (_LOWER[raw] if lower else raw).astype(np.uint64)
     values += np.uint64(1)
     values *= up[: len(raw)]

@@ -87,7 +87,7 @@ def test_blocks_do_not_depend_on_batches(monkeypatch):
     rng = random.Random(1)
     texts = [prose(rng, rng.randrange(0, 40)) if rng.random() < 0.8 else "" for _ in range(200)]
     rows = lm.pa.table({"doc_id": list(range(200)), "text": texts})
-    seen = [[(number, block.column("doc_id").to_pylist()) for number, block in lm._blocks(iter(rows.to_batches(max_chunksize=size)), 500)] for size in (200, 7, 1)]
+    seen = [[(number, block.column("doc_id").to_pylist()) for number, block in lm.blocks(iter(rows.to_batches(max_chunksize=size)), 500)] for size in (200, 7, 1)]
     assert seen[0] == seen[1] == seen[2] and len(seen[0]) > 5 and len({number for number, _ in seen[0]}) == len(seen[0])
 
 
