@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from loglattice.plans import dialogue, ledger, lists, native, records
+from loglattice.plans import dialogue, ledger, lists, live, native, records
 
-MODULES = (ledger, dialogue, records, native, lists)
+MODULES = (ledger, dialogue, records, native, lists, live)
 
 
 def queries() -> dict:
