@@ -3,6 +3,10 @@
 A window over a whole session is one task however long the session is.  These
 operators cut the order into buckets, work within each bucket in parallel, and
 only carry one row for each bucket across (two-level scans).
+
+Defined results: a null key is a key of its own; rows tied in ``seq`` come in any
+order among themselves; an empty table gives no row.  Columns whose names begin
+with an underscore are for these operators, the input should have none.
 """
 
 from __future__ import annotations
@@ -18,13 +22,22 @@ def _before(keys: list[str], *order: str | Column):
     return Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
 
 
+def meet(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
+    """``left`` with the other columns of ``right``, joined by ``keys``; null meets null."""
+    renamed = right.withColumnsRenamed({k: f"_key_{k}" for k in keys})
+    condition = F.lit(True)
+    for k in keys:
+        condition = condition & left[k].eqNullSafe(renamed[f"_key_{k}"])
+    return left.join(renamed, condition, how).drop(*[f"_key_{k}" for k in keys])
+
+
 def running_sum(df: DataFrame, keys: list[str], seq: str, value: Column, name: str, bucket: int = BUCKET) -> DataFrame:
     """``df`` with the sum of ``value`` up to and with each row, by ``seq`` within ``keys``."""
     cut = df.withColumn("_b", F.floor(F.col(seq) / bucket)).withColumn("_v", value)
     local = Window.partitionBy(*keys, "_b").orderBy(seq).rowsBetween(Window.unboundedPreceding, 0)
     totals = cut.groupBy(*keys, "_b").agg(F.sum("_v").alias("_t"))
     totals = totals.withColumn("_base", F.coalesce(F.sum("_t").over(_before(keys, "_b")), F.lit(0))).drop("_t")
-    return cut.withColumn(name, F.sum("_v").over(local)).join(totals, [*keys, "_b"]).withColumn(name, F.col(name) + F.col("_base")).drop("_b", "_v", "_base")
+    return meet(cut.withColumn(name, F.sum("_v").over(local)), totals, [*keys, "_b"]).withColumn(name, F.col(name) + F.col("_base")).drop("_b", "_v", "_base")
 
 
 def carry_forward(df: DataFrame, keys: list[str], seq: str, value: Column, name: str, bucket: int = BUCKET, strict: bool = False) -> DataFrame:
@@ -33,7 +46,7 @@ def carry_forward(df: DataFrame, keys: list[str], seq: str, value: Column, name:
     local = Window.partitionBy(*keys, "_b").orderBy(seq).rowsBetween(Window.unboundedPreceding, -1 if strict else 0)
     lasts = cut.groupBy(*keys, "_b").agg(F.max_by("_v", F.when(F.col("_v").isNotNull(), F.col(seq))).alias("_l"))
     lasts = lasts.withColumn("_base", F.last("_l", ignorenulls=True).over(_before(keys, "_b"))).drop("_l")
-    held = cut.withColumn(name, F.last("_v", ignorenulls=True).over(local)).join(lasts, [*keys, "_b"])
+    held = meet(cut.withColumn(name, F.last("_v", ignorenulls=True).over(local)), lasts, [*keys, "_b"])
     return held.withColumn(name, F.coalesce(name, "_base")).drop("_b", "_v", "_base")
 
 
@@ -61,23 +74,28 @@ def islands(df: DataFrame, keys: list[str], gap: int, bucket: int) -> DataFrame:
     ends = ends.withColumn("_reach", F.max("_end").over(_before(keys, "_b"))).drop("_end")
     within = Window.partitionBy(*keys, "_b").orderBy("lo", "hi").rowsBetween(Window.unboundedPreceding, -1)
     reach = F.greatest("_reach", F.max("hi").over(within))
-    begun = local.join(ends, [*keys, "_b"]).withColumn("_new", F.when(F.col("lo") - reach <= gap, 0).otherwise(1))
+    begun = meet(local, ends, [*keys, "_b"]).withColumn("_new", F.when(F.col("lo") - reach <= gap, 0).otherwise(1))
     starts = begun.groupBy(*keys, "_b").agg(F.sum("_new").alias("_n"))
     starts = starts.withColumn("_base", F.coalesce(F.sum("_n").over(_before(keys, "_b")), F.lit(0))).drop("_n")
     upto = Window.partitionBy(*keys, "_b").orderBy("lo", "hi").rowsBetween(Window.unboundedPreceding, 0)
-    numbered = begun.withColumn("_k", F.sum("_new").over(upto)).join(starts, [*keys, "_b"]).withColumn("_k", F.col("_k") + F.col("_base"))
+    numbered = meet(begun.withColumn("_k", F.sum("_new").over(upto)), starts, [*keys, "_b"]).withColumn("_k", F.col("_k") + F.col("_base"))
     return numbered.groupBy(*keys, "_k").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.sum("n").alias("n")).drop("_k")
 
 
-def drop_repeats(df: DataFrame, keys: list[str], seq: str, values: list[str], bucket: int = BUCKET) -> DataFrame:
-    """Rows that differ in ``values`` from the row before them (consecutive dedup; null equals null)."""
+def with_repeats(df: DataFrame, keys: list[str], seq: str, values: list[str], name: str, bucket: int = BUCKET) -> DataFrame:
+    """``df`` with whether a row equals the row before it in ``values`` (null equals null)."""
     cut = df.withColumns({"_b": F.floor(F.col(seq) / bucket), "_v": F.struct(*values)})
     lasts = cut.groupBy(*keys, "_b").agg(F.max_by("_v", seq).alias("_l"))
     lasts = lasts.withColumn("_last", F.lag("_l").over(Window.partitionBy(*keys).orderBy("_b"))).drop("_l")
     near = Window.partitionBy(*keys, "_b").orderBy(seq)
-    held = cut.withColumns({"_near": F.lag("_v").over(near), "_at": F.row_number().over(near)}).join(lasts, [*keys, "_b"])
+    held = meet(cut.withColumns({"_near": F.lag("_v").over(near), "_at": F.row_number().over(near)}), lasts, [*keys, "_b"])
     same = F.when(F.col("_at") == 1, F.col("_last")).otherwise(F.col("_near")).eqNullSafe(F.col("_v"))
-    return held.filter(~same).drop("_b", "_v", "_near", "_at", "_last")
+    return held.withColumn(name, same).drop("_b", "_v", "_near", "_at", "_last")
+
+
+def drop_repeats(df: DataFrame, keys: list[str], seq: str, values: list[str], bucket: int = BUCKET) -> DataFrame:
+    """Rows that differ in ``values`` from the row before them (consecutive dedup)."""
+    return with_repeats(df, keys, seq, values, "_same", bucket).filter("not _same").drop("_same")
 
 
 def numbered_within(df: DataFrame, keys: list[str], pos: str, sub: str, name: str) -> DataFrame:
@@ -85,4 +103,4 @@ def numbered_within(df: DataFrame, keys: list[str], pos: str, sub: str, name: st
     counts = df.groupBy(*keys, pos).agg(F.count(F.lit(1)).alias("_c"))
     upto = running_sum(counts, keys, pos, F.col("_c"), "_u").withColumn("_base", F.col("_u") - F.col("_c")).drop("_u", "_c")
     place = F.row_number().over(Window.partitionBy(*keys, pos).orderBy(sub))
-    return df.withColumn(name, place).join(upto, [*keys, pos]).withColumn(name, F.col(name) + F.col("_base")).drop("_base")
+    return meet(df.withColumn(name, place), upto, [*keys, pos]).withColumn(name, F.col(name) + F.col("_base")).drop("_base")

@@ -6,9 +6,6 @@ error_kind, stop_reason``; ``seq`` orders a session.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -129,57 +126,3 @@ def pair_by_id(calls: DataFrame, results: DataFrame) -> DataFrame:
     """
     both = calls.join(results, ["session", "call_id"], "full_outer")
     return both.withColumn("status", invocation_status(F.col("call_seq"), F.col("result_status"), F.col("output"))).drop("output")
-
-
-PAIRS = "session string, call_id string, call_seq long, result_seq long"
-
-
-def pair_in_order(events: DataFrame) -> DataFrame:
-    """Pairs calls and results where ids repeat, are empty or unknown.
-
-    A result takes the open call of its id; without an id, or with an unknown
-    one, the latest open call without an id; else it stays alone.  A call whose
-    id is still open isn't registered.  Ids that one call and at most one later
-    result have can't meet anything else, so they are paired by an aggregation,
-    however long the session; only what is left is walked through, sorted by
-    session, so a task holds the open calls of one session only.
-    """
-
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        session, by_id, stack, out = None, {}, [], []
-
-        def close() -> None:
-            out.extend((session, call_id, seq, None) for call_id, seq in by_id.items())
-            out.extend((session, None, seq, None) for seq in stack)
-            by_id.clear()
-            stack.clear()
-
-        for frame in frames:
-            for own, seq, kind, call_id in frame.itertuples(index=False, name=None):
-                if own != session:
-                    close()
-                    session = own
-                key = call_id or None
-                if kind == "tool_call":
-                    if key is None:
-                        stack.append(seq)
-                    elif key in by_id:
-                        out.append((session, key, seq, None))
-                    else:
-                        by_id[key] = seq
-                elif key in by_id:
-                    out.append((session, key, by_id.pop(key), seq))
-                else:
-                    out.append((session, key, stack.pop() if stack else None, seq))
-            yield pd.DataFrame(out, columns=["session", "call_id", "call_seq", "result_seq"]).astype({"call_seq": "Int64", "result_seq": "Int64"})
-            out.clear()
-        close()
-        yield pd.DataFrame(out, columns=["session", "call_id", "call_seq", "result_seq"]).astype({"call_seq": "Int64", "result_seq": "Int64"})
-
-    rows = events.filter(F.col("type").isin("tool_call", "tool_result")).select(F.col("session").cast("string").alias("session"), "seq", "type", "call_id")
-    call = F.col("type") == "tool_call"
-    ids = rows.filter(F.coalesce("call_id", F.lit("")) != "").groupBy("session", "call_id").agg(F.count_if(call).alias("_c"), F.count_if(~call).alias("_r"), F.min(F.when(call, F.col("seq"))).alias("call_seq"), F.min(F.when(~call, F.col("seq"))).alias("result_seq"))
-    plain = ids.filter((F.col("_c") == 1) & ((F.col("_r") == 0) | ((F.col("_r") == 1) & (F.col("call_seq") < F.col("result_seq"))))).select("session", "call_id", "call_seq", "result_seq")
-    left = rows.join(plain.select(F.col("session").alias("_s"), F.col("call_id").alias("_i")), F.col("session").eqNullSafe(F.col("_s")) & (F.col("call_id") == F.col("_i")), "left_anti")
-    walked = left.repartition("session").sortWithinPartitions("session", "seq").mapInPandas(run, PAIRS)
-    return plain.select("session", "call_id", F.col("call_seq").cast("long"), F.col("result_seq").cast("long")).unionByName(walked)

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loglattice.functions import text as tx
-from loglattice.operators import listing, turns
+from loglattice.operators import listing, matching, turns
 
 WORDS = ["the", "ation"]
 
@@ -103,13 +103,19 @@ def pair_invocations(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def pair_in_order(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Repeated and missing ids; tests hold it against a plain version."""
-    return turns.pair_in_order(activity(spark, sf_dir))
+    """Repeated, missing and unknown ids."""
+    return matching.in_order(activity(spark, sf_dir))
+
+
+def queued_results(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Results that take the earliest open call of their session, whatever their id."""
+    rows = activity(spark, sf_dir).filter(F.col("type").isin("tool_call", "tool_result"))
+    return matching.queue_pairs(rows.select("session", "seq", (F.col("type") == "tool_call").alias("opens")), ["session"])
 
 
 QUERIES = {
     f.__name__: f
-    for f in (conversation_turns, activity_turns, session_outcome, conversation_projection, compact_view, event_counts, loop_count, last_n_messages, completion_ids, session_facts, search_quick, search_deep_snippet, session_recency_top, pair_invocations, pair_in_order)
+    for f in (conversation_turns, activity_turns, session_outcome, conversation_projection, compact_view, event_counts, loop_count, last_n_messages, completion_ids, session_facts, search_quick, search_deep_snippet, session_recency_top, pair_invocations, pair_in_order, queued_results)
 }
 
 _DIALOGUE = "e AS (SELECT conv_id AS session, turn AS seq, CASE WHEN role = 'assistant' THEN 'assistant_message' ELSE 'user_message' END AS type, text, CASE WHEN role = 'system' THEN 'injected' END AS origin, NULL::VARCHAR AS call_id, NULL::VARCHAR AS error_kind FROM conversations)"
@@ -166,4 +172,18 @@ ORACLES = {
         SELECT coalesce(o_orderkey, k) AS call_id, o_orderkey AS call_seq, n AS result_seq, CASE f WHEN 'N' THEN 'ok' WHEN 'A' THEN 'error' WHEN 'R' THEN 'denied' END AS result_status,
         CASE WHEN o_orderkey IS NULL THEN 'orphan' WHEN f IS NULL THEN 'proposed' WHEN f = 'R' THEN 'denied' WHEN f = 'N' THEN 'succeeded' WHEN k % 2 = 0 THEN 'timed_out' ELSE 'failed' END AS status
         FROM orders FULL JOIN r ON o_orderkey = k""",
+    "pair_in_order": f"""WITH {_ACTIVITY}, c AS (SELECT CAST(session AS VARCHAR) AS session, seq, nullif(call_id, '') AS call_id, type = 'tool_call' AS opens FROM e WHERE type IN ('tool_call', 'tool_result')),
+        k AS (SELECT *, opens IS NOT DISTINCT FROM lag(opens) OVER (PARTITION BY session, call_id ORDER BY seq) AS again FROM c WHERE call_id IS NOT NULL),
+        h AS (SELECT *, row_number() OVER (PARTITION BY session, call_id ORDER BY seq) AS n FROM k WHERE NOT again),
+        p AS (SELECT a.session, a.call_id, a.seq AS call_seq, b.seq AS result_seq FROM h a LEFT JOIN h b ON a.session = b.session AND a.call_id = b.call_id AND b.n = a.n + 1 WHERE a.opens),
+        x AS (SELECT session, seq, call_id, opens FROM c WHERE call_id IS NULL UNION ALL SELECT session, seq, call_id, opens FROM k WHERE again AND NOT opens UNION ALL SELECT session, seq, call_id, opens FROM h WHERE NOT opens AND n = 1),
+        s AS (SELECT *, sum(CASE WHEN opens THEN 1 ELSE -1 END) OVER (PARTITION BY session ORDER BY seq) + CASE WHEN opens THEN 0 ELSE 1 END AS lv FROM x),
+        g AS (SELECT *, row_number() OVER (PARTITION BY session, lv, opens ORDER BY seq) - CASE WHEN NOT opens AND lv <= 0 THEN 1 ELSE 0 END AS n FROM s)
+        SELECT session, call_id, call_seq, result_seq FROM p UNION ALL SELECT session, call_id, seq, NULL FROM k WHERE again AND opens
+        UNION ALL SELECT coalesce(a.session, b.session), b.call_id, a.seq, b.seq FROM (SELECT * FROM g WHERE opens) a FULL JOIN (SELECT * FROM g WHERE NOT opens) b ON a.session = b.session AND a.lv = b.lv AND a.n = b.n""",
+    "queued_results": f"""WITH {_ACTIVITY}, c AS (SELECT session, seq, type = 'tool_call' AS opens, sum(CASE type WHEN 'tool_call' THEN 1 ELSE -1 END) OVER (PARTITION BY session ORDER BY seq) AS s FROM e WHERE type IN ('tool_call', 'tool_result')),
+        m AS (SELECT *, NOT opens AND s < least(0, coalesce(min(s) OVER (PARTITION BY session ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) AS lost FROM c),
+        n AS (SELECT *, row_number() OVER (PARTITION BY session, opens, lost ORDER BY seq) AS n FROM m)
+        SELECT coalesce(a.session, b.session) AS session, a.seq AS call_seq, b.seq AS result_seq FROM (SELECT * FROM n WHERE opens) a FULL JOIN (SELECT * FROM n WHERE NOT opens AND NOT lost) b ON a.session = b.session AND a.n = b.n
+        UNION ALL SELECT session, NULL, seq FROM n WHERE lost""",
 }

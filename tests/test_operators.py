@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from loglattice.functions import guards, text
-from loglattice.operators import filters, intervals, listing, ordered, relations, skills, turns, usage
+from loglattice.operators import filters, intervals, listing, matching, ordered, relations, skills, turns, usage
 
 EVENT = "session string, seq long, type string, text string, origin string, call_id string, turn_id string, error_kind string, stop_reason string"
 
@@ -106,7 +106,27 @@ def plain_pairs(rows):
 def test_pairing_in_order(spark):
     rng = random.Random(6)
     rows = [(rng.choice("abc"), k, rng.choice(["tool_call", "tool_result"]), {"call_id": rng.choice([None, "x", "y", "z"])}) for k in range(200)]
-    assert rows_of(turns.pair_in_order(events(spark, rows))) == plain_pairs(rows)
+    for bucket in (1 << 16, 7, 1):
+        assert rows_of(matching.in_order(events(spark, rows), bucket)) == plain_pairs(rows)
+    assert matching.in_order(events(spark, [])).count() == 0
+
+
+def test_stacks_and_queues_by_walking(spark):
+    rng = random.Random(8)
+    rows = [(rng.choice(["a", "b", None]), k, rng.random() < 0.5) for k in range(300)]
+    df = spark.createDataFrame([(*r, 1) for r in rows], "session string, seq long, opens boolean, level int").drop("level")
+    for find, take in ((matching.stack_pairs, -1), (matching.queue_pairs, 0)):
+        want = []
+        for session in ("a", "b", None):
+            held = []
+            for _, seq, opens in (r for r in rows if r[0] == session):
+                if opens:
+                    held.append(seq)
+                else:
+                    want.append((session, held.pop(take) if held else None, seq))
+            want += [(session, seq, None) for seq in held]
+        for bucket in (1 << 16, 11):
+            assert rows_of(find(df, ["session"], bucket=bucket)) == sorted(want, key=repr)
 
 
 def test_reconcile(spark):
