@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from loglattice.plans import dialogue, ledger, lists, live, native, records
+from loglattice.plans import dialogue, ledger, lists, live, native, records, stores
 
-MODULES = (ledger, dialogue, records, native, lists, live)
+MODULES = (ledger, dialogue, records, native, lists, live, stores)
 
 
 def queries() -> dict:
