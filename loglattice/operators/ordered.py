@@ -22,6 +22,11 @@ def _before(keys: list[str], *order: str | Column):
     return Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
 
 
+def bound(df: DataFrame) -> DataFrame:
+    """``df`` behind a generator, so that what its columns cost is paid once, however often they are named above."""
+    return df.select(F.inline(F.array(F.struct(*[F.col(c) for c in df.columns]))))
+
+
 def meet(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
     """``left`` with the other columns of ``right``, joined by ``keys``; null meets null."""
     renamed = right.withColumnsRenamed({k: f"_key_{k}" for k in keys})
