@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from loglattice.plans import dialogue, endings, ledger, lists, live, native, records, stores
+from loglattice.plans import dialogue, endings, ledger, lists, live, native, records, rollups, stores
 
-MODULES = (ledger, dialogue, records, native, lists, live, stores, endings)
+MODULES = (ledger, dialogue, records, native, lists, live, stores, endings, rollups)
 
 
 def queries() -> dict:
