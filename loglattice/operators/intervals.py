@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from loglattice.operators.ordered import islands
+from loglattice.sources.shared import settle
 
 SECOND = 1_000_000
 HOUR = 3600 * SECOND
@@ -84,8 +85,11 @@ def weekday_hours(intervals: DataFrame, offset: int = 0) -> DataFrame:
 
 
 def project_rollup(intervals: DataFrame, project: str, session: str, runtime: str | None = None) -> DataFrame:
-    """One row for each project: sessions, active seconds, union seconds and peak; a null or empty project has a name of its own."""
-    named = intervals.withColumn("project", F.coalesce(F.nullif(F.col(project), F.lit("")), F.lit("__missing_cwd__")))
+    """One row for each project: sessions, active seconds, union seconds and peak; a null or empty project has a name of its own.
+
+    The intervals are settled, since sums, unions and peaks all read them.
+    """
+    named = settle(intervals, "intervals").withColumn("project", F.coalesce(F.nullif(F.col(project), F.lit("")), F.lit("__missing_cwd__")))
     by_session = named.groupBy("project", session).agg(F.sum("n").alias("n"), F.sum(F.col("b") - F.col("a")).alias("d"))
     sums = by_session.groupBy("project").agg(F.count(F.lit(1)).alias("session_count"), F.sum("n").alias("activity_count"), F.sum("d").alias("_d"))
     out = sums.join(union_length(named, ["project"]), "project", "left").join(peak_concurrency(named, ["project"]), "project", "left")

@@ -68,23 +68,23 @@ def islands(df: DataFrame, keys: list[str], gap: int, bucket: int) -> DataFrame:
     """``keys, lo, hi, n``: maximal runs of the intervals ``lo, hi`` whose neighbours are at most ``gap`` apart (inclusive).
 
     Equal intervals are counted before the shuffle.  Each bucket of width
-    ``bucket`` is merged on its own.  Of a bucket only how far it reaches goes
-    on, one row; from these every bucket learns how far all before it reach, and
-    so which of its islands begins a run of the whole.  Runs are then numbered
-    across buckets by running counts and gathered by number.
+    ``bucket`` is merged on its own.  Of a bucket one row goes on: how far it
+    reaches, and where its last island begins.  From these every bucket learns how
+    far all before it reach, and the beginning of the last run before it (a
+    bucket's last island begins a run of the whole unless those before it reach
+    that far).  A run is known by its beginning, which its later islands take over.
     """
     counted = df.groupBy(*keys, "lo", "hi").agg(F.count(F.lit(1)).alias("n"))
     local = _merge(counted.withColumn("_b", F.floor(F.col("lo") / bucket)), [*keys, "_b"], gap)
-    ends = local.groupBy(*keys, "_b").agg(F.max("hi").alias("_end"))
-    ends = ends.withColumn("_reach", F.max("_end").over(_before(keys, "_b"))).drop("_end")
-    within = Window.partitionBy(*keys, "_b").orderBy("lo", "hi").rowsBetween(Window.unboundedPreceding, -1)
-    reach = F.greatest("_reach", F.max("hi").over(within))
-    begun = meet(local, ends, [*keys, "_b"]).withColumn("_new", F.when(F.col("lo") - reach <= gap, 0).otherwise(1))
-    starts = begun.groupBy(*keys, "_b").agg(F.sum("_new").alias("_n"))
-    starts = starts.withColumn("_base", F.coalesce(F.sum("_n").over(_before(keys, "_b")), F.lit(0))).drop("_n")
+    ends = local.groupBy(*keys, "_b").agg(F.max("hi").alias("_end"), F.max("lo").alias("_last"))
+    ends = ends.withColumn("_reach", F.max("_end").over(_before(keys, "_b")))
+    opened = F.when(F.coalesce(F.col("_last") - F.col("_reach") > gap, F.lit(True)), F.col("_last"))
+    ends = ends.withColumn("_run", F.max(opened).over(_before(keys, "_b"))).drop("_end", "_last")
+    begun = meet(local, ends, [*keys, "_b"])
+    starts = F.when(F.coalesce(F.col("lo") - F.col("_reach") > gap, F.lit(True)), F.col("lo"))
     upto = Window.partitionBy(*keys, "_b").orderBy("lo", "hi").rowsBetween(Window.unboundedPreceding, 0)
-    numbered = meet(begun.withColumn("_k", F.sum("_new").over(upto)), starts, [*keys, "_b"]).withColumn("_k", F.col("_k") + F.col("_base"))
-    return numbered.groupBy(*keys, "_k").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.sum("n").alias("n")).drop("_k")
+    known = begun.withColumn("_k", F.coalesce(F.max(starts).over(upto), "_run"))
+    return known.groupBy(*keys, "_k").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.sum("n").alias("n")).drop("_k")
 
 
 def with_repeats(df: DataFrame, keys: list[str], seq: str, values: list[str], name: str, bucket: int = BUCKET) -> DataFrame:
