@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from loglattice.operators.ordered import islands
+from loglattice.operators.ordered import islands, meet
 from loglattice.sources.shared import settle
 
 SECOND = 1_000_000
@@ -54,6 +54,31 @@ def union_length(intervals: DataFrame, keys: list[str]) -> DataFrame:
     return merged.groupBy(*keys).agg(F.sum(F.col("hi") - F.col("lo")).alias("_d")).select(*keys, seconds(F.col("_d")).alias("union_seconds"))
 
 
+def overlap(one: DataFrame, two: DataFrame, keys: list[str], bucket: int = HOUR) -> DataFrame:
+    """``keys, both_seconds, one_seconds, two_seconds``: time covered by both sets of intervals, and by one of them only.
+
+    So a response's own time is what tools don't cover.  Each set may overlap itself.
+    Changes are summed by moment before the shuffle; buckets of time are swept in
+    parallel, and one row of each tells the next how many intervals are open and the
+    last when it ends.  Intervals that aren't positive cover nothing; a null key is a key.
+    """
+    def steps(intervals: DataFrame, first: bool) -> DataFrame:
+        change = F.explode(F.array(F.struct(F.col("a").alias("t"), F.lit(1).alias("d")), F.struct(F.col("b").alias("t"), F.lit(-1).alias("d")))).alias("x")
+        return intervals.filter("b > a").select(*keys, change).select(*keys, "x.t", *[(F.col("x.d") if mine == first else F.lit(0)).alias(c) for c, mine in (("p", True), ("q", False))])
+
+    moments = steps(one, True).unionByName(steps(two, False)).groupBy(*keys, "t").agg(F.sum("p").alias("p"), F.sum("q").alias("q")).withColumn("_b", F.floor(F.col("t") / bucket))
+    inner = Window.partitionBy(*keys, "_b").orderBy("t")
+    upto = inner.rowsBetween(Window.unboundedPreceding, 0)
+    swept = moments.withColumns({"_p": F.sum("p").over(upto), "_q": F.sum("q").over(upto), "_next": F.lead("t").over(inner)})
+    parts = moments.groupBy(*keys, "_b").agg(F.sum("p").alias("_bp"), F.sum("q").alias("_bq"), F.min("t").alias("_first"))
+    outer = Window.partitionBy(*keys).orderBy("_b")
+    before = outer.rowsBetween(Window.unboundedPreceding, -1)
+    parts = parts.select(*keys, "_b", F.coalesce(F.sum("_bp").over(before), F.lit(0)).alias("_p0"), F.coalesce(F.sum("_bq").over(before), F.lit(0)).alias("_q0"), F.lead("_first").over(outer).alias("_then"))
+    lengths = meet(swept, parts, [*keys, "_b"]).select(*keys, (F.col("_p") + F.col("_p0") > 0).alias("p"), (F.col("_q") + F.col("_q0") > 0).alias("q"), (F.coalesce("_next", "_then") - F.col("t")).alias("d"))
+    of = lambda p, q: seconds(F.coalesce(F.sum(F.when((F.col("p") == p) & (F.col("q") == q), F.col("d"))), F.lit(0)))
+    return lengths.groupBy(*keys).agg(of(True, True).alias("both_seconds"), of(True, False).alias("one_seconds"), of(False, True).alias("two_seconds"))
+
+
 def peak_concurrency(intervals: DataFrame, keys: list[str], bucket: int = HOUR) -> DataFrame:
     """``keys, peak, peak_at_us``: most intervals open at once and the first moment of it.
 
