@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from loglattice.plans import dialogue, endings, ledger, lists, live, native, records, rollups, stores, timing
+from loglattice.plans import dialogue, endings, ledger, lists, live, native, records, rollups, skilled, stores, timing
 
-MODULES = (ledger, dialogue, records, native, lists, live, stores, endings, rollups, timing)
+MODULES = (ledger, dialogue, records, native, lists, live, stores, endings, rollups, timing, skilled)
 
 
 def queries() -> dict:
