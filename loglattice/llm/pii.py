@@ -65,34 +65,57 @@ def _marked(text: Column, pattern: str) -> Column:
     return F.regexp_replace(F.translate(text, "\x01", "\x02"), pattern, "\x01")
 
 
-#: Matches of a text whose places are added up at once; more are cut into groups of so many.
-GROUP = 256
+#: Elements of an array that one step of a scan grows by, and code points of a piece of text.
+GROUP, PIECE = 256, 512
 
 
-def _upto(lengths: Column) -> Column:
-    """Running sums of whole numbers, in linear time: sums within groups, then what the groups before add.
+def _let(value: Column, make: Callable[[Column], Column]) -> Column:
+    """``make`` of a value that is worked out once, however often ``make`` names it."""
+    return F.get(F.transform(F.array(value), make), 0)
+
+
+def _scan(values: Column, start: Column, step: Callable[[Column, Column], Column], kind: str) -> Column:
+    """The state after each element, in linear time.
 
     An array that grows by one in every step is copied in every step, so no step
-    goes over more than ``GROUP`` of them (and over one entry a group).
+    goes over more than ``GROUP`` states (and over one entry a group).
     """
-    none = F.array().cast("array<int>")
 
-    def run(values: Column) -> Column:
-        return F.aggregate(values, none, lambda acc, x: F.concat(acc, F.array(x + F.coalesce(F.try_element_at(acc, F.lit(-1)), F.lit(0)))))
+    def group(state: Column, few: Column) -> Column:
+        grow = lambda acc, x: _let(step(acc["at"], x), lambda at: F.struct(at.alias("at"), F.concat(acc["out"], F.array(at)).alias("out")))
+        return F.aggregate(few, F.struct(state.alias("at"), F.array().cast(f"array<{kind}>").alias("out")), grow)
+
+    def whole(every: Column) -> Column:
+        cuts = F.when(F.size(every) > 0, F.sequence(F.lit(0), F.floor((F.size(every) - 1) / GROUP).cast("int"))).otherwise(F.array().cast("array<int>"))
+        begin = F.struct(start.alias("at"), F.array().cast(f"array<array<{kind}>>").alias("out"))
+        put = lambda acc, k: _let(group(acc["at"], F.slice(every, k * GROUP + 1, GROUP)), lambda r: F.struct(r["at"].alias("at"), F.concat(acc["out"], F.array(r["out"])).alias("out")))
+        return F.aggregate(cuts, begin, put, lambda acc: F.flatten(acc["out"]))
+
+    return _let(values, whole)
+
+
+def _pieces(text: Column) -> Column:
+    """The text in pieces of ``PIECE`` code points, so that a place in it is found without going over all before it."""
+    return F.regexp_extract_all(text, F.lit(f"(?s).{{1,{PIECE}}}"), F.lit(0))
 
-    groups = F.transform(F.sequence(F.lit(0), F.floor((F.size(lengths) - 1) / GROUP).cast("int")), lambda k: run(F.slice(lengths, k * GROUP + 1, GROUP)))
-    ends = run(F.transform(groups, lambda g: F.element_at(g, -1)))
-    whole = F.flatten(F.transform(groups, lambda g, k: F.transform(g, lambda x: x + F.when(k > 0, F.get(ends, k - 1)).otherwise(0))))
-    return F.when(F.size(lengths) == 0, none).when(F.size(lengths) <= GROUP, run(lengths)).otherwise(whole)
 
+def _between(pieces: Column, start: Column, end: Column) -> Column:
+    """The text from ``start`` up to ``end``, taken from its pieces; empty if ``end`` isn't after ``start``."""
+    first, last = F.floor(start / PIECE).cast("int"), F.floor((end - 1) / PIECE).cast("int")
+    part = F.array_join(F.slice(pieces, first + 1, F.greatest(F.lit(1), last - first + 1)), "")
+    return F.when(end > start, F.substring(part, (start % PIECE + 1).cast("int"), (end - start).cast("int"))).otherwise("")
 
-def _spans(text: Column, shown: Column, pattern: str, passes: Callable[[Column], Column]) -> Column:
-    """Matches of ``pattern`` in ``text`` with their places; ``shown`` is the text that the matches are taken from."""
-    found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    gaps = F.slice(F.split(text, pattern, -1), F.lit(1), F.size(found))
-    ends = _upto(F.zip_with(gaps, found, lambda g, m: F.length(g) + F.length(m)))
-    spans = F.zip_with(found, ends, lambda m, e: F.struct(m.alias("m"), (e - F.length(m)).alias("s"), e.alias("e")))
-    return F.filter(spans, lambda x: passes(x["m"]))
+
+def _spans(text: Column, pattern: str, passes: Callable[[Column], Column]) -> Column:
+    """Matches of ``pattern`` in ``text`` with their places."""
+
+    def placed(found: Column, gaps: Column) -> Column:
+        ends = _scan(F.zip_with(gaps, found, lambda g, m: F.length(g) + F.length(m)), F.lit(0), lambda at, x: at + x, "int")
+        spans = F.zip_with(found, ends, lambda m, e: F.struct(m.alias("m"), (e - F.length(m)).alias("s"), e.alias("e")))
+        return F.filter(spans, lambda x: passes(x["m"]))
+
+    each = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
+    return _let(each, lambda found: _let(F.slice(F.split(text, pattern, -1), F.lit(1), F.size(found)), lambda gaps: placed(found, gaps)))
 
 
 def _digits(value: Column) -> Column:
@@ -109,13 +132,13 @@ def _email(text: Column) -> Column:
     shown = _marked(text, r"(?<=[A-Za-z0-9-])\.(?=[A-Za-z0-9-])")
     local, label = r"[A-Za-z0-9._%+\x01-]", "[A-Za-z0-9-]"
     pattern = rf"(?:(?<!{local})|\G){local}++@{label}++\x01[A-Za-z0-9\x01-]++"
-    return F.when(F.instr(text, "@") > 0, _spans(shown, text, pattern, lambda m: F.lit(True)))
+    return F.when(F.instr(text, "@") > 0, _let(shown, lambda t: _spans(t, pattern, lambda m: F.lit(True))))
 
 
 def _ip(text: Column) -> Column:
     part = "0*(?:[0-9]{1,2}|1[0-9]{2}|2[0-4][0-9]|25[0-5])"
     pattern = r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++"
-    return F.when(text.rlike(r"[0-9]\.[0-9]"), _spans(text, text, pattern, lambda m: m.rlike(rf"^{part}\.{part}\.{part}\.{part}$")))
+    return F.when(text.rlike(r"[0-9]\.[0-9]"), _spans(text, pattern, lambda m: m.rlike(rf"^{part}\.{part}\.{part}\.{part}$")))
 
 
 def _card(text: Column) -> Column:
@@ -123,21 +146,27 @@ def _card(text: Column) -> Column:
 
     def passes(m: Column) -> Column:
         digits = _digits(m)
-        return F.length(digits).between(13, 19) & F.when(F.length(digits).between(13, 19), _luhn(digits)).otherwise(F.lit(False))
+        return F.when(F.length(digits).between(13, 19), _luhn(digits)).otherwise(F.lit(False))
 
-    return F.when(text.rlike("[0-9][0-9 -]{11,}[0-9]"), _spans(shown, text, r"[0-9][0-9\x01]++", passes))
+    return F.when(text.rlike("[0-9][0-9 -]{11,}[0-9]"), _let(shown, lambda t: _spans(t, r"[0-9][0-9\x01]++", passes)))
 
 
 def _phone(text: Column) -> Column:
-    return F.when(text.rlike(r"\+[0-9]"), _spans(text, text, r"\+[0-9][\x20().0-9-]+[0-9]", lambda m: F.length(_digits(m)).between(9, 15)))
+    return F.when(text.rlike(r"\+[0-9]"), _spans(text, r"\+[0-9][\x20().0-9-]+[0-9]", lambda m: F.length(_digits(m)).between(9, 15)))
 
 
-def base_spans(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``doc_id, text, key`` and one array of spans (match, start, end) for each base kind."""
+def _texts(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     text = F.coalesce(F.col(text_col), F.lit(""))
-    rows = df.select(F.col(id_col).alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("text_key"))
+    return df.select(F.col(id_col).alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("text_key"))
+
+
+def base_spans(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``doc_id, text, text_key`` and one array of spans (match, start, end) for each base kind."""
+    rows = _texts(df, id_col, text_col)
     makers = {"email": _email, "ip": _ip, "card": _card, "phone": _phone}
-    return rows.withColumns({kind: F.coalesce(makers[kind](F.col("text")), F.array().cast(_SPAN)) for kind in KINDS})
+    found = rows.withColumns({kind: F.coalesce(makers[kind](F.col("text")), F.array().cast(_SPAN)) for kind in KINDS})
+    # Behind a generator, so that no filter on the spans works them out once more.
+    return found.select(F.inline(F.array(F.struct(*found.columns))))
 
 
 def _words(text: Column) -> Column:
@@ -149,6 +178,13 @@ def _term(word: Column) -> Column:
     return F.lower(F.regexp_replace(word, r"^[^\p{L}\p{N}]++|[^\p{L}\p{N}]++$", ""))
 
 
+def _terms(text: Column) -> Column:
+    """The terms of a text, its words as :func:`_term` has them, in one pass over the text."""
+    sign = rf"[^\p{{L}}\p{{N}}{SPACE}]"
+    bare = F.regexp_replace(F.lower(text), rf"(?<![^{SPACE}]){sign}++|(?<=[\p{{L}}\p{{N}}]){sign}++(?![^{SPACE}])", "")
+    return F.array_distinct(F.split(bare, f"[{SPACE}]+"))
+
+
 def _mapped(kinds: tuple[str, ...], make: Callable[[str, Column], Column]) -> Column:
     """The spans of all kinds, in the order given, each passed to ``make`` with its kind."""
     return F.concat(*[F.transform(kind, lambda x: make(kind, x)) for kind in kinds])
@@ -156,31 +192,33 @@ def _mapped(kinds: tuple[str, ...], make: Callable[[str, Column], Column]) -> Co
 
 def _mentions(spans: DataFrame, limits: Thresholds) -> DataFrame:
     """``doc, entity, around`` of every mention: its document and a hash of its surroundings."""
-    each = _mapped(KINDS, lambda kind, x: F.struct(F.concat(F.lit(f"{kind}:"), F.lower(x["m"])).alias("entity"), x["s"].alias("s"), x["e"].alias("e")))
-    rows = spans.select("doc", "text", F.explode(each).alias("x"))
-    begin = F.greatest(F.lit(0), F.col("x.s") - limits.reach_chars)
-    left = F.substring("text", begin + 1, F.col("x.s") - begin)
-    right = F.substring("text", F.col("x.e") + 1, F.lit(limits.reach_chars))
-    left, right = _words(left), _words(right)
-    near = F.concat(F.slice(F.reverse(left), 1, limits.reach_words), F.slice(right, 1, limits.reach_words))
-    return rows.select("doc", F.col("x.entity").alias("entity"), F.xxhash64(near).alias("around"))
+    width = limits.reach_words
+
+    def around(x: Column) -> Column:
+        left = _words(_between(F.col("pieces"), F.greatest(F.lit(0), x["s"] - limits.reach_chars), x["s"]))
+        right = _words(_between(F.col("pieces"), x["e"], F.least(x["e"] + limits.reach_chars, F.col("n"))))
+        return F.xxhash64(F.concat(F.slice(F.reverse(left), 1, width), F.slice(right, 1, width)))
+
+    each = _mapped(KINDS, lambda kind, x: F.struct(F.concat(F.lit(f"{kind}:"), F.lower(x["m"])).alias("entity"), around(x).alias("around")))
+    held = spans.select("doc", *KINDS, F.inline(F.array(F.struct(_pieces(F.col("text")).alias("pieces"), F.length("text").alias("n")))))
+    return held.select("doc", F.inline(each))
+
+
+def _gaps(spans: Column, pieces: Column, n: Column) -> Column:
+    """The texts before, between and after ``spans`` (sorted by start, overlaps allowed)."""
+    reach = _scan(F.transform(spans, lambda x: x["e"]), F.lit(0), lambda at, e: F.greatest(at, e), "int")
+    starts, ends = F.concat(F.array(F.lit(0)), reach), F.concat(F.transform(spans, lambda x: x["s"]), F.array(n))
+    return _let(pieces, lambda p: F.zip_with(starts, ends, lambda a, b: _between(p, a, b)))
 
 
 def _outside() -> Column:
     """The text with a blank for each base span."""
     every = F.sort_array(_mapped(KINDS, lambda kind, x: F.struct(x["s"].alias("s"), x["e"].alias("e"))))
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out"))
-
-    def step(acc: Column, x: Column) -> Column:
-        gap = F.substring("text", acc["at"] + 1, F.greatest(F.lit(0), x["s"] - acc["at"]))
-        return F.struct(F.greatest(acc["at"], x["e"]).alias("at"), F.concat(acc["out"], F.array(gap)).alias("out"))
-
-    rest = lambda acc: F.concat(acc["out"], F.array(F.substring("text", acc["at"] + 1, F.length("text"))))
-    return F.array_join(F.aggregate(every, start, step, rest), " ")
+    return F.array_join(_let(every, lambda spans: _gaps(spans, _pieces(F.col("text")), F.length("text"))), " ")
 
 
 def _distinct_terms(docs: DataFrame, *more: str, text: str = "text") -> DataFrame:
-    return docs.select(*more, F.explode(F.array_distinct(F.transform(_words(F.col(text)), _term))).alias("term"))
+    return docs.select(*more, F.explode(_terms(F.col(text))).alias("term"))
 
 
 def _candidates(docs: DataFrame, repeated: DataFrame, spans: DataFrame, limits: Thresholds) -> DataFrame:
@@ -268,7 +306,7 @@ def _term_places(docs: DataFrame, keys: DataFrame) -> DataFrame:
 def find(df: DataFrame, limits: Thresholds = STANDARD, id_col: str = "doc_id", text_col: str = "text", with_text: bool = False) -> DataFrame:
     """Span arrays of every kind, ``term`` included, for every row."""
     spans = base_spans(df, id_col, text_col)
-    docs = spans.select("doc_id", "text", "text_key")
+    docs = _texts(df, id_col, text_col)
     some = sum((F.size(kind) for kind in KINDS), F.lit(0)) > 0
     held = spans.filter(some).dropDuplicates(["doc_id", "text_key"])
     held = held.withColumns({"doc": F.monotonically_increasing_id(), "outside": _outside()})
@@ -282,18 +320,16 @@ def find(df: DataFrame, limits: Thresholds = STANDARD, id_col: str = "doc_id", t
 
 
 def sanitise(df: DataFrame, limits: Thresholds = STANDARD) -> DataFrame:
-    """``doc_id`` and its text with every span generalised to the name of its kind; a span inside an earlier one is dropped."""
+    """``doc_id`` and its text with every span generalised to the name of its kind; a span that begins inside an earlier one is dropped."""
     found = find(df, limits, with_text=True)
-    every = _mapped((*KINDS, "term"), lambda kind, x: F.struct(x["s"].alias("s"), (-x["e"]).alias("e"), F.lit(NAMES[kind]).alias("n")))
-    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
-
-    def step(acc: Column, x: Column) -> Column:
-        more = F.concat(acc["out"], F.substring("text", acc["at"] + 1, x["s"] - acc["at"]), x["n"])
-        new = x["s"] >= acc["at"]
-        return F.struct(F.when(new, -x["e"]).otherwise(acc["at"]).alias("at"), F.when(new, more).otherwise(acc["out"]).alias("out"))
-
-    ended = found.withColumn("acc", F.aggregate(F.sort_array(every), start, step))
-    return ended.select("doc_id", F.concat("acc.out", F.substring("text", F.col("acc.at") + 1, F.length("text"))).alias("text"))
+    every = F.sort_array(_mapped((*KINDS, "term"), lambda kind, x: F.struct(x["s"].alias("s"), (-x["e"]).alias("e"), F.lit(NAMES[kind]).alias("n"))))
+    # The end reached so far, below zero where the span itself is dropped.
+    reach = lambda at, x: F.when(x["s"] >= F.abs(at), -x["e"]).otherwise(-F.abs(at))
+    kept = lambda spans: F.filter(F.zip_with(spans, _scan(spans, F.lit(0), reach, "int"), lambda x, at: F.when(at >= 0, x)), lambda x: x.isNotNull())
+    turned = lambda spans: F.transform(spans, lambda x: F.struct(x["s"].alias("s"), (-x["e"]).alias("e"), x["n"].alias("n")))
+    names = lambda spans: F.concat(F.transform(spans, lambda x: x["n"]), F.array(F.lit("")))
+    shown = _let(every, lambda e: _let(turned(kept(e)), lambda spans: F.array_join(F.zip_with(_gaps(spans, _pieces(F.col("text")), F.length("text")), names(spans), lambda g, n: F.concat(g, n)), "")))
+    return found.select("doc_id", shown.alias("text"))
 
 
 def digest(df: DataFrame, limits: Thresholds = STANDARD) -> DataFrame:
