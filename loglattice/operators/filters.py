@@ -12,6 +12,8 @@ import json
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from loglattice.operators.ordered import meet, running_sum
+
 #: The status tags of a list and what they are called.
 STATUS_LABELS = {"✅已完成": "done", "⏳待回复": "pending", "⚠️已中断": "aborted"}
 
@@ -197,9 +199,8 @@ def page_after(df: DataFrame, order: list[str], generation: str, token: str | No
 def page_before(messages: DataFrame, before: int | None = None, size: int = 50) -> DataFrame:
     """The ``size`` (1 to 200) messages of every session that stand before place ``before``, counted from 0; the last ones without it."""
     size = max(1, min(200, size))
-    place = F.row_number().over(Window.partitionBy("session").orderBy("seq")) - 1
     total = messages.groupBy("session").agg(F.count(F.lit(1)).alias("_n"))
-    rows = messages.withColumn("place", place).join(total, "session")
+    rows = meet(running_sum(messages, ["session"], "seq", F.lit(1), "place").withColumn("place", (F.col("place") - 1).cast("int")), total, ["session"])
     end = F.col("_n") if before is None else F.least(F.col("_n"), F.lit(max(0, before)))
     return rows.filter((F.col("place") < end) & (F.col("place") >= end - size)).drop("_n")
 

@@ -6,10 +6,10 @@ error_kind, stop_reason``; ``seq`` orders a session.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loglattice.operators.ordered import drop_repeats, running_sum
+from loglattice.operators.ordered import drop_repeats, meet, running_sum
 
 AGENT_SIDE = ("assistant_message", "thinking", "tool_call", "tool_result")
 #: The status of a session by that of its last turn.
@@ -96,9 +96,10 @@ def compact_view(events: DataFrame) -> DataFrame:
 
 
 def tail(messages: DataFrame, n: int = 20) -> DataFrame:
-    """The last ``n`` messages of every session."""
-    rank = F.row_number().over(Window.partitionBy("session").orderBy(F.desc("seq")))
-    return messages.withColumn("_r", rank).filter(F.col("_r") <= n).drop("_r")
+    """The last ``n`` messages of every session; places are counted in buckets, so no task sorts a session."""
+    total = messages.groupBy("session").agg(F.count(F.lit(1)).alias("_n"))
+    placed = meet(running_sum(messages, ["session"], "seq", F.lit(1), "_r"), total, ["session"])
+    return placed.filter(F.col("_r") > F.col("_n") - n).drop("_r", "_n")
 
 
 def loop_counts(events: DataFrame) -> DataFrame:

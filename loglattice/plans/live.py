@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from loglattice.operators import intervals as iv
+from loglattice.plans.ledger import SINCE, UNTIL
 from loglattice.sources import growing
 from loglattice.sources.shared import fresh
 from loglattice.streaming import live
@@ -35,6 +37,18 @@ def session_files_by_range(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def window_by_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The events of a week in January 2024, from session files of which an index of their blocks' times tells what to read."""
+    ts = iv.micros("ts")
+    rows = spark.read.parquet(f"{sf_dir}/events.parquet").select("user_id", "event_id", ts.alias("t"), F.to_json(F.struct("event_id", ts.alias("t"))).alias("line"))
+    folder, index = fresh(spark, "session-files"), fresh(spark, "session-index")
+    rows.repartition("user_id").sortWithinPartitions("user_id", "t", "event_id").select("user_id", "line").write.partitionBy("user_id").text(folder)
+    micros = F.get_json_object("raw", "$.t").cast("long")
+    growing.build_index(growing.read(spark, folder, pattern="*.txt"), micros, index, block=1 << 12)
+    lines = growing.read_window(spark, folder, index, SINCE, UNTIL, pattern="*.txt").filter(micros.between(SINCE, UNTIL))
+    return lines.select(F.regexp_extract("path", "user_id=(-?[0-9]+)", 1).cast("long").alias("session"), F.get_json_object("raw", "$.event_id").cast("long").alias("event_id"), micros.alias("t"))
+
+
 def operations(spark: SparkSession, sf_dir: str) -> DataFrame:
     kind = F.col("event_type")
     op = F.when(kind == "click", "upsert").when(kind.isin("view", "purchase"), "append").when(kind == "signup", "remove").when(F.col("k") % 10 == 0, "reset").otherwise("upsert")
@@ -64,7 +78,7 @@ def live_state_streamed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return live.state(spark.read.schema(live.RECORDS).parquet(out)).select("session", "key", "kind", "text")
 
 
-QUERIES = {f.__name__: f for f in (session_files_by_range, live_state_replayed, live_state_streamed)}
+QUERIES = {f.__name__: f for f in (session_files_by_range, window_by_index, live_state_replayed, live_state_streamed)}
 
 _STATE = """
 WITH e AS (SELECT CAST(user_id AS VARCHAR) AS session, event_id AS pos, event_type AS kind, CAST(json_extract(props, '$.k') AS INTEGER) AS k FROM events),
@@ -84,6 +98,7 @@ SELECT session, row_number() OVER w AS pos, CAST(coalesce(sum(strlen(line) + 1)
        CASE WHEN event_type IN ('error', 'signup') THEN NULL ELSE event_id END AS event_id, CASE WHEN event_type IN ('error', 'signup') THEN NULL ELSE event_type END AS event_type
 FROM l WINDOW w AS (PARTITION BY session ORDER BY event_id)
 """,
+    "window_by_index": f"SELECT user_id AS session, event_id, epoch_us(ts) AS t FROM events WHERE epoch_us(ts) BETWEEN {SINCE} AND {UNTIL}",
     "live_state_replayed": _STATE,
     "live_state_streamed": _STATE,
 }

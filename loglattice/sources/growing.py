@@ -15,6 +15,12 @@ kind ``reset`` comes before its lines, and it is read from the start.  A file th
 goes away gives a ``reset`` row only.  The planner reads some kilobytes of a file
 whose size or time has changed, and nothing of the others.
 
+A sidecar index (:func:`build_index`) has the least and greatest time of every block of
+bytes.  A batch read with the options ``index``, ``since`` and ``until`` (microseconds,
+both ends belong to the window) reads the blocks whose times meet the window, blocks
+without a time, and what a file has gained since it was indexed; a file that is shorter
+than its index, or whose first or last indexed line differs, is read whole.
+
 Options: ``path`` (a folder or file, any file system that Arrow knows), ``pattern``
 (names, ``*.jsonl``), ``rangeBytes``, ``state`` (streams only).  An empty folder gives
 no rows, bytes that are no UTF-8 become replacement characters, equal lines stay.
@@ -29,6 +35,8 @@ from collections.abc import Iterator
 from dataclasses import asdict, dataclass
 
 import pyarrow as pa
+import pyarrow.compute as pc
+import pyarrow.dataset
 from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -187,18 +195,46 @@ class _Files:
 
 
 class GrowingReader(DataSourceReader):
-    """All finished lines, at the moment of planning."""
+    """All finished lines, at the moment of planning; with an index those of a window of time, and their neighbours in a block."""
 
     def __init__(self, options: dict[str, str]) -> None:
         self.files = _Files(options)
+        self.index, self.since, self.until = options.get("index"), int(options.get("since", -(1 << 62))), int(options.get("until", 1 << 62))
+
+    def _blocks(self) -> dict[str, list[dict]]:
+        """Indexed files: their blocks that the window may need, and one entry for the whole file."""
+        system, top = fs.FileSystem.from_uri(self.index)
+        held = pyarrow.dataset.dataset(top, filesystem=system, format="parquet")
+        wanted = (pc.field("kind") == "file") | pc.is_null(pc.field("lowest")) | ((pc.field("lowest") <= self.until) & (pc.field("highest") >= self.since))
+        found: dict[str, list[dict]] = {}
+        for row in held.to_table(filter=wanted).to_pylist():
+            found.setdefault(row["path"], []).append(row)
+        return found
+
+    def _wanted(self, path: str, end: int, handle, rows: list[dict]) -> list[Range]:
+        whole = next((r for r in rows if r["kind"] == "file"), None)
+        if whole is None or end < whole["upper"]:
+            return self.files.ranges(path, 1, 0, end)
+        for at, told in ((0, whole["head"]), (whole["upper"] - 1, whole["tail"])):
+            start, line = next(lines_between(handle, at, at + 1, end), (-1, b""))
+            if start != at or _sha(line.rstrip(b"\r\n").decode("utf-8", "replace").encode()) != told:
+                return self.files.ranges(path, 1, 0, end)
+        found = [Range(path, 1, r["lower"], min(r["upper"], whole["upper"]), end) for r in sorted(rows, key=lambda r: r["lower"]) if r["kind"] == "block"]
+        # The index ends with the beginning of its last line; lines after that one are new.
+        return found + self.files.ranges(path, 1, whole["upper"], end)
 
     def partitions(self) -> list[Range]:
-        found = []
+        found, known = [], self._blocks() if self.index else {}
         for path, (size, _) in sorted(self.files.listed().items()):
             with self.files.open(path) as handle:
-                found += self.files.ranges(path, 1, 0, committed_end(handle, size))
+                end = committed_end(handle, size)
+                found += self._wanted(path, end, handle, known[path]) if path in known else self.files.ranges(path, 1, 0, end)
         return found
 
+    def planned_bytes(self) -> int:
+        """Bytes that the plan's ranges have together."""
+        return sum(part.upper - part.lower for part in self.partitions())
+
     def read(self, partition: Range) -> Iterator[pa.RecordBatch]:
         return self.files.rows(partition)
 
@@ -317,6 +353,27 @@ def follow(spark: SparkSession, path: str, state: str, **options: str | int) ->
     return spark.readStream.format("growing_lines").options(state=state, **options).load(path)
 
 
+def build_index(lines: DataFrame, micros: Column, folder: str, block: int = RANGE_BYTES) -> None:
+    """Writes the index of ``lines`` to ``folder``; ``micros`` is a line's time, null if it has none.
+
+    One row for each block of bytes in which lines begin, and one for each file with where its last line begins and checksums of its first and last.
+    """
+    timed = lines.filter("kind = 'line'").withColumn("t", micros)
+    blocks = timed.groupBy("path", F.floor(F.col("start") / block).alias("b")).agg(F.min("t").alias("lowest"), F.max("t").alias("highest"), F.count(F.lit(1)).alias("n"), F.count("t").alias("timed"))
+    # A block that holds a line without a time is always read.
+    sometimes = lambda c: F.when(F.col("n") == F.col("timed"), F.col(c)).alias(c)
+    none = F.lit(None).cast("long")
+    rows = blocks.select("path", F.lit("block").alias("kind"), (F.col("b") * block).alias("lower"), ((F.col("b") + 1) * block).alias("upper"), sometimes("lowest"), sometimes("highest"), *[F.lit(None).cast("string").alias(c) for c in ("head", "tail")])
+    files = timed.groupBy("path").agg(F.max("start").alias("last"), F.sha2(F.min_by("raw", "start"), 256).alias("head"), F.sha2(F.max_by("raw", "start"), 256).alias("tail"))
+    whole = files.select("path", F.lit("file").alias("kind"), F.lit(0).cast("long").alias("lower"), (F.col("last") + 1).alias("upper"), none.alias("lowest"), none.alias("highest"), "head", "tail")
+    rows.unionByName(whole).write.mode("overwrite").parquet(folder)
+
+
+def read_window(spark: SparkSession, path: str, index: str, since: int, until: int, **options: str | int) -> DataFrame:
+    """Lines below ``path`` that may lie within the window; the caller filters by time, as without an index."""
+    return read(spark, path, index=index, since=since, until=until, **options)
+
+
 def numbered(lines: DataFrame, bucket: int = RANGE_BYTES) -> DataFrame:
     """``lines`` with ``pos``, the line's number in its file from 1, counted in buckets of ``bucket`` bytes."""
     return running_sum(lines.filter("kind = 'line'"), ["path", "generation"], "start", F.lit(1), "pos", bucket)

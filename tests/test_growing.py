@@ -146,3 +146,42 @@ def test_manifests_are_kept_for_some_batches_only(tmp_path, monkeypatch):
     assert [p.name for p in sorted((tmp_path / "state").iterdir())] == ["000000000004.json", "000000000005.json", "000000000006.json"]
     with pytest.raises(ValueError):
         growing.GrowingStream({"path": "file:///x"})
+
+
+def timed_lines(n, step=10):
+    return "".join(json.dumps({"t": k * step, "k": k}) + "\n" for k in range(n))
+
+
+def test_index_prunes_to_the_window(spark, tmp_path):
+    folder, index = tmp_path / "in", f"file://{tmp_path}/index"
+    folder.mkdir()
+    (folder / "a.jsonl").write_text(timed_lines(400))
+    (folder / "b.jsonl").write_text(timed_lines(50, 1) + '{"no": "time"}\n' + timed_lines(100, 1000))
+    (folder / "c.jsonl").write_text(timed_lines(30))
+    path, micros = f"file://{folder}", F.get_json_object("raw", "$.t").cast("long")
+    growing.build_index(growing.read(spark, path), micros, index, block=256)
+
+    def window(since, until):
+        """What the index reads in the window, what a full read has there, and the bytes of both."""
+        inside = lambda df: sorted((os.path.basename(r["path"]), r["start"], r["raw"]) for r in df.filter(micros.between(since, until)).collect())
+        options = {"path": path, "rangeBytes": "256"}
+        few = growing.GrowingReader(options | {"index": index, "since": str(since), "until": str(until)}).planned_bytes()
+        got = inside(growing.read_window(spark, path, index, since, until, rangeBytes=256))
+        assert got == inside(growing.read(spark, path))
+        return len(got), few, growing.GrowingReader(options).planned_bytes()
+
+    n, few, every = window(3000, 3100)
+    assert n > 10 and few < every / 5
+    assert window(10**9, 10**9 + 1)[0] == 0 and window(0, 10**9)[0] == 580
+    with (folder / "a.jsonl").open("a") as f:
+        f.write(timed_lines(3) + '{"t": 3050, "new": 1}\n{"t": 30')
+    assert window(3000, 3100)[0] == n + 1  # gained since it was indexed
+    whole = growing.read_window(spark, path, index, 0, 10**9, rangeBytes=256)
+    assert whole.count() == whole.select("path", "start").distinct().count() == growing.read(spark, path).count()
+    (folder / "c.jsonl").write_text('{"t": 3001}\n' + timed_lines(60))  # replaced
+    (folder / "b.jsonl").write_text(timed_lines(8, 400))  # cut
+    (folder / "a.jsonl").write_text(timed_lines(350) + '{"t": 3007}\n' * 90)  # replaced, but for its first line
+    (folder / "d.jsonl").write_text('{"t": 3002}\n')  # not indexed
+    assert window(3000, 3100)[0] > 10
+    lines = growing.read_window(spark, path, index, 3000, 3100, rangeBytes=256)
+    assert lines.count() == lines.select("path", "start").distinct().count()
