@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from loglattice.operators import fingerprint
 from loglattice.sources import blobs, steps
 
 
@@ -59,7 +60,21 @@ def step_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return steps.events(step_lines(spark, sf_dir)).select("session", "seq", "type", "text", "origin", "call_id", "result_status", "error")
 
 
-QUERIES = {f.__name__: f for f in (blob_events, step_events)}
+def store_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every customer's orders as a store whose rows come in the order of their keys; the comment's place is taken by the price's digits."""
+    orders = spark.read.parquet(f"{sf_dir}/orders.parquet").select(F.col("o_custkey").alias("store"), F.col("o_orderkey").alias("pos"), F.col("o_orderstatus").alias("kind"), F.repeat(F.lit("x"), (F.col("o_orderkey") % 17).cast("int")).alias("body"))
+    return fingerprint.fingerprint(orders, ["store"], "pos", ["pos", "kind"], ["body"])
+
+
+def store_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What became of every store: some grew, some had a row edited, some are new or gone."""
+    orders = spark.read.parquet(f"{sf_dir}/orders.parquet").select(F.col("o_custkey").alias("store"), F.col("o_orderkey").alias("pos"), F.col("o_orderstatus").alias("kind"))
+    old = fingerprint.fingerprint(orders.filter("store % 7 <> 0 and (store % 5 <> 0 or pos % 3 <> 0)"), ["store"], "pos", ["pos", "kind"])
+    new = orders.filter("store % 11 <> 0").withColumn("kind", F.when((F.col("store") % 13 == 0) & (F.col("pos") % 4 == 0), "edited").otherwise(F.col("kind")))
+    return fingerprint.changes(old, new, ["store"], "pos", ["pos", "kind"])
+
+
+QUERIES = {f.__name__: f for f in (blob_events, step_events, store_fingerprints, store_changes)}
 
 ORACLES = {
     "blob_events": """
@@ -87,5 +102,16 @@ a AS (SELECT session, pos, 0 AS sub, CASE k WHEN 'signup' THEN 'user_message' WH
       UNION ALL SELECT session, pos, 1, 'tool_call', NULL, NULL, call_id, NULL, NULL FROM c
       UNION ALL SELECT l.session, l.pos, 0, 'tool_result', 'at ' || l.pos, NULL, coalesce(f.call_id, ''), CASE WHEN l.pos % 7 = 0 THEN 'unknown' ELSE 'ok' END, NULL FROM l LEFT JOIN f ON l.session = f.session AND l.pos = f.pos WHERE k = 'purchase' AND (NOT exact OR lk = 'click'))
 SELECT session, row_number() OVER (PARTITION BY session ORDER BY pos, sub) AS seq, type, text, origin, call_id, result_status, error FROM a
+""",
+    "store_fingerprints": """
+WITH r AS (SELECT o_custkey AS store, o_orderkey AS pos, md5('=' || o_orderkey || chr(31) || coalesce('=' || o_orderstatus, '-') || chr(31) || (o_orderkey % 17)) AS d FROM orders),
+l AS (SELECT store, count(*) AS n, max(pos) AS last, list(('0x' || substr(d, 1, 7))::HUGEINT ORDER BY pos) AS a, list(('0x' || substr(d, 9, 7))::HUGEINT ORDER BY pos) AS b FROM r GROUP BY store)
+SELECT store, list_reduce(list_prepend(0::HUGEINT, a), lambda x, y: (x * 1000003 + y) % 2147483647) || '-' || list_reduce(list_prepend(0::HUGEINT, b), lambda x, y: (x * 998244353 + y) % 2147483629) AS fingerprint, n, CAST(last AS BIGINT) AS last FROM l
+""",
+    "store_changes": """
+WITH o AS (SELECT o_custkey AS s, o_orderkey AS p, o_orderstatus AS k, o_custkey % 7 <> 0 AND (o_custkey % 5 <> 0 OR o_orderkey % 3 <> 0) AS was, o_custkey % 11 <> 0 AS now, o_custkey % 13 = 0 AND o_orderkey % 4 = 0 AND o_orderstatus <> 'edited' AS ed FROM orders),
+l AS (SELECT s, max(p) FILTER (was) AS last, count(*) FILTER (was) AS n0, count(*) FILTER (now) AS n1 FROM o GROUP BY s),
+c AS (SELECT l.s, n0, n1, bool_or(p <= last AND now AND (ed OR NOT was)) AS ch FROM l JOIN o ON o.s = l.s GROUP BY ALL)
+SELECT s AS store, CASE WHEN n1 = 0 THEN 'gone' WHEN n0 = 0 THEN 'new' WHEN coalesce(ch, false) THEN 'changed' WHEN n1 > n0 THEN 'appended' ELSE 'same' END AS verdict FROM c WHERE n0 + n1 > 0
 """,
 }
