@@ -60,6 +60,11 @@ STANDARD = Thresholds()
 NAMES = {"email": "[EMAIL]", "ip": "[IP]", "card": "[CARD]", "phone": "[PHONE]", "term": "[TERM]"}
 
 
+def _settle(df: DataFrame, name: str) -> DataFrame:
+    """A settled table; its codec holds no memory outside the heap, which many small files would add up to."""
+    return storage.settle(df, name, compression="zstd")
+
+
 def _marked(text: Column, pattern: str) -> Column:
     """``text`` with the characters matching ``pattern`` replaced by U+0001, and U+0001 itself by U+0002."""
     return F.regexp_replace(F.translate(text, "\x01", "\x02"), pattern, "\x01")
@@ -232,12 +237,12 @@ def _candidates(docs: DataFrame, repeated: DataFrame, spans: DataFrame, limits:
     told = _distinct_terms(spans, text="outside").withColumns({"near": F.lit(1), "whole": F.lit(0)})
     whole = _distinct_terms(spans).withColumns({"near": F.lit(0), "whole": F.lit(1)})
     held = told.unionByName(whole).groupBy("term").agg(F.sum("near").alias("near"), F.sum("whole").alias("whole"))
-    held = storage.settle(held.filter((F.col("near") >= limits.support) & (F.length("term") >= limits.shortest)), "entity-terms")
+    held = _settle(held.filter((F.col("near") >= limits.support) & (F.length("term") >= limits.shortest)), "entity-terms")
     # An inner join with distinct terms: Spark would move a semi join below the count.
     counted = seen.join(held, "term").join(extra, "term", "left")
     elsewhere = F.col("n") - F.coalesce("x", F.lit(0)) - F.col("whole")
     counted = counted.select("term", "near", (elsewhere + F.col("near")).alias("docs_term"))
-    return storage.settle(counted.filter(F.col("near") / F.col("docs_term") >= limits.certainty).drop("near"), "candidates")
+    return _settle(counted.filter(F.col("near") / F.col("docs_term") >= limits.certainty).drop("near"), "candidates")
 
 
 def _surroundings(spans: DataFrame, mentions: DataFrame, pairs: DataFrame, limits: Thresholds) -> DataFrame:
@@ -246,10 +251,10 @@ def _surroundings(spans: DataFrame, mentions: DataFrame, pairs: DataFrame, limit
     words = spans.select("doc", _words(F.col("outside")).alias("words"))
     place = lambda w, i: F.struct(_term(w).alias("term"), F.xxhash64(F.slice("words", F.greatest(F.lit(1), i + 1 - width), width + 1 + F.least(i, F.lit(width)))).alias("around"))
     places = words.select("doc", F.explode(F.transform("words", place)).alias("x")).select("doc", "x.term", "x.around")
-    places = storage.settle(places.join(pairs.select("term").distinct(), "term"), "term-surroundings")
+    places = _settle(places.join(pairs.select("term").distinct(), "term"), "term-surroundings")
     both = places.select("doc", "term").distinct().join(pairs.select("term", "entity"), "term")
     both = both.join(mentions.select("doc", "entity").distinct(), ["doc", "entity"])
-    both = storage.settle(both.select("doc", "term", "entity"), "term-entity-documents")
+    both = _settle(both.select("doc", "term", "entity"), "term-entity-documents")
     sides = {}
     for side, known in (("of_term", places.join(both, ["doc", "term"])), ("of_entity", mentions.join(both, ["doc", "entity"]))):
         once = known.groupBy("term", "entity", "around").agg(F.count(F.lit(1)).alias("n"))
@@ -264,8 +269,8 @@ def revealing_terms(docs: DataFrame, spans: DataFrame, limits: Thresholds = STAN
     ``spans`` has the documents with spans, each once, with a number ``doc`` and their text ``outside`` the spans;
     ``docs`` has all of them (doc_id, text, text_key).
     """
-    mentions = storage.settle(_mentions(spans, limits), "mentions")
-    twice = storage.settle(docs.groupBy("doc_id", "text_key").agg((F.count(F.lit(1)) - 1).alias("extra")).filter("extra > 0"), "repeated-rows")
+    mentions = _settle(_mentions(spans, limits), "mentions")
+    twice = _settle(docs.groupBy("doc_id", "text_key").agg((F.count(F.lit(1)) - 1).alias("extra")).filter("extra > 0"), "repeated-rows")
     repeated = twice.toDF("d", "t", "extra")
     repeated = docs.join(repeated, docs["doc_id"].eqNullSafe(repeated["d"]) & (docs["text_key"] == repeated["t"])).drop("d", "t").dropDuplicates(["doc_id", "text_key"])
     candidates = _candidates(docs, repeated, spans, limits)
@@ -279,17 +284,17 @@ def revealing_terms(docs: DataFrame, spans: DataFrame, limits: Thresholds = STAN
     own = F.log2(F.col("docs") / F.col("docs_entity"))
     scored = scored.withColumn("bits", F.log2("certainty") + own)
     scored = scored.filter((F.col("certainty") >= limits.certainty) & (F.col("bits") > 0) & (F.col("bits") >= limits.share * own))
-    scored = storage.settle(scored.select("term", "entity", "certainty", "bits"), "scored-terms")
+    scored = _settle(scored.select("term", "entity", "certainty", "bits"), "scored-terms")
     risks = scored.join(_surroundings(spans, mentions, scored, limits), ["term", "entity"])
     enough = (F.col("surroundings") >= limits.support) & (F.col("surroundings") * F.col("bits") >= limits.evidence)
-    risks = storage.settle(risks.filter(enough).select("term", "entity", "certainty", "bits"), "revealing-terms")
+    risks = _settle(risks.filter(enough).select("term", "entity", "certainty", "bits"), "revealing-terms")
     hits = _distinct_terms(docs, "doc_id", "text_key").join(risks.select("term").distinct(), "term", "left_semi").distinct()
-    return risks, storage.settle(hits, "term-documents")
+    return risks, _settle(hits, "term-documents")
 
 
 def _term_places(docs: DataFrame, keys: DataFrame) -> DataFrame:
     """``doc_id, text_key, term`` spans of the terms that ``keys`` names for each document."""
-    wanted = storage.settle(keys.groupBy("doc_id", "text_key").agg(F.collect_set("term").alias("wanted")), "wanted-terms")
+    wanted = _settle(keys.groupBy("doc_id", "text_key").agg(F.collect_set("term").alias("wanted")), "wanted-terms")
     same = docs["doc_id"].eqNullSafe(wanted["doc_id"]) & (docs["text_key"] == wanted["text_key"])
     held = docs.join(wanted, same).select(docs["doc_id"], docs["text_key"], "text", "wanted").dropDuplicates(["doc_id", "text_key"])
     held = held.withColumn("words", _words(F.col("text"))).withColumn("gaps", F.split("text", f"[^{SPACE}]+", -1))
@@ -310,8 +315,8 @@ def find(df: DataFrame, limits: Thresholds = STANDARD, id_col: str = "doc_id", t
     some = sum((F.size(kind) for kind in KINDS), F.lit(0)) > 0
     held = spans.filter(some).dropDuplicates(["doc_id", "text_key"])
     held = held.withColumns({"doc": F.monotonically_increasing_id(), "outside": _outside()})
-    _, hits = revealing_terms(docs, storage.settle(held, "entity-documents"), limits)
-    places = storage.settle(_term_places(docs, hits), "term-spans")
+    _, hits = revealing_terms(docs, _settle(held, "entity-documents"), limits)
+    places = _settle(_term_places(docs, hits), "term-spans")
     places = places.select(F.col("doc_id").alias("d"), F.col("text_key").alias("t"), "term")
     out = spans.join(places, spans["doc_id"].eqNullSafe(places["d"]) & (spans["text_key"] == places["t"]), "left")
     empty = F.array().cast("array<struct<s:int,e:int>>")

@@ -41,15 +41,17 @@ def small_arrow_batches(spark: SparkSession, limit: str = "8m") -> Iterator[None
         spark.conf.set(key, before)
 
 
-def settle(df: DataFrame, name: str) -> DataFrame:
+def settle(df: DataFrame, name: str, compression: str | None = None) -> DataFrame:
     """Writes ``df`` as Parquet in the shared folder and reads it back, which cuts its lineage.
 
+    ``compression`` is the session's if none is given.
+
     The files survive lost executors; they stay until :func:`forget` removes
     them or the folder is cleaned.
     """
     path = fresh(df.sparkSession, name)
     with small_arrow_batches(df.sparkSession):
-        df.write.parquet(path)
+        df.write.parquet(path, compression=compression)
     table = df.sparkSession.read.schema(df.schema).parquet(path)
     table.settled_at = path
     return table
