@@ -16,7 +16,8 @@ def table(rows, columns):
 def test_query_equals_its_sql(spark, small, name):
     df = queries.queries()[name](spark, small)
     base = duckdb.connect()
-    base.execute(f"CREATE VIEW documents AS SELECT * FROM '{small}/documents.parquet'")
+    for table_name in ("documents", "labels"):
+        base.execute(f"CREATE VIEW {table_name} AS SELECT * FROM '{small}/{table_name}.parquet'")
     result = base.execute(ORACLES[name])
     columns = [c[0] for c in result.description]
     assert sorted(columns) == sorted(df.columns)
