@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loglattice.operators.filters import sequence_faults, union_sources
+from loglattice.operators.ordered import meet
 from loglattice.operators.turns import conversation
 
 STATUSES = ("ok", "error", "denied", "pending", "unknown")
@@ -27,7 +28,7 @@ def pairing(events: DataFrame) -> DataFrame:
     """Results whose id no earlier call has."""
     named = events.filter(F.coalesce("call_id", F.lit("")) != "")
     calls = named.filter("type = 'tool_call'").groupBy("session", "call_id").agg(F.min("seq").alias("first"))
-    found = named.filter("type = 'tool_result'").join(calls, ["session", "call_id"], "left").filter("first IS NULL OR first > seq")
+    found = meet(named.filter("type = 'tool_result'"), calls, ["session", "call_id"], "left").filter("first IS NULL OR first > seq")
     return _fault(found, "tool_pairing", F.format_string("result %d has no earlier call", "seq"))
 
 

@@ -7,7 +7,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from loglattice.functions import guards, text
-from loglattice.operators import filters, intervals, listing, matching, ordered, relations, skills, turns, usage
+from loglattice.operators import conformance, filters, intervals, listing, matching, ordered, relations, skills, turns, usage
+from loglattice.sources import jsonl
 
 EVENT = "session string, seq long, type string, text string, origin string, call_id string, turn_id string, error_kind string, stop_reason string"
 
@@ -237,3 +238,27 @@ def test_markers_are_found_in_one_pass():
     assert {w for w in ["zabz", "a b", "wxw", "42 9", "4290", "tow", "t o"] if re.search(text.any_of(words), w)} == {"zabz", "wxw", "4290", "tow"}
     every = [m for group in text._MARKERS for m in group]
     assert all(re.search(text._ANY, f"..{m}..") for m in every) and re.search(text._ANY, "an api_ error") and not re.search(text._ANY, "plain words 40 1 and 50 3")
+
+
+def test_conformance_rules(spark):
+    log = events(spark, [(None, 1, "tool_call", {"call_id": "c"}), (None, 2, "tool_result", {"call_id": "c"}), ("s", 1, "user_message", {"text": "hi"}), ("s", 3, "tool_result", {"call_id": "x"}), ("s", 4, "assistant_message", {"text": "yes"})])
+    view = turns.conversation(log).select("session", "seq", "role", "text")
+    assert rows_of(conformance.all_rules(log, view).select("session", "rule")) == [("s", "seq"), ("s", "tool_pairing")]
+    told = rows_of(conformance.conversation_view(log, view.filter("seq = 4").union(view.filter("seq = 4"))).select("rule", "detail"))
+    assert told == [("conversation", "not in the events"), ("conversation", "not in the view")]
+    statused = spark.createDataFrame([("s", 1, "tool_result", "ok"), ("s", 2, "tool_result", None), ("s", 3, "tool_result", "odd"), ("s", 4, "tool_call", None)], "session string, seq long, type string, result_status string")
+    assert [r["detail"] for r in conformance.statuses(statused).orderBy("detail").collect()] == ["result 2", "result 3"]
+    assert conformance.all_rules(log.limit(0), view.limit(0)).count() == 0
+
+
+def test_orders_of_lists_and_ids_of_both_sides(spark):
+    hits = spark.createDataFrame([("a", 5, 1.0), ("b", 9, None), ("c", 5, 2.0), ("d", 5, None)], "id string, score int, mtime double")
+    assert [r["id"] for r in filters.ranked_hits(hits).collect()] == ["b", "c", "a", "d"]
+    book = spark.createDataFrame([("b", 2.0), ("a", 2.0), ("c", 3.0)], "id string, active double")
+    assert [r["id"] for r in filters.by_activity(book).collect()] == ["c", "a", "b"]
+    one, two = (spark.createDataFrame([("s", x) for x in ids], "session string, id string") for ids in ("aab", "bc"))
+    assert rows_of(filters.distinct_ids(one, two, ["session", "id"])) == [("s", "a"), ("s", "b"), ("s", "c")]
+    files = spark.createDataFrame([("s", 1.0, "old"), ("s", 2.0, "new"), ("t", 1.0, "only"), ("s", 2.0, "tied")], "session string, mtime double, path string")
+    assert {r["path"] for r in jsonl.last_generation(files).collect()} == {"new", "tied", "only"}
+    times = spark.createDataFrame([(None, 10.0), (10.0, 20.0), (10.0, 3610.0), (10.0, 3611.0)], "e double, f double")
+    assert [r[0] for r in times.select(guards.effective_time(F.col("e"), F.col("f"))).collect()] == [10.0, 20.0, 3610.0, 10.0]
