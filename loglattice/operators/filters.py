@@ -62,6 +62,23 @@ def select_usage(records: DataFrame, turns: list | None = None, messages: list |
     return records
 
 
+def select_performance(records: DataFrame, turn_id: str | None = None, message_id: str | None = None) -> DataFrame:
+    """Performance records of one turn, or else of one message (by message or response id); without a choice all.  Records without the id don't match."""
+    if turn_id:
+        return records.filter(F.col("turn_id") == turn_id)
+    if message_id:
+        return records.filter(F.coalesce(F.col("message_id") == message_id, F.lit(False)) | F.coalesce(F.col("response_id") == message_id, F.lit(False)))
+    return records
+
+
+def select_skills(uses: DataFrame, trigger: str = "all") -> DataFrame:
+    """Uses of skills by their trigger: ``explicit``, ``passive`` (any other) or ``all``; uses without a trigger are passive."""
+    if trigger not in ("all", "explicit", "passive"):
+        raise ValueError("a trigger is all, explicit or passive")
+    explicit = F.coalesce(F.col("trigger") == "explicit", F.lit(False))
+    return uses if trigger == "all" else uses.filter(explicit if trigger == "explicit" else ~explicit)
+
+
 def exclusion(known: Column, marked: Column, cwd: Column, internal: Column, user_text: Column) -> Column:
     """Why a list drops a session; null if it doesn't.
 

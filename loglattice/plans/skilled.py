@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loglattice.operators import skills
+from loglattice.operators import filters, skills
 
 #: Tools and inputs that events take in turn; ``{n}`` is the event's number modulo 4.
 TEMPLATES = (
@@ -41,7 +41,14 @@ def skill_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
     return skills.summary(skill_rounds(spark, sf_dir))
 
 
-QUERIES = {f.__name__: f for f in (skill_uses, skill_rounds, skill_totals)}
+def skills_selected(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Uses of a skill that a user named (every third is taken as such), and the others, counted by name."""
+    uses = _uses(spark, sf_dir).withColumn("trigger", F.when(F.col("seq") % 3 == 0, "explicit").when(F.col("seq") % 3 == 1, "auto"))
+    parts = [filters.select_skills(uses, t).groupBy("name").agg(F.count(F.lit(1)).alias("n")).withColumn("asked", F.lit(t)) for t in ("explicit", "passive", "all")]
+    return parts[0].union(parts[1]).union(parts[2])
+
+
+QUERIES = {f.__name__: f for f in (skill_uses, skill_rounds, skill_totals, skills_selected)}
 
 _USES = """
 e AS (SELECT user_id AS session, event_id AS seq, event_type = 'signup' AS um, event_id % 8 AS t, CAST(event_id % 4 AS VARCHAR) AS n FROM events),
@@ -56,4 +63,6 @@ ORACLES = {
     "skill_uses": f"WITH {_USES} SELECT session, seq, 'c' || seq AS call_id, name, path, 'auto' AS trigger, CASE WHEN nat THEN 'skill_tool' ELSE 'file_read' END AS detection, CASE WHEN nat THEN 'native' ELSE 'inferred' END AS origin FROM u",
     "skill_rounds": f"WITH {_ROUNDS} SELECT * FROM o",
     "skill_totals": f"WITH {_ROUNDS} SELECT bare, count(*) AS total, 0::BIGINT AS n_explicit, count(*) AS n_passive, count(DISTINCT session) AS n_sessions, max(seq) AS last_seq FROM o GROUP BY bare",
+    "skills_selected": f"""WITH {_USES}, x AS (SELECT name, seq % 3 = 0 AS ex FROM u) SELECT name, count(*) AS n, 'explicit' AS asked FROM x WHERE ex GROUP BY name
+        UNION ALL SELECT name, count(*), 'passive' FROM x WHERE NOT ex GROUP BY name UNION ALL SELECT name, count(*), 'all' FROM x GROUP BY name""",
 }

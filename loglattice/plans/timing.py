@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from loglattice.operators import filters
 from loglattice.operators import intervals as iv
 from loglattice.sources import timing
 
@@ -52,7 +53,16 @@ def tool_wall(spark: SparkSession, sf_dir: str) -> DataFrame:
     return iv.overlap(spans("click"), spans("purchase"), ["user_id"])
 
 
-QUERIES = {f.__name__: f for f in (item_turn_timing, store_phase_timing, tool_wall)}
+def performance_selected(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parts of orders as records of turns and messages: those of one turn, and of one message by either of its ids."""
+    lines = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
+    pos = F.col("l_orderkey") * 10 + F.col("l_linenumber")
+    name = lambda head, x: F.concat(F.lit(head), x.cast("string"))
+    records = lines.select(pos.alias("pos"), name("t", F.col("l_linenumber")).alias("turn_id"), F.when(pos % 3 == 0, name("m", F.col("l_suppkey"))).alias("message_id"), F.when(pos % 2 == 0, name("m", F.col("l_partkey"))).alias("response_id"))
+    return filters.select_performance(records, "t3").withColumn("asked", F.lit("turn")).union(filters.select_performance(records, None, "m7").withColumn("asked", F.lit("message")))
+
+
+QUERIES = {f.__name__: f for f in (item_turn_timing, store_phase_timing, tool_wall, performance_selected)}
 
 ORACLES = {
     "item_turn_timing": """
@@ -82,5 +92,9 @@ WITH e AS (SELECT user_id, event_type AS k, epoch_us(ts) AS a, epoch_us(ts) + ev
 s AS (SELECT user_id, t, sum(p) AS p, sum(q) AS q FROM (SELECT user_id, a AS t, (k = 'click')::INT AS p, (k = 'purchase')::INT AS q FROM e UNION ALL SELECT user_id, b, -(k = 'click')::INT, -(k = 'purchase')::INT FROM e) GROUP BY ALL),
 w AS (SELECT user_id, lead(t) OVER x - t AS d, sum(p) OVER x > 0 AS p, sum(q) OVER x > 0 AS q FROM s WINDOW x AS (PARTITION BY user_id ORDER BY t))
 SELECT user_id, coalesce(sum(d) FILTER (p AND q), 0) / 1e6 AS both_seconds, coalesce(sum(d) FILTER (p AND NOT q), 0) / 1e6 AS one_seconds, coalesce(sum(d) FILTER (q AND NOT p), 0) / 1e6 AS two_seconds FROM w GROUP BY user_id
+""",
+    "performance_selected": """
+WITH r AS (SELECT l_orderkey * 10 + l_linenumber AS pos, 't' || l_linenumber AS turn_id, CASE WHEN (l_orderkey * 10 + l_linenumber) % 3 = 0 THEN 'm' || l_suppkey END AS message_id, CASE WHEN (l_orderkey * 10 + l_linenumber) % 2 = 0 THEN 'm' || l_partkey END AS response_id FROM lineitem)
+SELECT *, 'turn' AS asked FROM r WHERE turn_id = 't3' UNION ALL SELECT *, 'message' FROM r WHERE message_id = 'm7' OR response_id = 'm7'
 """,
 }

@@ -262,3 +262,13 @@ def test_orders_of_lists_and_ids_of_both_sides(spark):
     assert {r["path"] for r in jsonl.last_generation(files).collect()} == {"new", "tied", "only"}
     times = spark.createDataFrame([(None, 10.0), (10.0, 20.0), (10.0, 3610.0), (10.0, 3611.0)], "e double, f double")
     assert [r[0] for r in times.select(guards.effective_time(F.col("e"), F.col("f"))).collect()] == [10.0, 20.0, 3610.0, 10.0]
+
+
+def test_choices_of_performance_and_skills(spark):
+    records = spark.createDataFrame([(1, "t", "m", None), (2, "t", None, "m"), (3, "u", "m", "m"), (4, None, None, None)], "k int, turn_id string, message_id string, response_id string")
+    kept = lambda *choice: [r["k"] for r in filters.select_performance(records, *choice).orderBy("k").collect()]
+    assert kept() == [1, 2, 3, 4] and kept("t") == [1, 2] and kept(None, "m") == [1, 2, 3] and kept("t", "x") == [1, 2] and kept("x") == []
+    uses = spark.createDataFrame([(1, "explicit"), (2, "auto"), (3, None)], "k int, trigger string")
+    assert [[r["k"] for r in filters.select_skills(uses, t).orderBy("k").collect()] for t in ("all", "explicit", "passive")] == [[1, 2, 3], [1], [2, 3]]
+    with pytest.raises(ValueError):
+        filters.select_skills(uses, "some")
