@@ -14,7 +14,7 @@ from loglattice.operators import intervals as iv
 from loglattice.plans.ledger import SINCE, UNTIL
 from loglattice.sources import growing
 from loglattice.sources.shared import fresh
-from loglattice.streaming import live
+from loglattice.streaming import framing, live
 
 ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 PROVIDER = "spark.sql.streaming.stateStore.providerClass"
@@ -49,6 +49,14 @@ def window_by_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.select(F.regexp_extract("path", "user_id=(-?[0-9]+)", 1).cast("long").alias("session"), F.get_json_object("raw", "$.event_id").cast("long").alias("event_id"), micros.alias("t"))
 
 
+def feed_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Frames of feeds, one for each user: an event is two lines of data, errors have none, and every seventh frame isn't ended by itself."""
+    rows = _events(spark, sf_dir)
+    lines = F.array(F.concat(F.lit("event: "), F.col("event_type")), F.when(F.col("event_type") != "error", F.lit('data: {"k":')).otherwise(": none"), F.when(F.col("event_type") != "error", F.concat(F.lit("data:"), F.col("k"), F.lit("}"))), F.when(F.col("event_id") % 7 != 0, ""))
+    spread = rows.select(F.col("user_id").alias("session"), "event_id", F.posexplode(lines).alias("at", "raw")).filter("raw is not null")
+    return framing.frames(spread.select("session", (F.col("event_id") * 10 + F.col("at")).alias("pos"), "raw"))
+
+
 def operations(spark: SparkSession, sf_dir: str) -> DataFrame:
     kind = F.col("event_type")
     op = F.when(kind == "click", "upsert").when(kind.isin("view", "purchase"), "append").when(kind == "signup", "remove").when(F.col("k") % 10 == 0, "reset").otherwise("upsert")
@@ -78,7 +86,7 @@ def live_state_streamed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return live.state(spark.read.schema(live.RECORDS).parquet(out)).select("session", "key", "kind", "text")
 
 
-QUERIES = {f.__name__: f for f in (session_files_by_range, window_by_index, live_state_replayed, live_state_streamed)}
+QUERIES = {f.__name__: f for f in (session_files_by_range, window_by_index, feed_frames, live_state_replayed, live_state_streamed)}
 
 _STATE = """
 WITH e AS (SELECT CAST(user_id AS VARCHAR) AS session, event_id AS pos, event_type AS kind, CAST(json_extract(props, '$.k') AS INTEGER) AS k FROM events),
@@ -99,6 +107,12 @@ SELECT session, row_number() OVER w AS pos, CAST(coalesce(sum(strlen(line) + 1)
 FROM l WINDOW w AS (PARTITION BY session ORDER BY event_id)
 """,
     "window_by_index": f"SELECT user_id AS session, event_id, epoch_us(ts) AS t FROM events WHERE epoch_us(ts) BETWEEN {SINCE} AND {UNTIL}",
+    "feed_frames": """
+WITH e AS (SELECT user_id AS session, event_id, event_type <> 'error' AS d, CAST(json_extract(props, '$.k') AS INTEGER) AS k, event_id % 7 <> 0 AS b FROM events),
+g AS (SELECT *, coalesce(sum(b::INT) OVER (PARTITION BY session ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS f FROM e)
+SELECT session, max(event_id) FILTER (b) * 10 + 3 AS pos, string_agg('{"k":' || chr(10) || k || '}', chr(10) ORDER BY event_id) FILTER (d) AS raw, CASE WHEN count(*) FILTER (d) = 1 THEN 'ok' ELSE 'malformed' END AS state
+FROM g GROUP BY session, f HAVING bool_or(b) AND bool_or(d)
+""",
     "live_state_replayed": _STATE,
     "live_state_streamed": _STATE,
 }

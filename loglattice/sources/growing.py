@@ -380,7 +380,12 @@ def numbered(lines: DataFrame, bucket: int = RANGE_BYTES) -> DataFrame:
 
 
 def line_state(raw: Column) -> Column:
-    """``ok``, ``malformed`` or ``non_object``; null for a blank line."""
-    value = F.try_parse_json(raw)
-    state = F.when(F.try_variant_get(value, "$", "variant").isNull(), "malformed").when(~F.schema_of_variant(value).startswith("OBJECT"), "non_object").otherwise("ok")
+    """``ok``, ``malformed`` or ``non_object``; null for a blank line.
+
+    Spark's parser stops after the first value, so it is given a list: what follows the value breaks that.
+    """
+    listed = F.try_parse_json(F.concat(F.lit("["), raw, F.lit("]")))
+    value = F.try_variant_get(listed, "$[0]", "variant")
+    single = value.isNotNull() & F.try_variant_get(listed, "$[1]", "variant").isNull()
+    state = F.when(~single, "malformed").when(~F.schema_of_variant(value).startswith("OBJECT"), "non_object").otherwise("ok")
     return F.when(F.trim(raw) != "", state)

@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from loglattice.sources.growing import line_state
+
 
 def read_lines(spark: SparkSession, path: str) -> DataFrame:
     """``path, generation, pos, raw, state`` of every finished line below ``path``.
@@ -24,9 +26,7 @@ def read_lines(spark: SparkSession, path: str) -> DataFrame:
     lines = F.split("value", "\n", -1)
     finished = F.slice(lines, F.lit(1), F.size(lines) - 1)
     rows = files.select("path", token.alias("generation"), F.posexplode(finished).alias("k", "raw"))
-    value = F.try_parse_json("raw")
-    state = F.when(F.try_variant_get(value, "$", "variant").isNull(), "malformed").when(~F.schema_of_variant(value).startswith("OBJECT"), "non_object").otherwise("ok")
-    return rows.filter(F.trim("raw") != "").select("path", "generation", (F.col("k") + 1).cast("long").alias("pos"), F.regexp_replace("raw", "\r$", "").alias("raw"), state.alias("state"))
+    return rows.filter(F.trim("raw") != "").select("path", "generation", (F.col("k") + 1).cast("long").alias("pos"), F.regexp_replace("raw", "\r$", "").alias("raw"), line_state(F.col("raw")).alias("state"))
 
 
 def discover(spark: SparkSession, path: str) -> DataFrame:

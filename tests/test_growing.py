@@ -185,3 +185,9 @@ def test_index_prunes_to_the_window(spark, tmp_path):
     assert window(3000, 3100)[0] > 10
     lines = growing.read_window(spark, path, index, 3000, 3100, rangeBytes=256)
     assert lines.count() == lines.select("path", "start").distinct().count()
+
+
+def test_states_of_lines(spark):
+    cases = {"{}": "ok", ' {"a": 1} ': "ok", '{"a": 1} x': "malformed", '{"a": 1}{}': "malformed", "{},{}": "malformed", "[1]": "non_object", "null": "non_object", "5": "non_object", "{": "malformed", "x": "malformed", " ": None, '{"a": NaN}': "malformed"}
+    df = spark.createDataFrame([(c,) for c in cases], "raw string")
+    assert {r[0]: r[1] for r in df.select("raw", growing.line_state(F.col("raw"))).collect()} == cases
