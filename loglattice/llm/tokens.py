@@ -2,14 +2,17 @@
 
 The tokenizer drops white space and never joins characters across it, so the
 ids of a text are the ids of its chunks one after another.  A worker encodes a
-chunk once and then looks it up.  The table has a size limit; when it is full
-it keeps the chunks of the current batch and forgets the rest.
+chunk once and then looks it up; a word with punctuation behind it is looked up
+as two, where the tokenizer parts them.  The table has a size limit; when it is
+full it keeps what the current batch uses and forgets the rest.
 """
 
 from __future__ import annotations
 
+import codecs
 import itertools
 import os
+import re
 import string
 import zlib
 from collections.abc import Iterator
@@ -28,19 +31,33 @@ TOKENIZER = "word_bpe_49k.json"
 _ENCODERS: dict[str, ChunkEncoder] = {}
 
 
+#: The letters a-z and those of U+00C0 to U+00FF, of which no two compose.
+_LETTERS = string.ascii_lowercase + "".join(chr(c) for c in range(0xC0, 0x100) if chr(c).isalpha())
+#: A word of these letters, and ASCII punctuation behind it.
+_PUNCTUATED = re.compile(rb"((?:[a-z]++|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])++)([!-/:-@[-`{-~]*+)").fullmatch
+
+
 class _Table(dict):
-    """Numbers chunks in the order in which they are first asked for."""
+    """Numbers chunks in the order in which they are first asked for.
 
-    def __missing__(self, chunk: bytes) -> int:
-        self[chunk] = at = len(self)
-        self.fresh.append(chunk)
-        return at
+    With ``parted``, a word with punctuation behind it has no number of its
+    own: the word's is in its lower 32 bits, one more than the punctuation's in
+    the upper ones.
+    """
 
+    def __init__(self, parted: bool, chunks: list[bytes]) -> None:
+        super().__init__(zip(chunks, range(len(chunks)), strict=True))
+        self.parted, self.entries, self.fresh = parted, len(chunks), []
 
-def _table(chunks: list[bytes]) -> _Table:
-    table = _Table(zip(chunks, range(len(chunks)), strict=True))
-    table.fresh = []
-    return table
+    def __missing__(self, chunk: bytes) -> int:
+        found = self.parted and _PUNCTUATED(chunk)
+        if found and found[2]:
+            at = self[found[1]] | (self[found[2]] + 1) << 32
+        else:
+            at, self.entries = self.entries, self.entries + 1
+            self.fresh.append(chunk)
+        self[chunk] = at
+        return at
 
 
 def _lowered_chunks(text: bytes) -> list[bytes]:
@@ -63,21 +80,39 @@ class ChunkEncoder:
     def __init__(self, name: str = TOKENIZER, table_size: int = 1 << 19) -> None:
         self.tokenizer = Tokenizer.from_file(public_tokenizers.path(name))
         self.table_size = table_size
-        self.table = _table([])
         self.ids = np.zeros(1 << 16, dtype=np.uint32)
         self.ends = np.zeros(1 << 12, dtype=np.int64)  # of entry k, at k + 1
         marks = ((mark, self._plain([mark])[0]) for mark in "\u2605\u2606\u25cf\u2022\u266a")
-        self.letters_whole = self._leaves_letters()
+        self.images = self._letter_images()
+        self.letters_whole = self.images is not None
+        self.table = _Table(self._parts_punctuation(), [])
         self.mark, self.mark_id = next((mark, int(ids[0])) for mark, ids in marks if len(ids) == 1)
 
     def _plain(self, chunks: list[str]) -> list[list[int]]:
         return [x.ids for x in self.tokenizer.encode_batch_fast(chunks, add_special_tokens=False)]
 
-    def _leaves_letters(self) -> bool:
-        """Whether a word of the letters a-z reaches the model as it is."""
-        word, parts = string.ascii_lowercase, (self.tokenizer.normalizer, self.tokenizer.pre_tokenizer)
-        plain = all(parts) and parts[0].normalize_str(word) == word and [x for x, _ in parts[1].pre_tokenize_str(word)] == [word]
-        return plain and not any(x.content.isalpha() for x in self.tokenizer.get_added_tokens_decoder().values())
+    def _pieces(self, text: str) -> list[str]:
+        """What of a text reaches the model."""
+        return [x for x, _ in self.tokenizer.pre_tokenizer.pre_tokenize_str(self.tokenizer.normalizer.normalize_str(text))]
+
+    def _letter_images(self) -> str | None:
+        """The character by which each byte of a word of ``_LETTERS`` reaches the model; nothing where such a word doesn't reach it as one piece, byte by byte."""
+        if not (self.tokenizer.normalizer and self.tokenizer.pre_tokenizer) or any(x.content.isalpha() for x in self.tokenizer.get_added_tokens_decoder().values()):
+            return None
+        images = ["\ufffe"] * 256
+        for letter in _LETTERS:
+            for byte, image in zip(letter.encode(), "".join(self._pieces(letter)), strict=False):
+                images[byte] = image
+        table = "".join(images)
+        words = [*_LETTERS, _LETTERS, _LETTERS[::-1]]
+        return table if all(self._pieces(word) == [codecs.charmap_decode(word.encode(), "strict", table)[0]] for word in words) else None
+
+    def _parts_punctuation(self) -> bool:
+        """Whether words of ``_LETTERS`` and ASCII punctuation behind them are encoded apart."""
+        if not self.letters_whole:
+            return False
+        tails = [string.punctuation, *map("".join, itertools.product(string.punctuation, repeat=2)), *string.punctuation]
+        return all(self._pieces(letter + tail) == [*self._pieces(letter), *self._pieces(tail)] for letter, tail in [*itertools.product("a\u00e9", tails), *itertools.product(_LETTERS, string.punctuation)])
 
     def _marked(self, words: list[str]) -> list[list[int]]:
         """Ids of words that are encoded together, parted by a mark of one id; each alone if one holds the mark itself."""
@@ -94,14 +129,14 @@ class ChunkEncoder:
     def _encode_chunks(self, chunks: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of chunks one after another and the number of each chunk's ids.
 
-        Chunks of the letters a-z go to the tokenizer's model itself where
-        normaliser and pre-tokenizer leave such a word alone; the others are
+        Words of ``_LETTERS`` go to the tokenizer's model itself where
+        normaliser and pre-tokenizer make nothing else of them; the others are
         encoded some at a time, as a long string costs more for each word.
         """
         tokenize, rows, rest = self.tokenizer.model.tokenize, [], []
         for k, chunk in enumerate(chunks):
-            if self.letters_whole and chunk.isalpha() and chunk.islower():
-                rows.append([x.id for x in tokenize(chunk.decode())])
+            if self.letters_whole and (found := _PUNCTUATED(chunk)) and not found[2]:
+                rows.append([x.id for x in tokenize(codecs.charmap_decode(chunk, "strict", self.images)[0])])
             else:
                 rows.append([])
                 rest.append(k)
@@ -112,9 +147,11 @@ class ChunkEncoder:
         return np.fromiter(itertools.chain.from_iterable(rows), dtype=np.uint32), np.array([len(row) for row in rows], dtype=np.int64)
 
     def _forget(self, chunks: list[bytes]) -> None:
-        keep = list({c for c in chunks if c in self.table})
-        ids, ends = self._gather(np.array([self.table[c] for c in keep], dtype=np.int64))
-        self.table = _table(keep)
+        used = np.zeros(self.table.entries, dtype=bool)
+        used[self._entries(np.array([self.table[c] for c in set(chunks) if c in self.table], dtype=np.int64))[0]] = True
+        keep = [c for c, at in self.table.items() if at < len(used) and used[at]]
+        ids, ends = self._gather(np.flatnonzero(used))
+        self.table = _Table(self.table.parted, keep)
         self.ids = np.r_[ids, np.zeros(1 << 16, dtype=np.uint32)]
         self.ends = np.r_[0, ends, np.zeros(1 << 12, dtype=np.int64)]
 
@@ -135,20 +172,29 @@ class ChunkEncoder:
         stop = np.cumsum(sizes)
         return self.ids[np.arange(stop[-1] if len(stop) else 0) + np.repeat(begin - (stop - sizes), sizes)], stop
 
+    def _entries(self, numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Table entries of chunks one after another, and where each chunk's end lies among them."""
+        tails = numbers >> 32
+        ends = np.arange(1, len(numbers) + 1) + np.cumsum(tails > 0)
+        entries = np.empty(ends[-1] if len(ends) else 0, dtype=np.int64)
+        entries[ends - 1] = tails - 1
+        entries[ends - 1 - (tails > 0)] = numbers & 0xFFFFFFFF
+        return entries, ends
+
     def encode(self, texts: list[bytes]) -> list[np.ndarray]:
         """Ids of each UTF-8 text."""
         split = [_lowered_chunks(text) for text in texts]
         chunks = [c for row in split for c in row]
         if len(self.table) > self.table_size:
             self._forget(chunks)
-        have = len(self.table)
-        places = list(map(self.table.__getitem__, chunks))
+        have = self.table.entries
+        numbers = np.fromiter(map(self.table.__getitem__, chunks), dtype=np.int64, count=len(chunks))
         fresh, self.table.fresh = self.table.fresh, []
         for k in range(0, len(fresh), 1000):
             self._add(fresh[k : k + 1000], have + k)
-        ids, stop = self._gather(np.array(places, dtype=np.int64))
-        stop = np.r_[0, stop]
-        cuts = stop[np.cumsum([0, *map(len, split)])]
+        entries, ends = self._entries(numbers)
+        ids, stop = self._gather(entries)
+        cuts = np.r_[0, stop][np.r_[0, ends][np.cumsum([0, *map(len, split)])]]
         return [ids[a:b] for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
 
 

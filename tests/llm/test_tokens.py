@@ -29,3 +29,26 @@ def test_forgetting_keeps_ids():
     small = ChunkEncoder(table_size=10)
     for text in ("one two three four", "five six, seven ate nine ten eleven", "one twelve two thirteen", ""):
         assert small.encode([text.encode()])[0].tolist() == small.tokenizer.encode(text, add_special_tokens=False).ids
+
+
+def test_punctuation_behind_a_word_costs_no_encoding():
+    fresh, added, plain = ChunkEncoder(), [], []
+    encode, whole = fresh._encode_chunks, fresh._plain
+    fresh._encode_chunks = lambda chunks: added.extend(chunks) or encode(chunks)
+    fresh._plain = lambda texts: plain.extend(texts) or whole(texts)
+    text = "Word word, word. word!! straße straße; straße.### Été, ÉTÉ"
+    assert fresh.encode([text.encode()])[0].tolist() == fresh.tokenizer.encode(text, add_special_tokens=False).ids
+    assert sorted(c.decode() for c in added if c.decode()[-1].isalpha()) == ["straße", "word", "ÉtÉ", "Été"]
+    assert not any(letter in some for some in plain for letter in "wordß")
+
+
+def test_same_ids_with_accents_and_punctuation():
+    rng = random.Random(5)
+    stems = ["".join(rng.choice("abcdeABCDE" + "".join(map(chr, range(0xA1, 0x180)))) for _ in range(rng.randint(1, 6))) for _ in range(400)]
+    tails = ["".join(rng.choice("!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~") for _ in range(rng.randint(0, 4))) for _ in range(400)]
+    texts = [" ".join(a + b for a, b in zip(stems[k : k + 20], tails[k : k + 20], strict=True)) for k in range(0, 400, 20)]
+    texts += ["it's IT'S it' its' it's, 'tis don'tx l'd,", "a× ×a ÷, é÷, Éß× ßſ, µ, ª. º", "é, É. ≠ a≠ ç,", "one<|endoftext|> one<| one|> <|startoftext|>, é<|endoftext|>É,"]
+    texts += ["a\x1cb, a\x00, a\x7f. é , É　x. 中, 中文。 ё. Σ, ΑΣ. İ, ǅ. 1, a1, 1a, ½, a½."]
+    for encoder in (ChunkEncoder(), ChunkEncoder(table_size=10)):
+        for text in texts * 2:
+            assert encoder.encode([text.encode()])[0].tolist() == encoder.tokenizer.encode(text, add_special_tokens=False).ids
