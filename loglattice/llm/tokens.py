@@ -80,14 +80,19 @@ class ChunkEncoder:
     def __init__(self, name: str = TOKENIZER, table_size: int = 1 << 19) -> None:
         self.tokenizer = Tokenizer.from_file(public_tokenizers.path(name))
         self.table_size = table_size
-        self.ids = np.zeros(1 << 16, dtype=np.uint32)
-        self.ends = np.zeros(1 << 12, dtype=np.int64)  # of entry k, at k + 1
         marks = ((mark, self._plain([mark])[0]) for mark in "\u2605\u2606\u25cf\u2022\u266a")
         self.images = self._letter_images()
         self.letters_whole = self.images is not None
-        self.table = _Table(self._parts_punctuation(), [])
+        self.parted = self._parts_punctuation()
+        self.clear()
         self.mark, self.mark_id = next((mark, int(ids[0])) for mark, ids in marks if len(ids) == 1)
 
+    def clear(self) -> None:
+        """Forgets all chunks."""
+        self.table = _Table(self.parted, [])
+        self.ids = np.zeros(1 << 16, dtype=np.uint32)
+        self.ends = np.zeros(1 << 12, dtype=np.int64)  # of entry k, at k + 1
+
     def _plain(self, chunks: list[str]) -> list[list[int]]:
         return [x.ids for x in self.tokenizer.encode_batch_fast(chunks, add_special_tokens=False)]
 
@@ -151,7 +156,7 @@ class ChunkEncoder:
         used[self._entries(np.array([self.table[c] for c in set(chunks) if c in self.table], dtype=np.int64))[0]] = True
         keep = [c for c, at in self.table.items() if at < len(used) and used[at]]
         ids, ends = self._gather(np.flatnonzero(used))
-        self.table = _Table(self.table.parted, keep)
+        self.table = _Table(self.parted, keep)
         self.ids = np.r_[ids, np.zeros(1 << 16, dtype=np.uint32)]
         self.ends = np.r_[0, ends, np.zeros(1 << 12, dtype=np.int64)]
 
@@ -206,14 +211,18 @@ def encoder(name: str = TOKENIZER) -> ChunkEncoder:
 
 
 def encoded(batches: Iterator[pa.RecordBatch], name: str, end_id: int, id_col: str = "doc_id", text_col: str = "text") -> Iterator[tuple[int | None, np.ndarray]]:
-    """``(doc_id, ids with the end id)`` of every row; a null text is empty."""
-    encode = encoder(name).encode
+    """``(doc_id, ids with the end id)`` of every row; a null text is empty.
+
+    The table is given up at the end, as the worker may serve another stage next.
+    """
+    chunks = encoder(name)
     for batch in small_batches(batches, text_col, 4 << 20):
         raw, offsets = string_buffers(batch.column(text_col))
         data = raw.tobytes()
-        rows = encode([data[a:b] for a, b in zip(offsets[:-1], offsets[1:], strict=True)])
+        rows = chunks.encode([data[a:b] for a, b in zip(offsets[:-1], offsets[1:], strict=True)])
         for key, ids in zip(batch.column(id_col).to_pylist(), rows, strict=True):
             yield key, np.append(ids, np.uint32(end_id))
+    chunks.clear()
 
 
 def ids_crc32(ids: np.ndarray) -> int:

@@ -1,7 +1,9 @@
 import random
 
+import pyarrow as pa
 import pytest
 
+from loglattice.llm import tokens
 from loglattice.llm.tokens import ChunkEncoder
 
 
@@ -52,3 +54,11 @@ def test_same_ids_with_accents_and_punctuation():
     for encoder in (ChunkEncoder(), ChunkEncoder(table_size=10)):
         for text in texts * 2:
             assert encoder.encode([text.encode()])[0].tolist() == encoder.tokenizer.encode(text, add_special_tokens=False).ids
+
+
+def test_a_task_leaves_no_table_behind():
+    batch = pa.RecordBatch.from_pydict({"doc_id": [1, 2], "text": ["some words, été!", None]})
+    ids = [(key, row.tolist()) for key, row in tokens.encoded(iter([batch, batch]), tokens.TOKENIZER, 1)]
+    left = tokens.encoder(tokens.TOKENIZER)
+    assert ids == 2 * [(1, [*left.tokenizer.encode("some words, été!", add_special_tokens=False).ids, 1]), (2, [1])]
+    assert not left.table and left.ids.nbytes + left.ends.nbytes < 1 << 19
