@@ -7,13 +7,13 @@ away, and some errors reset the session.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loglattice.operators import intervals as iv
 from loglattice.plans.ledger import SINCE, UNTIL
 from loglattice.sources import growing
-from loglattice.sources.shared import fresh
+from loglattice.sources.shared import fresh, settle
 from loglattice.streaming import framing, live
 
 ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
@@ -24,15 +24,25 @@ def _events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/events.parquet").withColumn("k", F.get_json_object("props", "$.k").cast("int"))
 
 
+def _write_files(rows: DataFrame, order: list[str], folder: str) -> None:
+    """A file for each user, whose lines are in ``order``; users without an id are one."""
+    name = F.concat(F.lit("user_id="), F.coalesce(F.col("user_id").cast("string"), F.lit("")), F.lit(".txt"))
+    growing.write_files(rows.repartition("user_id").sortWithinPartitions("user_id", *order).select(name.alias("name"), "line"), folder)
+
+
+def _session() -> Column:
+    return F.nullif(F.regexp_extract("path", "user_id=(-?[0-9]*)", 1), F.lit("")).cast("long")
+
+
 def session_files_by_range(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every line of one file for each session, read by byte ranges and numbered: its place, its bytes, what it holds and whether it is well formed."""
     line = F.when(F.col("event_type") == "error", F.lit("{broken")).when(F.col("event_type") == "signup", F.lit("[1]")).otherwise(F.to_json(F.struct("event_id", "event_type", "k")))
     rows = _events(spark, sf_dir).select("user_id", "event_id", line.alias("line"))
     folder = fresh(spark, "session-files")
-    rows.repartition("user_id").sortWithinPartitions("user_id", "event_id").select("user_id", "line").write.partitionBy("user_id").text(folder)
-    lines = growing.numbered(growing.read(spark, folder, pattern="*.txt", rangeBytes=1 << 20), 1 << 20)
+    _write_files(rows, ["event_id"], folder)
+    lines = growing.numbered(settle(growing.read(spark, folder, pattern="*.txt", rangeBytes=1 << 20), "session-lines"), 1 << 20)
     return lines.select(
-        F.regexp_extract("path", "user_id=(-?[0-9]+)", 1).cast("long").alias("session"), "pos", "start", growing.line_state(F.col("raw")).alias("state"),
+        _session().alias("session"), "pos", "start", growing.line_state(F.col("raw")).alias("state"),
         F.get_json_object("raw", "$.event_id").cast("long").alias("event_id"), F.get_json_object("raw", "$.event_type").alias("event_type"),
     )
 

@@ -5,7 +5,8 @@ Batch and stream give the same rows: ``path, generation, start, kind, raw``, whe
 them; what follows the last end, and a carriage return that a line feed may still
 follow, is held back.  A file is cut into byte ranges of ``rangeBytes``; a range owns
 the lines that begin in it, so one large file is read by many tasks, and no task or
-driver holds a file whole.
+driver holds a file whole.  Ranges of small files are read by one task until they have
+``rangeBytes`` or ``FILES`` together.
 
 A stream's offset is the number of a manifest in the folder of the option ``state``.
 A manifest has, for each file, its generation, the bytes read so far, a checksum of
@@ -15,6 +16,9 @@ kind ``reset`` comes before its lines, and it is read from the start.  A file th
 goes away gives a ``reset`` row only.  The planner reads some kilobytes of a file
 whose size or time has changed, and nothing of the others.
 
+The planner of a batch only lists files that are no longer than a range; where their
+lines end is found by the tasks that read them, from the size that was listed.
+
 A sidecar index (:func:`build_index`) has the least and greatest time of every block of
 bytes.  A batch read with the options ``index``, ``since`` and ``until`` (microseconds,
 both ends belong to the window) reads the blocks whose times meet the window, blocks
@@ -30,14 +34,16 @@ from __future__ import annotations
 
 import fnmatch
 import hashlib
+import io
 import json
 from collections.abc import Iterator
-from dataclasses import asdict, dataclass
+from dataclasses import asdict, dataclass, field
 
 import pyarrow as pa
 import pyarrow.compute as pc
 import pyarrow.dataset
 from pyarrow import fs
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStreamReader, InputPartition
@@ -49,6 +55,8 @@ RANGE_BYTES = 32 << 20
 HEAD_BYTES = 4 << 10
 #: Bytes read at once.
 CHUNK = 1 << 20
+#: Ranges of small files that one task reads.
+FILES = 256
 #: Manifests kept behind the last committed one, for batches that run again.
 KEPT_MANIFESTS = 16
 
@@ -93,11 +101,13 @@ def last_line_start(handle, end: int) -> int:
 def lines_between(handle, lower: int, upper: int, end: int) -> Iterator[tuple[int, bytes]]:
     """``start, line`` of the lines that begin in ``[lower, upper)``; ``end`` is where the file's finished lines end."""
     at = place = max(0, lower - 1)  # the byte before tells whether a line begins at ``lower``
-    held = b""
+    held, beyond = b"", HEAD_BYTES
     while at < end:
-        chunk = _read(handle, at, min(end, at + CHUNK))
+        chunk = _read(handle, at, min(end, at + CHUNK, max(upper, at + beyond)))
         if not chunk:
             raise OSError("a file became shorter while it was read")
+        if at >= upper:  # the rest of the last line, in steps that grow
+            beyond *= 2
         at += len(chunk)
         lines = (held + chunk).splitlines(keepends=True)
         held = lines.pop() if at < end and not lines[-1].endswith(b"\n") else b""
@@ -125,6 +135,32 @@ class Range(InputPartition):
     reset: bool = False
 
 
+@dataclass(frozen=True)
+class Indexed:
+    """What an index holds of a file: where its last line ends it, checksums of its first and last line, and spans of blocks that a window may need."""
+
+    upper: int
+    head: str
+    tail: str
+    spans: list[tuple[int, int]] = field(default_factory=list)
+
+
+@dataclass(frozen=True)
+class Small(InputPartition):
+    """A file no longer than a range; the task that reads it finds its ranges."""
+
+    path: str
+    size: int
+    indexed: Indexed | None
+
+
+@dataclass(frozen=True)
+class Bundle(InputPartition):
+    """What one task reads, one after another."""
+
+    parts: list[Range | Small]
+
+
 @dataclass
 class Known:
     """What a manifest holds of a file."""
@@ -162,36 +198,87 @@ class _Files:
     def open(self, path: str):
         return self._system()[0].open_input_file(path)
 
-    def ranges(self, path: str, generation: int, start: int, end: int, reset: bool = False) -> list[Range]:
-        cuts = [*range(start, end, self.range_bytes), end]
+    def ranges(self, path: str, generation: int, start: int, stop: int, reset: bool = False, end: int | None = None) -> list[Range]:
+        """Ranges of ``[start, stop)``; ``end``, if the file's finished lines end elsewhere than at ``stop``."""
+        end = stop if end is None else end
+        cuts = [*range(start, stop, self.range_bytes), stop]
         found = [Range(path, generation, a, b, end, reset and a == start) for a, b in zip(cuts, cuts[1:], strict=False)]
         return found or ([Range(path, generation, start, start, start, True)] if reset else [])
 
-    def rows(self, part: Range | None) -> Iterator[pa.RecordBatch]:
+    def now(self, path: str, handle, size: int, indexed: Indexed | None) -> list[Range]:
+        """Ranges of a file's finished lines, of an indexed one those that the window may need and those after the indexed ones."""
+        end = committed_end(handle, size)
+        if indexed is None or end < indexed.upper:
+            return self.ranges(path, 1, 0, end)
+        for at, told in ((0, indexed.head), (indexed.upper - 1, indexed.tail)):
+            start, line = next(lines_between(handle, at, at + 1, end), (-1, b""))
+            if start != at or _sha(line.rstrip(b"\r\n").decode("utf-8", "replace").encode()) != told:
+                return self.ranges(path, 1, 0, end)
+        # The index ends with the beginning of its last line; lines after that one are new.
+        joined: list[list[int]] = []
+        for lower, upper in [*((a, min(b, indexed.upper)) for a, b in sorted(indexed.spans)), (indexed.upper, end)]:
+            if joined and joined[-1][1] == lower:
+                joined[-1][1] = upper
+            else:
+                joined.append([lower, upper])
+        return [x for lower, upper in joined for x in self.ranges(path, 1, lower, upper, end=end)]
+
+    def bundled(self, parts: list[Range | Small]) -> list[Range | Small | Bundle]:
+        """``parts`` put together to tasks."""
+        held: list[list[Range | Small]] = []
+        full, files = 0, 0
+        for part in parts:
+            n = part.size if isinstance(part, Small) else part.upper - part.lower
+            if not held or full + n > self.range_bytes or files == FILES:
+                held.append([])
+                full, files = 0, 0
+            held[-1].append(part)
+            full, files = full + n, files + 1
+        return [x[0] if len(x) == 1 else Bundle(x) for x in held]
+
+    def pieces(self, part: Range | Small | Bundle, system: fs.FileSystem) -> Iterator[tuple[Range, object]]:
+        """Ranges of ``part``, each with its file; none is opened for a range without bytes."""
+        for one in part.parts if isinstance(part, Bundle) else [part]:
+            if isinstance(one, Range) and one.upper <= one.lower:
+                yield one, None
+                continue
+            with system.open_input_file(one.path) as handle:
+                if isinstance(one, Range):
+                    yield one, handle
+                    continue
+                if one.size <= CHUNK:  # read at once
+                    data = _read(handle, 0, one.size)
+                    if len(data) < one.size:
+                        raise OSError("a file became shorter while it was read")
+                    held = io.BytesIO(data)
+                else:
+                    held = handle
+                for found in self.now(one.path, held, one.size, one.indexed):
+                    yield found, held
+
+    def rows(self, part: Range | Small | Bundle | None) -> Iterator[pa.RecordBatch]:
         if part is None:  # nothing to read
             return
-        kinds = [pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()]
-
-        def batch(starts: list[int], kind: str, raw: list[str | None]) -> pa.RecordBatch:
-            n = len(starts)
-            columns = [[part.path] * n, [part.generation] * n, starts, [kind] * n, raw]
-            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["path", "generation", "start", "kind", "raw"])
-
-        if part.reset:
-            yield batch([-1], "reset", [None])
-        if part.upper <= part.lower:
-            return
-        starts, raw, size = [], [], 0
-        with self.open(part.path) as handle:
-            for start, line in lines_between(handle, part.lower, part.upper, part.end):
-                starts.append(start)
-                raw.append(line.rstrip(b"\r\n").decode("utf-8", "replace"))
-                size += len(line)
+        names, kinds = ["path", "generation", "start", "kind", "raw"], [pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()]
+        rows, size = [], 0
+
+        def batch() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
+
+        for piece, handle in self.pieces(part, self._system()[0]):
+            path, generation = piece.path, piece.generation
+            if piece.reset:
+                rows.append((path, generation, -1, "reset", None))
+            if handle is None:
+                continue
+            for start, line in lines_between(handle, piece.lower, piece.upper, piece.end):
+                rows.append((path, generation, start, "line", line.rstrip(b"\r\n").decode("utf-8", "replace")))
+                size += len(line) + len(path)
                 if size >= CHUNK:
-                    yield batch(starts, "line", raw)
-                    starts, raw, size = [], [], 0
-        if starts:
-            yield batch(starts, "line", raw)
+                    yield batch()
+                    rows, size = [], 0
+        if rows:
+            yield batch()
 
 
 class GrowingReader(DataSourceReader):
@@ -201,41 +288,33 @@ class GrowingReader(DataSourceReader):
         self.files = _Files(options)
         self.index, self.since, self.until = options.get("index"), int(options.get("since", -(1 << 62))), int(options.get("until", 1 << 62))
 
-    def _blocks(self) -> dict[str, list[dict]]:
-        """Indexed files: their blocks that the window may need, and one entry for the whole file."""
+    def _indexed(self) -> dict[str, Indexed]:
+        """Indexed files, with the blocks that the window may need."""
         system, top = fs.FileSystem.from_uri(self.index)
         held = pyarrow.dataset.dataset(top, filesystem=system, format="parquet")
-        wanted = (pc.field("kind") == "file") | pc.is_null(pc.field("lowest")) | ((pc.field("lowest") <= self.until) & (pc.field("highest") >= self.since))
-        found: dict[str, list[dict]] = {}
-        for row in held.to_table(filter=wanted).to_pylist():
-            found.setdefault(row["path"], []).append(row)
+        blocks = (pc.field("kind") == "block") & (pc.is_null(pc.field("lowest")) | ((pc.field("lowest") <= self.until) & (pc.field("highest") >= self.since)))
+        columns = lambda names, wanted: zip(*[c.to_pylist() for c in held.to_table(names, filter=wanted).columns], strict=True)
+        found = {path: Indexed(upper, head, tail) for path, upper, head, tail in columns(["path", "upper", "head", "tail"], pc.field("kind") == "file")}
+        for path, lower, upper in columns(["path", "lower", "upper"], blocks):
+            found[path].spans.append((lower, upper))
         return found
 
-    def _wanted(self, path: str, end: int, handle, rows: list[dict]) -> list[Range]:
-        whole = next((r for r in rows if r["kind"] == "file"), None)
-        if whole is None or end < whole["upper"]:
-            return self.files.ranges(path, 1, 0, end)
-        for at, told in ((0, whole["head"]), (whole["upper"] - 1, whole["tail"])):
-            start, line = next(lines_between(handle, at, at + 1, end), (-1, b""))
-            if start != at or _sha(line.rstrip(b"\r\n").decode("utf-8", "replace").encode()) != told:
-                return self.files.ranges(path, 1, 0, end)
-        found = [Range(path, 1, r["lower"], min(r["upper"], whole["upper"]), end) for r in sorted(rows, key=lambda r: r["lower"]) if r["kind"] == "block"]
-        # The index ends with the beginning of its last line; lines after that one are new.
-        return found + self.files.ranges(path, 1, whole["upper"], end)
-
-    def partitions(self) -> list[Range]:
-        found, known = [], self._blocks() if self.index else {}
+    def partitions(self) -> list[Range | Small | Bundle]:
+        found, known = [], self._indexed() if self.index else {}
         for path, (size, _) in sorted(self.files.listed().items()):
-            with self.files.open(path) as handle:
-                end = committed_end(handle, size)
-                found += self._wanted(path, end, handle, known[path]) if path in known else self.files.ranges(path, 1, 0, end)
-        return found
+            if size > self.files.range_bytes:
+                with self.files.open(path) as handle:
+                    found += self.files.now(path, handle, size, known.get(path))
+            elif size:
+                found.append(Small(path, size, known.get(path)))
+        return self.files.bundled(found)
 
     def planned_bytes(self) -> int:
         """Bytes that the plan's ranges have together."""
-        return sum(part.upper - part.lower for part in self.partitions())
+        system = fs.FileSystem.from_uri(self.files.where)[0]
+        return sum(piece.upper - piece.lower for part in self.partitions() for piece, _ in self.files.pieces(part, system))
 
-    def read(self, partition: Range) -> Iterator[pa.RecordBatch]:
+    def read(self, partition: Range | Small | Bundle) -> Iterator[pa.RecordBatch]:
         return self.files.rows(partition)
 
 
@@ -304,7 +383,7 @@ class GrowingStream(DataSourceStreamReader):
             self._store(number, now)
         return {"manifest": number}
 
-    def partitions(self, start: dict, end: dict) -> list[Range]:
+    def partitions(self, start: dict, end: dict) -> list[Range | Small | Bundle]:
         before, now, found = self._load(start["manifest"]), self._load(end["manifest"]), []
         for path, known in sorted(now.items()):
             old = before.get(path)
@@ -312,9 +391,9 @@ class GrowingStream(DataSourceStreamReader):
                 found += self.files.ranges(path, known.generation, old.end if old else 0, known.end, old is None and known.generation > 1)
             else:
                 found += self.files.ranges(path, known.generation, 0, known.end, True)
-        return found
+        return self.files.bundled(found)
 
-    def read(self, partition: Range) -> Iterator[pa.RecordBatch]:
+    def read(self, partition: Range | Small | Bundle) -> Iterator[pa.RecordBatch]:
         return self.files.rows(partition)
 
     def commit(self, end: dict) -> None:
@@ -353,6 +432,43 @@ def follow(spark: SparkSession, path: str, state: str, **options: str | int) ->
     return spark.readStream.format("growing_lines").options(state=state, **options).load(path)
 
 
+def write_files(lines: DataFrame, folder: str) -> None:
+    """Writes ``lines(name, line)`` to a file for each name; rows of a name lie in one partition, one after another.
+
+    Spark's own writer takes some 16 ms a file on a local disk.  A file gets its name when it is finished; a task that fails leaves at most one under another name.
+    """
+
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        system, top = fs.FileSystem.from_uri(folder)
+        context = TaskContext.get()
+        place, attempt = f"{top}/{context.partitionId():05d}", context.taskAttemptId()
+        held, out = None, None
+
+        def finish() -> None:
+            if out is not None:
+                out.close()
+                system.move(f"{place}/{held}.{attempt}", f"{place}/{held}")
+
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            runs = pc.run_end_encode(batch.column(0))
+            ends = runs.run_ends.to_pylist()
+            texts = pc.binary_join(pa.ListArray.from_arrays(pa.array([0, *ends], pa.int32()), batch.column(1).cast(pa.string()).fill_null("")), "\n")
+            for name, text in zip(runs.values.to_pylist(), texts, strict=True):
+                if name != held:
+                    finish()
+                    if held is None:
+                        system.create_dir(place, recursive=True)
+                    held, out = name, system.open_output_stream(f"{place}/{name}.{attempt}")
+                out.write(text.as_buffer())
+                out.write(b"\n")
+        finish()
+        yield from ()
+
+    lines.select("name", "line").mapInArrow(write, "none int").write.format("noop").mode("overwrite").save()
+
+
 def build_index(lines: DataFrame, micros: Column, folder: str, block: int = RANGE_BYTES) -> None:
     """Writes the index of ``lines`` to ``folder``; ``micros`` is a line's time, null if it has none.
 

@@ -6,8 +6,10 @@ import os
 import random
 
 import pytest
+from oracle import TABLES, differences
 from pyspark.sql import functions as F
 
+from loglattice.plans import registry
 from loglattice.sources import growing
 
 
@@ -191,3 +193,51 @@ def test_states_of_lines(spark):
     cases = {"{}": "ok", ' {"a": 1} ': "ok", '{"a": 1} x': "malformed", '{"a": 1}{}': "malformed", "{},{}": "malformed", "[1]": "non_object", "null": "non_object", "5": "non_object", "{": "malformed", "x": "malformed", " ": None, '{"a": NaN}': "malformed"}
     df = spark.createDataFrame([(c,) for c in cases], "raw string")
     assert {r[0]: r[1] for r in df.select("raw", growing.line_state(F.col("raw"))).collect()} == cases
+
+
+def small_files(folder, n=300):
+    """Files of some lines each, the last of them cut off; what is finished of every file."""
+    folder.mkdir()
+    for k in range(n):
+        (folder / f"{k:03d}.jsonl").write_text(timed_lines(k % 4, 10 * (k + 1)) + '{"t": ')
+    return {f"{k:03d}.jsonl": finished((folder / f"{k:03d}.jsonl").read_bytes())[0] for k in range(n)}
+
+
+def test_small_files_share_tasks_and_are_not_opened_by_the_planner(spark, tmp_path, monkeypatch):
+    want = small_files(tmp_path / "in")
+    lines = growing.read(spark, f"file://{tmp_path}/in")
+    assert lines.rdd.getNumPartitions() == 2  # 300 files
+    got = {}
+    for r in lines.collect():
+        got.setdefault(os.path.basename(r["path"]), []).append((r["start"], r["raw"]))
+    assert {name: sorted(got.get(name, [])) for name in want} == want
+    monkeypatch.setattr(growing._Files, "open", None)
+    options = {"path": f"file://{tmp_path}/in"}
+    assert [len(p.parts) for p in growing.GrowingReader(options).partitions()] == [256, 44]
+    assert len(growing.GrowingReader(options | {"rangeBytes": "100"}).partitions()) > 50
+    monkeypatch.undo()
+    stream = growing.GrowingStream(options | {"state": f"file://{tmp_path}/state"})
+    assert len(stream.partitions(stream.initialOffset(), stream.latestOffset())) == 1  # files without a finished line have no range
+
+
+def test_files_are_written_under_their_names(spark, tmp_path):
+    rows = [(f"n{k % 7}.txt", k, None if k == 9 else "é" * (k % 5)) for k in range(100)] + [("one.txt", 0, "")]
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 3)
+    try:
+        growing.write_files(spark.createDataFrame(rows, "name string, k int, line string").repartition(2, "name").sortWithinPartitions("name", "k"), f"file://{tmp_path}/out")
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    want = {}
+    for name, _, line in rows:
+        want[name] = want.get(name, "") + (line or "") + "\n"
+    assert {p.name: p.read_text() for p in (tmp_path / "out").glob("*/*")} == want
+
+
+def test_files_of_users_without_an_id(spark, small, tmp_path):
+    for name in TABLES:
+        (tmp_path / f"{name}.parquet").symlink_to(f"{small}/{name}.parquet")
+    (tmp_path / "events.parquet").unlink()
+    events = spark.read.parquet(f"{small}/events.parquet")
+    events.withColumn("user_id", F.when(F.col("user_id") > 2, F.col("user_id") - 9)).coalesce(1).toPandas().to_parquet(tmp_path / "events.parquet", coerce_timestamps="us")
+    name = "session_files_by_range"
+    assert differences(registry.queries()[name](spark, str(tmp_path)), registry.oracle_sql()[name], str(tmp_path)) == []
