@@ -52,11 +52,11 @@ def window_by_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     ts = iv.micros("ts")
     rows = spark.read.parquet(f"{sf_dir}/events.parquet").select("user_id", "event_id", ts.alias("t"), F.to_json(F.struct("event_id", ts.alias("t"))).alias("line"))
     folder, index = fresh(spark, "session-files"), fresh(spark, "session-index")
-    rows.repartition("user_id").sortWithinPartitions("user_id", "t", "event_id").select("user_id", "line").write.partitionBy("user_id").text(folder)
+    _write_files(rows, ["t", "event_id"], folder)
     micros = F.get_json_object("raw", "$.t").cast("long")
     growing.build_index(growing.read(spark, folder, pattern="*.txt"), micros, index, block=1 << 12)
     lines = growing.read_window(spark, folder, index, SINCE, UNTIL, pattern="*.txt").filter(micros.between(SINCE, UNTIL))
-    return lines.select(F.regexp_extract("path", "user_id=(-?[0-9]+)", 1).cast("long").alias("session"), F.get_json_object("raw", "$.event_id").cast("long").alias("event_id"), micros.alias("t"))
+    return lines.select(_session().alias("session"), F.get_json_object("raw", "$.event_id").cast("long").alias("event_id"), micros.alias("t"))
 
 
 def feed_frames(spark: SparkSession, sf_dir: str) -> DataFrame:

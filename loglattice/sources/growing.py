@@ -49,6 +49,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStreamReader, InputPartition
 
 from loglattice.operators.ordered import running_sum
+from loglattice.sources.shared import settle
 
 SCHEMA = "path string, generation long, start long, kind string, raw string"
 RANGE_BYTES = 32 << 20
@@ -475,12 +476,16 @@ def build_index(lines: DataFrame, micros: Column, folder: str, block: int = RANG
     One row for each block of bytes in which lines begin, and one for each file with where its last line begins and checksums of its first and last.
     """
     timed = lines.filter("kind = 'line'").withColumn("t", micros)
-    blocks = timed.groupBy("path", F.floor(F.col("start") / block).alias("b")).agg(F.min("t").alias("lowest"), F.max("t").alias("highest"), F.count(F.lit(1)).alias("n"), F.count("t").alias("timed"))
+    # Both kinds of rows come from the blocks, so the files are read once.
+    blocks = settle(timed.groupBy("path", F.floor(F.col("start") / block).alias("b")).agg(
+        F.min("t").alias("lowest"), F.max("t").alias("highest"), F.count(F.lit(1)).alias("n"), F.count("t").alias("timed"),
+        F.max("start").alias("last"), F.sha2(F.min_by("raw", "start"), 256).alias("head"), F.sha2(F.max_by("raw", "start"), 256).alias("tail"),
+    ), "index-blocks")
     # A block that holds a line without a time is always read.
     sometimes = lambda c: F.when(F.col("n") == F.col("timed"), F.col(c)).alias(c)
     none = F.lit(None).cast("long")
     rows = blocks.select("path", F.lit("block").alias("kind"), (F.col("b") * block).alias("lower"), ((F.col("b") + 1) * block).alias("upper"), sometimes("lowest"), sometimes("highest"), *[F.lit(None).cast("string").alias(c) for c in ("head", "tail")])
-    files = timed.groupBy("path").agg(F.max("start").alias("last"), F.sha2(F.min_by("raw", "start"), 256).alias("head"), F.sha2(F.max_by("raw", "start"), 256).alias("tail"))
+    files = blocks.groupBy("path").agg(F.max("last").alias("last"), F.min_by("head", "b").alias("head"), F.max_by("tail", "b").alias("tail"))
     whole = files.select("path", F.lit("file").alias("kind"), F.lit(0).cast("long").alias("lower"), (F.col("last") + 1).alias("upper"), none.alias("lowest"), none.alias("highest"), "head", "tail")
     rows.unionByName(whole).write.mode("overwrite").parquet(folder)
 

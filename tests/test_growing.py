@@ -239,5 +239,21 @@ def test_files_of_users_without_an_id(spark, small, tmp_path):
     (tmp_path / "events.parquet").unlink()
     events = spark.read.parquet(f"{small}/events.parquet")
     events.withColumn("user_id", F.when(F.col("user_id") > 2, F.col("user_id") - 9)).coalesce(1).toPandas().to_parquet(tmp_path / "events.parquet", coerce_timestamps="us")
-    name = "session_files_by_range"
-    assert differences(registry.queries()[name](spark, str(tmp_path)), registry.oracle_sql()[name], str(tmp_path)) == []
+    for name in ("session_files_by_range", "window_by_index"):
+        assert differences(registry.queries()[name](spark, str(tmp_path)), registry.oracle_sql()[name], str(tmp_path)) == []
+
+
+def test_window_over_small_files_shares_tasks(spark, tmp_path, monkeypatch):
+    small_files(tmp_path / "in")
+    (tmp_path / "in" / "long.jsonl").write_text(timed_lines(400))
+    path, index, micros = f"file://{tmp_path}/in", f"file://{tmp_path}/index", F.get_json_object("raw", "$.t").cast("long")
+    reads = []
+    pieces = growing._Files.pieces
+    growing.build_index(growing.read(spark, path), micros, index, block=64)
+    lines = growing.read_window(spark, path, index, 100, 2000)
+    assert lines.rdd.getNumPartitions() == 2
+    inside = lambda df: sorted((os.path.basename(r["path"]), r["start"]) for r in df.filter(micros.between(100, 2000)).collect())
+    assert inside(lines) == inside(growing.read(spark, path)) != []
+    monkeypatch.setattr(growing._Files, "pieces", lambda *a: (reads.append(x) or x for x in pieces(*a)))
+    growing.GrowingReader({"path": path, "index": index, "since": "100", "until": "2000"}).planned_bytes()
+    assert len([x for x, _ in reads if x.path.endswith("long.jsonl") and x.upper > x.lower]) == 2  # the window's blocks together, and what follows the index
