@@ -104,8 +104,12 @@ def drop_repeats(df: DataFrame, keys: list[str], seq: str, values: list[str], bu
 
 
 def numbered_within(df: DataFrame, keys: list[str], pos: str, sub: str, name: str) -> DataFrame:
-    """``df`` with a dense number from 1 by ``pos`` and, within it, ``sub``, however many rows share a ``pos``."""
+    """``df`` with a dense number from 1 by ``pos`` and, within it, ``sub``, however many rows share a ``pos``.
+
+    How many rows come before a ``pos`` is a row of its own, ahead of those it counts for, so ``df`` crosses one shuffle and no join.
+    """
     counts = df.groupBy(*keys, pos).agg(F.count(F.lit(1)).alias("_c"))
-    upto = running_sum(counts, keys, pos, F.col("_c"), "_u").withColumn("_base", F.col("_u") - F.col("_c")).drop("_u", "_c")
-    place = F.row_number().over(Window.partitionBy(*keys, pos).orderBy(sub))
-    return meet(df.withColumn(name, place), upto, [*keys, pos]).withColumn(name, F.col(name) + F.col("_base")).drop("_base")
+    before = running_sum(counts, keys, pos, F.col("_c"), "_u").select(*keys, pos, (F.col("_u") - F.col("_c")).alias("_n"), F.lit(False).alias("_row"))
+    rows = df.withColumns({"_n": F.lit(1).cast("long"), "_row": F.lit(True)}).unionByName(before, allowMissingColumns=True)
+    upto = Window.partitionBy(*keys, pos).orderBy("_row", sub).rowsBetween(Window.unboundedPreceding, 0)
+    return rows.withColumn(name, F.sum("_n").over(upto)).filter("_row").drop("_n", "_row")

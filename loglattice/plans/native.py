@@ -110,8 +110,9 @@ def _stores(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
         .when((F.col("l_orderkey") + line) % 4 == 1, _json(F.lit("reasoning").alias("type"), F.lit("hm").alias("text"))).when((F.col("l_orderkey") + line) % 4 == 2, _json(F.lit("tool").alias("type"), F.lit("bash").alias("tool"), F.concat(F.lit("k"), line.cast("string")).alias("callID"), state.alias("state")))
         .otherwise(_json(F.lit("step-start").alias("type")))
     )
-    parts = lines.filter("l_orderkey % 5 <> 0").select(F.concat(F.lit("o"), F.lpad(F.col("l_orderkey").cast("string"), 9, "0")).alias("message_id"), F.concat(F.lit("p"), line.cast("string")).alias("id"), F.lit(0).alias("created"), part.alias("data"))
-    return messages, parts.dropDuplicates(["message_id", "id"])
+    lines = lines.filter("l_orderkey % 5 <> 0").select("l_orderkey", "l_linenumber").distinct()  # all of a part is made of these
+    parts = lines.select(F.concat(F.lit("o"), F.lpad(F.col("l_orderkey").cast("string"), 9, "0")).alias("message_id"), F.concat(F.lit("p"), line.cast("string")).alias("id"), F.lit(0).alias("created"), part.alias("data"))
+    return messages, parts
 
 
 def store_events(spark: SparkSession, sf_dir: str) -> DataFrame:

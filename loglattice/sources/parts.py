@@ -7,16 +7,16 @@ order of the message's time, its id and the part's id.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from loglattice.functions.guards import stripped
 from loglattice.functions.text import with_classification
 from loglattice.operators.filters import prefer_first
-from loglattice.operators.ordered import numbered_within
+from loglattice.operators.ordered import bound, numbered_within
+from loglattice.sources.shared import settle
 
 COLUMNS = ("type", "text", "origin", "call_id", "message_id", "name", "result_status", "error_name", "error_code")
-_EVENT = f"struct<{','.join(f'{c}:string' for c in COLUMNS)}>"
 _LAST = 1 << 62
 
 
@@ -25,34 +25,65 @@ def _get(of: str, path: str) -> Column:
 
 
 def _filled(*values: Column) -> Column:
-    """The first value that isn't blank."""
-    return F.coalesce(*[F.nullif(stripped(v), F.lit("")) for v in values])
+    """The first value that isn't blank, without white space at its ends; ``nullif`` would strip each twice."""
+    return F.coalesce(*[F.when(v.rlike(r"[^\s\p{Z}]"), stripped(v)) for v in values])
 
 
-def _event(kind: str, **values: Column) -> Column:
-    given = {"type": F.lit(kind)} | values
-    return F.struct(*[given.get(c, F.lit(None)).cast("string").alias(c) for c in COLUMNS]).cast(_EVENT)
+def _event(pos: Column, mid: Column, pid: Column, k: int, **values: Column) -> Column:
+    place = F.struct(mid.alias("mid"), pid.alias("pid"), F.lit(k).alias("k")).alias("sub")
+    return F.struct(pos.alias("pos"), place, *[values.get(c, F.lit(None)).cast("string").alias(c) for c in COLUMNS])
 
 
-def joined(messages: DataFrame, parts: DataFrame) -> DataFrame:
-    """Messages with their parts, parsed; a message without parts keeps one row, one that is no object has none."""
-    held = messages.select("session", F.col("id").alias("mid"), F.col("created").alias("at"), F.try_parse_json("data").alias("m"))
-    held = held.filter(F.schema_of_variant("m").startswith("OBJECT"))
-    own = parts.select(F.col("message_id").alias("mid"), F.col("id").alias("pid"), F.try_parse_json("data").alias("p"), F.lit(True).alias("has"))
-    rows = held.join(own, "mid", "left")
+def _messages(messages: DataFrame) -> DataFrame:
+    """Messages that are objects: their role, their error, and whether they stopped by themselves; ``once`` is one row of those with equal ids."""
+    held = messages.select("session", F.col("id").alias("mid"), F.col("created").alias("at"), "data", F.try_parse_json("data").alias("m"))
+    held = held.select("session", "mid", "at", (F.col("m").isNotNull() & F.col("data").rlike(r"^\s*\{")).alias("object"), _get("m", "$.role").alias("role"), F.coalesce(_get("m", "$.finish") == "stop", F.lit(False)).alias("stopped"), F.try_variant_get("m", "$.error", "variant").alias("error"))
+    # Behind the generator every message is parsed once, not again for the filter; most have no error, and nothing is looked for in those.
+    held = bound(held).filter("object").drop("object")
+    within = lambda column: F.when(F.col("error").isNotNull(), column)
     # an error's own words, else its name; the name, else what its words tell
-    told = _filled(_get("m", "$.error.data.message"))
-    status = F.try_variant_get("m", "$.error.data.statusCode", "int")
-    told = F.when(status.between(100, 599), F.concat(status.cast("string"), F.lit(": "), told)).otherwise(told)
-    said = _filled(told, _get("m", "$.error.message"), F.when(F.schema_of_variant(F.try_variant_get("m", "$.error", "variant")) == "STRING", _get("m", "$.error")), _get("m", "$.error.text"), _get("m", "$.error.name"))
-    code = _filled(_get("m", "$.error.data.statusCode"), _get("m", "$.error.data.status"), _get("m", "$.error.statusCode"), _get("m", "$.error.status"))
-    name = F.coalesce(_filled(_get("m", "$.error.type"), _get("m", "$.error.name")), F.when(F.contains(F.lower(said), F.lit("abort")), "aborted").otherwise("provider"))
-    return rows.withColumns({"role": _get("m", "$.role"), "failure": said, "error_name": F.when(said.isNotNull(), name), "error_code": F.when(said.isNotNull(), code)})
+    held = held.withColumns({"told": within(_filled(_get("error", "$.data.message"))), "status": within(F.try_variant_get("error", "$.data.statusCode", "int"))})
+    told = F.when(F.col("status").between(100, 599), F.concat(F.col("status").cast("string"), F.lit(": "), F.col("told"))).otherwise(F.col("told"))
+    plain = F.when(F.schema_of_variant("error") == "STRING", _get("error", "$"))
+    said = F.coalesce(told, _filled(_get("error", "$.message"), plain, _get("error", "$.text"), _get("error", "$.name")))
+    code = _filled(_get("error", "$.data.statusCode"), _get("error", "$.data.status"), _get("error", "$.statusCode"), _get("error", "$.status"))
+    read = held.select("session", "mid", "at", "role", "stopped", within(said).alias("failure"), within(code).alias("error_code"), within(_filled(_get("error", "$.type"), _get("error", "$.name"))).alias("error_name"))
+    name = F.coalesce("error_name", F.when(F.contains(F.lower("failure"), F.lit("abort")), "aborted").otherwise("provider"))
+    failed = F.col("failure").isNotNull()
+    read = read.withColumns({"error_name": F.when(failed, name), "error_code": F.when(failed, F.col("error_code"))})
+    failing = F.coalesce(failed & (F.col("role") == "assistant"), F.lit(False))
+    same = Window.partitionBy("mid", "session").orderBy(failing.desc(), "at", "failure", "error_name", "error_code")
+    return read.repartition("mid").withColumn("once", F.row_number().over(same) == 1)
+
+
+def _parts(parts: DataFrame) -> DataFrame:
+    """What parts give: ``kind`` is null for synthetic ones (and those that are no objects have none); ``silent`` is one row of each message that has no text among its parts."""
+    held = parts.filter("message_id is not null").select(F.col("message_id").alias("mid"), F.col("id").alias("pid"), F.try_parse_json("data").alias("p"))
+    synthetic = F.coalesce(_get("p", "$.synthetic").isin("true", "1"), F.lit(False))
+    held = held.withColumn("kind", F.when(~synthetic, _get("p", "$.type")))
+    kind, text, state = F.col("kind"), stripped(_get("p", "$.text")), F.col("state")
+    tool = kind == "tool"
+    words = F.when(kind.isin("text", "reasoning"), text).when(kind == "compaction", _filled(text, _get("p", "$.state.summary"), _get("p", "$.state.text")))
+    held = held.withColumns({"state": F.when(tool, _get("p", "$.state.status")), "words": words})
+    held = held.select(
+        "mid", "pid", "kind", "words", F.when(tool, _filled(_get("p", "$.callID"), F.col("pid"))).alias("call"), F.when(tool, F.coalesce(_filled(_get("p", "$.tool")), F.lit("tool"))).alias("tool"), "state",
+        F.when(state == "error", _get("p", "$.state.error")).when(state == "completed", _get("p", "$.state.output")).alias("output"), F.lit(True).alias("has"),
+    )
+    spoken = F.coalesce((kind == "text") & (F.length("words") > 0), F.lit(False))
+    return held.withColumn("silent", (F.row_number().over(Window.partitionBy("mid").orderBy(spoken.desc(), "pid")) == 1) & ~spoken)
+
+
+def joined(messages: DataFrame, parts: DataFrame) -> DataFrame:
+    """Messages with what their parts give; a message without parts keeps one row, one that is no object has none.
+
+    Both are parsed before they meet, and neither is read twice: windows over the parts of a message share the join's shuffle.
+    """
+    return _messages(messages).join(_parts(parts), "mid", "left")
 
 
 def _classified(log: DataFrame) -> DataFrame:
-    judged = with_classification(log, F.col("error_name"), F.col("error_code"), F.col("text"))
     failed = F.col("error_name").isNotNull()
+    judged = with_classification(log, F.col("error_name"), F.when(failed, F.col("error_code")), F.when(failed, F.col("text")))  # rules look at failures only
     return judged.withColumns({"error_kind": F.when(failed, F.col("error_kind")), "retryable": F.when(failed, F.col("retryable"))}).drop("error_name")
 
 
@@ -65,42 +96,34 @@ def events(messages: DataFrame, parts: DataFrame) -> DataFrame:
     of the assistant comes out at the end of the session.
     """
     rows = joined(messages, parts)
-    kind, text = _get("p", "$.type"), stripped(F.coalesce(_get("p", "$.text"), F.lit("")))
-    synthetic = F.coalesce(_get("p", "$.synthetic").isin("true", "1"), F.lit(False))
-    failing = {"error_name": F.col("error_name"), "error_code": F.col("error_code")}
-    assistant = F.col("role") == "assistant"
-    call = _filled(_get("p", "$.callID"), F.col("pid"))
-    state = _get("p", "$.state.status")
-    output = F.when(state == "error", _get("p", "$.state.error")).when(state == "completed", _get("p", "$.state.output"))
-    mid = F.col("mid")
-    none = F.array().cast(f"array<{_EVENT}>")
-    called = F.array(_event("tool_call", name=F.coalesce(_filled(_get("p", "$.tool")), F.lit("tool")), call_id=call, message_id=mid))
-    result = F.array(_event("tool_result", call_id=call, text=output, message_id=mid, result_status=F.when(state == "error", "error").otherwise("ok")))
-    spoken = (
-        F.when((kind == "text") & (F.col("role") == "user"), F.array(_event("user_message", text=text, origin=F.lit("human"), message_id=mid)))
-        .when((kind == "text") & assistant, F.array(_event("assistant_message", text=text, message_id=mid, **failing)))
-        .when(kind.isin("reasoning", "compaction"), F.array(_event("thinking", text=F.when(kind == "reasoning", text).otherwise(_filled(text, _get("p", "$.state.summary"), _get("p", "$.state.text"))), message_id=mid)))
-        .when((kind == "tool") & state.isin("completed", "error"), F.concat(called, result)).when(kind == "tool", called).otherwise(none)
+    kind, mid, pid, call = F.col("kind"), F.col("mid"), F.col("pid"), F.col("call")
+    assistant, failed, empty, tool = F.col("role") == "assistant", F.col("failure").isNotNull(), F.col("has").isNull(), kind == "tool"
+    at = F.col("at").cast("long")
+    own = (
+        F.when(empty, F.when(assistant & failed, "assistant_message").when(assistant & ~F.col("stopped"), "lifecycle"))
+        .when((kind == "text") & (F.col("role") == "user"), "user_message").when((kind == "text") & assistant, "assistant_message")
+        .when(kind.isin("reasoning", "compaction"), "thinking").when(tool, "tool_call")
     )
-    bare = (
-        F.when(assistant & F.col("failure").isNotNull(), F.array(_event("assistant_message", text=F.col("failure"), message_id=mid, **failing)))
-        .when(assistant & ~F.coalesce(_get("m", "$.finish") == "stop", F.lit(False)), F.array(_event("lifecycle", text=F.lit("empty assistant message"), message_id=mid))).otherwise(none)
+    text = F.when(~empty, F.col("words")).when(failed, F.col("failure")).otherwise("empty assistant message")
+    rows = rows.withColumns({"own": own, "own_text": text})
+    own, text = F.col("own"), F.col("own_text")
+    failing = {c: F.when(own == "assistant_message", F.col(c)) for c in ("error_name", "error_code")}
+    first = _event(at, mid, pid, 0, type=own, text=text, origin=F.when(own == "user_message", "human"), call_id=call, message_id=mid, name=F.col("tool"), **failing)
+    done = _event(at, mid, pid, 1, type=F.lit("tool_result"), call_id=call, text=F.col("output"), message_id=mid, result_status=F.when(F.col("state") == "error", "error").otherwise("ok"))
+    late = _event(F.lit(_LAST), F.concat(F.lpad(at.cast("string"), 20, "0"), mid), F.lit(""), 0, type=F.lit("assistant_message"), text=F.col("failure"), message_id=mid, error_name=F.col("error_name"), error_code=F.col("error_code"))
+    made = F.array(
+        F.when((own == "tool_call") | (F.length(text) > 0) & own.isNotNull(), first),
+        F.when(tool & F.col("state").isin("completed", "error"), done),
+        F.when(assistant & failed & F.col("silent") & F.col("once"), late),
     )
-    made = F.when(F.col("has").isNull(), bare).when(synthetic | ~F.coalesce(F.schema_of_variant("p").startswith("OBJECT"), F.lit(False)), none).otherwise(spoken)
-    made = F.filter(made, lambda e: e["type"].isin("tool_call", "tool_result") | (F.length(e["text"]) > 0))
-    spread = rows.select("session", "at", "mid", "pid", F.posexplode(made).alias("k", "e"))
-    spread = spread.select("session", F.col("at").alias("pos"), F.struct("mid", "pid", "k").alias("sub"), "e.*")
-    answered = F.coalesce(assistant & (kind == "text") & ~synthetic & (F.length(text) > 0), F.lit(False))
-    silent = rows.filter(assistant & F.col("has") & F.col("failure").isNotNull()).groupBy("session", "mid").agg(F.bool_or(answered).alias("answered"), F.min("at").alias("at"), F.first("failure").alias("failure"), F.first("error_name").alias("error_name"), F.first("error_code").alias("error_code")).filter("NOT answered")
-    late = silent.select("session", F.lit(_LAST).alias("pos"), F.struct(F.concat(F.lpad(F.col("at").cast("string"), 20, "0"), F.col("mid")).alias("mid"), F.lit("").alias("pid"), F.lit(0).alias("k")).alias("sub"), _event("assistant_message", text=F.col("failure"), message_id=mid, **failing).alias("e"))
-    log = numbered_within(spread.unionByName(late.select("session", "pos", "sub", "e.*")), ["session"], "pos", "sub", "seq")
-    return _classified(log.drop("pos", "sub"))
+    # The number needs the events twice, so they are worked out once and kept.
+    spread = settle(rows.select("session", F.explode(made).alias("e")).filter("e is not null").select("session", "e.*"), "store-events")
+    return _classified(numbered_within(spread, ["session"], "pos", "sub", "seq").drop("pos", "sub"))
 
 
 def conversation(messages: DataFrame, parts: DataFrame) -> DataFrame:
     """``session, at, mid, pid, role, text`` of all text parts that aren't synthetic."""
-    rows = joined(messages, parts).filter((_get("p", "$.type") == "text") & ~F.coalesce(_get("p", "$.synthetic").isin("true", "1"), F.lit(False)))
-    return rows.select("session", "at", "mid", "pid", "role", stripped(_get("p", "$.text")).alias("text"))
+    return joined(messages, parts).filter("kind = 'text'").select("session", "at", "mid", "pid", "role", F.col("words").alias("text"))
 
 
 def all_sessions(first: DataFrame, second: DataFrame) -> DataFrame:

@@ -5,8 +5,10 @@ import random
 import re
 
 import pytest
+from pyspark.sql import functions as F
 
-from loglattice.sources import blobs, steps
+from loglattice.operators import ordered
+from loglattice.sources import blobs, parts, steps
 
 FAILED = re.compile(r"^(?:exit code:?\s*[1-9]|error:|traceback \(most recent call last\)|command failed|fatal:)", re.I | re.M)
 
@@ -220,3 +222,43 @@ def test_step_events(spark, exact):
     assert rows_of(steps.events(df)) == sorted(want, key=repr)
     assert sum(e[2] == "tool_result" for e in want) > 40
     assert steps.events(df.limit(0)).count() == 0
+
+
+def test_a_store_is_parsed_once_and_joined_before_it_is_numbered(spark):
+    """Every message and part is read once; odd rows of both give what their rules say."""
+    gone = {"name": "MessageAbortedError", "data": {"message": " gone ", "statusCode": 429}}
+    messages = [
+        ("s", "m1", 1, {"role": "user"}), ("s", "m2", 2, {"role": "assistant", "error": gone}), ("s", "m2", 2, {"role": "assistant", "error": gone}), ("s", "m3", 2, {"role": "assistant", "error": "plain"}), ("s", "m4", 3, {"role": "assistant", "finish": "stop"}),
+        ("s", "m5", 4, {"role": "assistant", "error": None}), ("s", "m6", 5, [{"role": "user"}]), (None, None, 6, {"role": "assistant", "error": {"data": {"message": " "}, "text": "x"}}), ("s", "m7", 7, {"role": "assistant", "error": gone}),
+    ]
+    own = [
+        ("m1", "p1", {"type": "text", "text": " a "}), ("m1", "p2", {"type": "text", "text": "b", "synthetic": True}), ("m1", "p3", [{"type": "text", "text": "c"}]), ("m2", "p1", {"type": "tool", "callID": " ", "state": {"status": "completed", "output": "o"}}), ("m2", "p2", {"type": "text", "text": " "}),
+        ("m3", "p1", {"type": "compaction", "state": {"summary": " sum "}}), ("m6", "p1", {"type": "text", "text": "d"}), (None, "p1", {"type": "text", "text": "e"}), ("m7", "p1", {"type": "text", "text": "f"}),
+    ]
+    seen = spark.sparkContext.accumulator(0)
+
+    @F.udf("string")
+    def told(data):
+        seen.add(1)
+        return data
+
+    held = spark.createDataFrame([(s, i, t, json.dumps(d)) for s, i, t, d in messages], "session string, id string, created long, data string").withColumn("data", told("data"))
+    made = spark.createDataFrame([(m, i, 0, json.dumps(d)) for m, i, d in own if m], "message_id string, id string, created long, data string").withColumn("data", told("data"))
+    log = parts.events(held, made)
+    got = sorted(log.collect(), key=lambda r: (r["session"] or "", r["seq"]))
+    assert seen.value == len(messages) + len(own) - 1
+    assert [(r["session"], r["seq"], r["type"], r["text"] or r["name"], r["call_id"], r["error_kind"]) for r in got] == [
+        (None, 1, "assistant_message", "x", None, "provider_error"), ("s", 1, "user_message", "a", None, None), ("s", 2, "tool_call", "tool", "p1", None), ("s", 3, "tool_call", "tool", "p1", None), ("s", 4, "tool_result", "o", "p1", None), ("s", 5, "tool_result", "o", "p1", None),
+        ("s", 6, "thinking", "sum", None, None), ("s", 7, "lifecycle", "empty assistant message", None, None), ("s", 8, "assistant_message", "f", None, "user_interrupt"),
+        ("s", 9, "assistant_message", "429: gone", None, "user_interrupt"), ("s", 10, "assistant_message", "plain", None, "provider_error"),
+    ]
+
+
+def test_numbers_within_a_place_join_counts_only(spark):
+    rows = [(k, p, s) for k in ("a", None) for p in (5, None, 1 << 62, 70000) for s in range(40)]
+    df = spark.createDataFrame(rows, "k string, p long, s int").repartition(3)
+    out = ordered.numbered_within(df, ["k"], "p", "s", "n")
+    place = lambda r: (r[1] is not None, r[1] or 0, r[2])
+    want = {(k, *x): n for k in ("a", None) for n, x in enumerate([r[1:] for r in sorted((r for r in rows if r[0] == k), key=place)], 1)}
+    assert {(r["k"], r["p"], r["s"]): r["n"] for r in out.collect()} == want and out.columns == ["k", "p", "s", "n"]
+    assert out._jdf.queryExecution().optimizedPlan().toString().count("Join ") == 1  # of the counts only
